@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "packing"]
+MODULES = ["decontaminate", "minhash", "packing"]
 
 QUERIES = {}
 ORACLES = {}
