@@ -54,10 +54,6 @@ MEASURES = [
 ]
 
 
-def n_without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
-
-
 def repeated_words(words: Column, window: int) -> Column:
     """How many words lie in windows that occur at least twice in the array."""
     n = F.size(words) - window + 1
@@ -97,31 +93,29 @@ def repeated_words(words: Column, window: int) -> Column:
 def measures(docs: DataFrame, window: int) -> DataFrame:
     """docs with the columns of MEASURES."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lower = F.lower(text)
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
     one = docs.drop(*MEASURES).withColumns(
         {
             "_words": F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != ""),
-            "_stops": F.filter(F.split(lower, r"[^\p{L}]+"), lambda w: F.length(w) < 8),
-            "_lines": F.filter(F.split(text, "\n"), lambda x: n_without(x, SPACE) > 0),
+            "_letters": F.split(text, r"[^\p{L}]+"),
+            "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]")),
         }
     )
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
-    upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
+    stop = F.filter("_letters", lambda w: (F.octet_length(w) < 10) & F.lower(w).isin(sorted(set(STOP_WORDS))))
+    symbols = F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))
     return one.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": n_without(text, SPACE).cast("long"),
-            "n_symbols": (F.length(text) - n_without(text, "#*$%&|<>")).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_symbols": symbols.cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": repeated_words(F.col("_words"), window).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
-            "n_stop_words": F.size(F.filter("_stops", lambda w: F.array_contains(stop, w))).cast("long"),
-            "n_letter_chars": letters.cast("long"),
-            "n_upper_chars": upper.cast("long"),
+            "n_stop_words": F.size(stop).cast("long"),
+            "n_letter_chars": F.length(F.array_join("_letters", "")).cast("long"),
+            "n_upper_chars": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long"),
             "n_bullet_lines": F.size(F.filter("_lines", lambda x: F.ltrim(x).rlike(r"^[-*•+] "))).cast("long"),
         }
-    ).drop("_words", "_stops", "_lines")
+    ).drop("_words", "_letters", "_lines")
 
 
 def within(rules: list[tuple]) -> Column:
@@ -177,7 +171,7 @@ m as (
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
     (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
     coalesce(n_repeat_words, 0)::bigint as n_repeat_words, len(ls)::bigint as n_lines,
-    len(list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}]+'), lambda w: w in ({_STOP_SQL})))::bigint as n_stop_words,
+    len(list_filter(regexp_split_to_array(t, '[^\p{{L}}]+'), lambda w: lower(w) in ({_STOP_SQL})))::bigint as n_stop_words,
     length(regexp_replace(t, '[^\p{{L}}]+', '', 'g'))::bigint as n_letter_chars,
     length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g'))::bigint as n_upper_chars,
     len(list_filter(ls, lambda x: regexp_matches(ltrim(x), '^[-*•+] ')))::bigint as n_bullet_lines
