@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "minhash", "packing", "quality"]
+MODULES = ["decontaminate", "minhash", "packing", "pii", "quality"]
 
 QUERIES = {}
 ORACLES = {}
