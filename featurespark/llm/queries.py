@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "minhash", "packing", "pii", "quality", "warc"]
+MODULES = ["decontaminate", "licenses", "minhash", "packing", "pii", "quality", "warc"]
 
 QUERIES = {}
 ORACLES = {}
