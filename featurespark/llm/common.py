@@ -93,16 +93,22 @@ def names(ddl: str) -> list[str]:
 
 
 def add_columns(
-    df: DataFrame, inputs: list[Column], fn: Callable[..., list[tuple]], result: str, rows: int = 256
+    df: DataFrame,
+    inputs: list[Column],
+    fn: Callable[..., list[tuple]],
+    result: str,
+    rows: int = 256,
+    drop: tuple[str, ...] = (),
 ) -> DataFrame:
     """df, row for row, with the columns of ``result`` that fn computes from lists of the values of ``inputs``.
 
-    A column of df with a name of the result gives way to it; all others pass as Arrow data, whatever their type.
+    A column of df with a name of the result gives way to it; all others pass as Arrow data, whatever their type, but
+    for those to drop.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    keep = [c for c in df.columns if c not in names(result)]
+    keep = [c for c in df.columns if c not in names(result) and c not in drop]
     kind = to_arrow_schema(StructType.fromDDL(result))
     n = len(keep)
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "licenses", "minhash", "packing", "pii", "quality", "toxicity", "warc"]
+MODULES = ["decontaminate", "language", "licenses", "minhash", "packing", "pii", "quality", "toxicity", "warc"]
 
 QUERIES = {}
 ORACLES = {}
