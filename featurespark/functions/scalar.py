@@ -88,10 +88,10 @@ def same_subnet(a: Column, b: Column, bits: int) -> Column:
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0) -> Column:
-    """Great-circle distance of two points in degrees."""
+    """Great-circle distance of two points in degrees; null if a coordinate is."""
     a, b, c, d = (F.radians(x) for x in (lat1, lon1, lat2, lon2))
     h = F.sin((c - a) / 2) ** 2 + F.cos(a) * F.cos(c) * F.sin((d - b) / 2) ** 2
-    return F.lit(2 * radius) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return F.lit(2 * radius) * F.asin(F.sqrt(F.when(h > 1.0, 1.0).otherwise(h)))
 
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"

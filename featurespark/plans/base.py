@@ -100,10 +100,8 @@ def daily_outcome(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def km_sql(a: str, b: str, c: str, d: str) -> str:
-    return (
-        f"2 * 6371.0 * asin(sqrt(least(pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) "
-        f"* pow(sin((radians({d}) - radians({b})) / 2), 2), 1.0)))"
-    )
+    h = f"pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2)"
+    return f"2 * 6371.0 * asin(sqrt(case when {h} > 1 then 1 else {h} end))"
 
 
 SCORED_SQL = """scored as (select doc_id, toxic as y, quality,
