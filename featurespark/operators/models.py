@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from featurespark.ship import ship
+
 
 def udf_forms(df: DataFrame, x: str, y: str, form: str = "native") -> DataFrame:
     """df with x * 1.1 + sin(x) and exp(-(x - y)**2 / 100) * sin(x / 10) * cos(y / 5), as ``native`` expressions or as
@@ -54,6 +56,7 @@ def score(df: DataFrame, model, features: list[str], out: str = "prediction") ->
     """df with predictions. A Spark model transforms; any other with ``predict`` is broadcast, once an executor."""
     if isinstance(model, Model):
         return model.transform(df)
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

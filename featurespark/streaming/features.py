@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampType
 
 from featurespark.operators.joins import asof_join
+from featurespark.ship import ship
 from featurespark.sources.tables import upsert
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -166,6 +167,7 @@ def rolling_stream(
     ``immediate`` gives rows out in the batch that brings them: right for input in order of time. ``ordered`` holds rows
     until the watermark has passed them, so that rows out of order by less than the watermark's delay come out right.
     """
+    ship(stream.sparkSession)
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     fields = list(stream.schema.fields)
     made = [StructField(f"{p}_{n}", t) for n in windows for p, t in (("sum", DoubleType()), ("num", LongType()))]
