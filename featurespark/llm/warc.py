@@ -34,6 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featurespark.ship import ship
+
 from .common import map_rows, names, shared_dir, written
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -118,6 +120,7 @@ def write_archives(
     level: int = 1,
 ) -> None:
     """Writes pages (page_id, url, html) as archive files below path."""
+    ship(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
     pages = pages.withColumn("digest", F.sha1("html"))
@@ -185,6 +188,7 @@ PAGE = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per page of the archives below path: the columns of PAGE."""
+    ship(spark)
     content = spark.read.format("binaryFile").load(path).select("content")
     kept = f"{PAGE}, origin string, segment int, total long, block binary"
     kind = pa.schema(
