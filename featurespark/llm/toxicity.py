@@ -146,20 +146,23 @@ def features(found: list[tuple[list[int], int, int]], n: int) -> np.ndarray:
     return x
 
 
-def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 0.05, rounds: int = 400) -> np.ndarray:
-    """Weights of logistic regression on soft labels, classes weighted to the square root of their balance."""
+def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 0.02, rounds: int = 2000) -> np.ndarray:
+    """Weights of logistic regression on soft labels, both classes of equal weight."""
     w = np.zeros(x.shape[1])
     if not len(x):
         w[-1] = -3.0
         return w
     share = np.clip(p.mean(), 0.02, 0.98)
-    weight = p * (1 - share) ** 0.5 + (1 - p) * share**0.5
+    one, zero = p * (1 - share), (1 - p) * share
+    x, at = np.unique(x, axis=0, return_inverse=True)  # most rows are those without any voter
+    one, zero = np.bincount(at.ravel(), one), np.bincount(at.ravel(), zero)
+    weight = one + zero
     penal = np.full(len(w), ridge)
     penal[-1] = 0.0
-    step = 4.0 / np.maximum((weight[:, None] * x**2).mean(axis=0) * x.sum(axis=1).max(), 1e-3)
+    step = 4.0 / np.maximum(weight @ x**2 * x.sum(axis=1).max(), 1e-3)
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= step * 0.5 * (x.T @ (weight * (q - p)) / len(x) + penal * w / len(x))
+        w -= step * (x.T @ (weight * q - one) + penal * w)
     return w
 
 
