@@ -96,7 +96,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 # Throw-away mail domains.
-DISPOSABLE = ["mailinator.com", "tempmail.com", "10minutemail.com", "guerrillamail.com", "throwaway.email"]
+DISPOSABLE = ["mailinator.com", "guerrillamail.com", "10minutemail.com"]
 
 
 def email_score(col: Column) -> Column:
@@ -105,7 +105,7 @@ def email_score(col: Column) -> Column:
     domain = F.lower(F.regexp_extract(col, "@(.*)$", 1))
     top = F.substring_index(domain, ".", -1)
     score = F.lit(50) + F.when(top.isin("gov", "edu"), 30).when(top.isin("com", "org"), 20).otherwise(0)
-    score = score - F.when(domain.isin(DISPOSABLE), 40).otherwise(0)
+    score = score - F.when(F.substring_index(domain, ".", -2).isin(DISPOSABLE), 40).otherwise(0)
     return F.when(valid, F.greatest(F.lit(0), F.least(F.lit(100), score))).otherwise(0)
 
 
