@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -68,6 +69,17 @@ def score(df: DataFrame, model, features: list[str], out: str = "prediction") ->
     return df.withColumn(out, predict(*features))
 
 
+@dataclass(frozen=True)
+class Line:
+    """A model of one feature, as ``aggregates.linfit`` fits it."""
+
+    slope: float
+    intercept: float
+
+    def predict(self, x: pd.DataFrame) -> pd.Series:
+        return x.iloc[:, 0] * self.slope + self.intercept
+
+
 def train(df: DataFrame, features: list[str], label: str, categorical: list[str] = (), weight: str | None = None, kind: str = "classifier", **options) -> Model:
     """A gradient-boosted classifier or regressor with imputing and indexing in one pipeline."""
     numeric = [c for c in features if c not in categorical]

@@ -176,6 +176,14 @@ def o78_python(spark, sf):
     return M.udf_forms(t, "l_quantity", "l_linenumber", "python").drop("l_quantity")
 
 
+@query("o79_score", "with l as (select regr_slope(l_extendedprice, l_quantity) as a, regr_intercept(l_extendedprice, l_quantity) as b from lineitem) select l_orderkey, l_linenumber, round(a * l_quantity + b, 4) as prediction from lineitem cross join l")
+def o79(spark, sf):
+    t = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    line = A.linfit(t, "l_quantity", "l_extendedprice").first()
+    out = M.score(t, M.Line(line.slope, line.intercept), ["l_quantity"])
+    return out.select("l_orderkey", "l_linenumber", F.round("prediction", 4).alias("prediction"))
+
+
 def _priced(spark, sf):
     t = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_shipdate", "l_extendedprice", "l_returnflag")
     return t.withColumn("big", (F.col("l_extendedprice") > 40000).cast("int"))
