@@ -61,12 +61,12 @@ def score(df: DataFrame, model, features: list[str], out: str = "prediction") ->
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def predict(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         own = shared.value
         for batch in batches:
-            yield pd.Series(np.asarray(own.predict(pd.concat(batch, axis=1, keys=features)), dtype=float))
+            yield pd.Series(np.asarray(own.predict(batch), dtype=float))
 
-    return df.withColumn(out, predict(*features))
+    return df.withColumn(out, predict(F.struct(*features)))
 
 
 @dataclass(frozen=True)
