@@ -249,5 +249,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *names(RESULT))
 
 
+_WORDS = (
+    "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+)
+ORACLE = f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as ws from documents),
+b as (select item_id, {_WORDS} as ws from benchmark),
+i as (
+  select item_id, least(13, len(ws)) as m, unnest(generate_series(1, len(ws) - least(13, len(ws)) + 1)) as p, ws from b where len(ws) > 0),
+win as (select distinct item_id, m, ws[p : p + m - 1] as w from i),
+g as (
+  select r, m, p, ws[p : p + m - 1] as w from (
+    select r, m, ws, unnest(generate_series(1, len(ws) - m + 1)) as p from d cross join (select distinct m from win) where len(ws) >= m)),
+hit as (select r, g.m, p, item_id from g join win on g.m = win.m and g.w = win.w),
+n as (select r, count(distinct q) as n_hit from (select r, unnest(generate_series(p, p + m - 1)) as q from hit) group by r),
+ids as (select r, count(*) as n_items, string_agg(x, ',' order by x) as x from (select distinct r, item_id::varchar as x from hit) group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(x, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join n using (r) left join ids using (r)
+"""
+
 QUERIES = {"op10_decontamination": op10_decontamination}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_decontamination": ORACLE}
