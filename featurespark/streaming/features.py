@@ -71,7 +71,7 @@ def read_sink(spark: SparkSession, table: str) -> DataFrame:
 
 
 class _Rolling(StatefulProcessor):
-    """State per key: rows of the longest window by (time, id); rows held back, in ordered mode."""
+    """State per key: rows of the longest window (and expired ones until they are the most); rows held back, if ordered."""
 
     def __init__(self, key: str, ts: str, id_col: str, value: str, lags: list[str], windows: dict[str, int], emit: str, columns: list[str], row_schema: StructType):
         self.key, self.ts, self.id, self.value, self.lags = key, ts, id_col, value, lags
@@ -81,7 +81,7 @@ class _Rolling(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         mark = StructType([StructField("us", LongType()), StructField("id", LongType())])
-        self.seen = handle.getMapState("seen", mark, StructType([StructField("v", DoubleType())]))
+        self.seen = handle.getListState("seen", StructType([*mark.fields, StructField("v", DoubleType())]))
         self.held = handle.getMapState("held", mark, self.row_schema)
         self.last = handle.getValueState("last", self.row_schema)
 
@@ -127,7 +127,7 @@ class _Rolling(StatefulProcessor):
         us = pdf[self.ts].map(self._us).to_numpy(np.int64)
         ids = pdf[self.id].to_numpy(np.int64)
         if self.windows:
-            old = [(k[0], k[1], v[0]) for k, v in self.seen.iterator()]
+            old = [tuple(x) for x in self.seen.get()]
             new = [(int(u), int(i), None if pd.isna(v) else float(v)) for u, i, v in zip(us, ids, pdf[self.value], strict=True)]
             rows = sorted(old + new, key=lambda x: x[:2])
             times = np.array([r[0] for r in rows], np.int64)
@@ -139,12 +139,11 @@ class _Rolling(StatefulProcessor):
                 out[f"sum_{name}"] = sums[end] - sums[start]
                 out[f"num_{name}"] = (counts[end] - counts[start]).astype(np.int64)
             cut = int(times[-1]) - self.longest
-            for u, i, _ in old:
-                if u < cut:
-                    self.seen.removeKey((u, i))
-            for u, i, v in new:
-                if u >= cut:
-                    self.seen.updateValue((u, i), (v,))
+            kept = [r for r in old if r[0] >= cut]
+            if len(kept) < len(old) / 2:  # mostly expired: write the list anew, else add to it
+                self.seen.put(kept + [r for r in new if r[0] >= cut])
+            elif fresh := [r for r in new if r[0] >= cut]:
+                self.seen.appendList(fresh)
         if self.lags:
             names = [f.name for f in self.row_schema]
             before = dict(zip(names, self.last.get(), strict=True)) if self.last.exists() else dict.fromkeys(names)
