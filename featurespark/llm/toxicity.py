@@ -1,7 +1,6 @@
 """Toxicity by weak supervision (operator 8).
 
-1. Voters. From labelled training rows (all of them, or a sample of ``max_labelled`` by a hash of the text, whose bound
-   is a parameter) Spark counts, per term, in how many documents of each label it occurs. Terms are words and word
+1. Voters. Over all labelled training rows Spark counts, per term, in how many documents of each label it occurs. Terms are words and word
    beginnings of 4 to 7 letters (patterns that also meet inflected forms). Terms of the fixed seed lexicon and the terms
    most indicative of label 1 become voters that say 1 where they occur; at most ``max_voters``. A last group of voters
    says 0 on texts that no voter of label 1 touches.
@@ -12,8 +11,9 @@
 3. Classifier. Logistic regression on the voters' presence, their number and their share of words, trained on those
    posteriors. It scores every whole text, one task pass, without a shuffle.
 
-Term counts are a distributed aggregate over the training rows; what reaches the driver is bounded by ``max_voters``
-terms and ``max_labelled`` sparse rows of votes (sampled by hash beyond that). Labels, lang, source and doc_id are never
+Term counts are a distributed aggregate over all training rows. What reaches the driver is bounded by ``max_voters``
+terms and ``max_labelled`` sparse rows of votes: with more labelled rows, label model and classifier are fitted on a
+sample by a hash of the id. Labels, lang, source and doc_id are never
 inputs of a score. With no labels, the seed lexicon alone votes.
 
 Defined results: null and empty text is scored as a text without terms; duplicate label rows of a document count once,
@@ -167,7 +167,7 @@ def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 0.02, rounds: int = 20
 
 
 def fit(train: DataFrame, max_voters: int, least_docs: int, max_labelled: int, tied: float) -> tuple[list[str], np.ndarray]:
-    """Voters and classifier weights from rows (text, toxic)."""
+    """Voters and classifier weights from rows (doc_id, text, toxic)."""
     voters = choose_voters(train, max_voters, least_docs)
     voting = Voting(voters)
 
@@ -175,8 +175,12 @@ def fit(train: DataFrame, max_voters: int, least_docs: int, max_labelled: int, t
         found = [voting(t) for t in columns[0]]
         return {"which": [f[0] for f in found], "hits": [f[1] for f in found], "words": [f[2] for f in found], "toxic": columns[1]}
 
+    n = train.count()
+    if n > max_labelled:
+        share = F.lit(int((1 << 20) * max_labelled / n))
+        train = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
     rows = map_rows(train.select("text", "toxic"), fn, "which array<int>, hits int, words int, toxic int")
-    rows = rows.collect()  # at most max_labelled rows, mostly without voters
+    rows = rows.limit(2 * max_labelled).collect()  # mostly without voters
     found = [(list(r.which), r.hits, r.words) for r in rows]
     labels = np.array([r.toxic for r in rows], int)
     x = features(found, len(voters))
@@ -204,10 +208,7 @@ def score_toxicity(
     rows = docs.select("doc_id", "text")
     if train_on is not None:
         known, rows = known.filter(train_on), rows.filter(train_on)
-    n = known.count()
-    if n > max_labelled:  # the bounded sample of labelled rows
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_labelled / n))
-    train = written(rows.join(known, "doc_id").select("text", "toxic"))
+    train = written(rows.join(known, "doc_id").select("doc_id", "text", "toxic"))
     voters, weights = fit(train, max_voters, least_docs, max_labelled, tied)
     voting = Voting(voters)
 
