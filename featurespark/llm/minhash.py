@@ -6,11 +6,12 @@ are candidates. Rows per band are the most for which a pair at the threshold is
 ``miss`` (with 120 values: 24 bands of 5 at 0.85, chance 8e-7; 30 of 4 at 0.8).
 
 1. Documents with the same set are one class, represented by the smallest doc_id: copies never meet in pairs.
-2. In each bucket every representative is compared with the smallest one (a star, not all pairs), on full sets rebuilt
-   from the texts, so links are exact. Components join the stars.
-3. Buckets that still hold more than one component are compared across components: members are dealt into blocks, each
-   pair of blocks is a group of bounded size, signatures rule out pairs far from the threshold, and the rest is verified
-   on full sets. So no link between components is lost, and no group's pairs are ever listed as a whole.
+2. Each bucket has one hub, drawn by hash. Of all its hubs a representative is compared with the one of most like
+   signature (a star, not all pairs), on full sets rebuilt from the texts, so links are exact. Components join the stars.
+3. In buckets that still hold more than one component, members outside the largest are compared with a hub of that;
+   where this leaves a bucket split, with all members of other components: both sides are dealt into blocks, each pair of
+   blocks is a group of bounded size, where signatures rule out pairs four deviations below the threshold, and the rest
+   is verified on full sets. So no link between components is lost, and no group's pairs are ever listed as a whole.
 
 Defined results: null and wordless text has an empty set (n_shingles 0), is linked with nothing and is kept; rows of one
 doc_id are one document (equal rows are copies); a null doc_id takes its class's component, or null, and is not kept;
@@ -20,7 +21,6 @@ an empty table gives no rows; other input columns pass through ``drop_near_dupli
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,8 +104,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
             least, most = sorted((len(s), len(t)))
             if 100 * least < percent * most:
                 continue
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            if 100 * both >= percent * (len(s) + len(t) - both):
+            if _alike(s, t, percent):
                 out["a"].append(a)
                 out["b"].append(b)
         return out
@@ -116,35 +115,107 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return map_rows(with_text.select("a", "b", "x", "y"), fn, f"a {kind}, b {kind}", rows=64)
 
 
-def _across(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a bucket (key) but not a component, and whose signatures are near enough.
+def _near(bits: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Likeness by signature in percent where a pair may reach the threshold, else 0: four deviations are allowed."""
+    like = (bits == sketch).mean(axis=1) * 100
+    slack = 400 * (percent / 100 * (1 - percent / 100) / bits.shape[1]) ** 0.5
+    return np.where((like >= percent - slack) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)), like, 0.0)
 
-    A bucket of m members has ceil(m / BLOCK) blocks; a member goes to the group of each pair of blocks that holds its
-    own. Groups have at most some multiples of BLOCK members by hashing, however large the bucket is.
+
+def _best_hub(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """For each a of the pairs (a, b) the b of most like signature, if the pair may reach the threshold."""
+
+    def fn(columns: list[list]) -> dict:
+        out: dict = {"a": [], "b": [], "like": []}
+        for a, b, x, y, n, m in zip(*columns, strict=True):
+            like = _near(np.frombuffer(x, np.uint8)[None, :], np.frombuffer(y, np.uint8), np.array([n]), m, percent)[0]
+            if like:
+                for c, v in zip(out, (a, b, float(like)), strict=True):
+                    out[c].append(v)
+        return out
+
+    for c, n in (("a", "n"), ("b", "m")):
+        pairs = pairs.join(sketches.withColumnsRenamed({"node": c, "sketch": f"s{c}", "n_shingles": n}), c)
+    kind = pairs.schema["a"].dataType.simpleString()
+    found = map_rows(pairs.select("a", "b", "sa", "sb", "n", "m"), fn, f"a {kind}, b {kind}, like double", rows=2048)
+    return found.groupBy("a").agg(F.max_by("b", F.struct("like", "b")).alias("b"))
+
+
+def _split_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (key, node, component) of buckets that hold more than one component, with the bucket's size (m), its
+    largest component (main) and that one's size (top)."""
+    named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+    main = F.max_by("component", F.struct("n", "component")).alias("main")
+    sizes = sizes.agg(main, F.sum("n").alias("m"), F.max("n").alias("top")).filter("top < m")
+    return written(named.join(sizes, "key"))
+
+
+def _to_main(split: DataFrame) -> DataFrame:
+    """Pairs (a, b): members outside their bucket's largest component, and a hub drawn from that."""
+    hub = F.min_by("node", F.xxhash64("node", "key", F.lit(2))).alias("b")
+    hubs = split.filter("component = main").groupBy("key").agg(hub)
+    return split.filter("component <> main").join(hubs, "key").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of two non-empty sets."""
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
+def _across(split: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that are not in one component, as many as connect what is linked.
+
+    One of such a pair lies outside the bucket's largest component. Those members and all members are dealt into blocks
+    of about BLOCK by hash; every pair of blocks is a group of its own, so no group grows with its bucket. A group's
+    members bring their texts; pairs whose signatures are near enough are confirmed there on full sets, unless the two
+    components have been linked in the group before. So pairs never leave a task, only links do.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "key", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    )
-    dealt = dealt.join(sketches, "node")
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        x, y = (pdf, pdf) if i == j else (pdf[pdf["own"] == i], pdf[pdf["own"] == j])
-        found = []
-        if len(x) and len(y):
-            bits = np.frombuffer(b"".join(y["sketch"]), np.uint8).reshape(len(y), -1)
-            comp, size, node = (y[c].to_numpy() for c in ("component", "n_shingles", "node"))
-            for own, of, n, sketch in zip(x["node"], x["component"], x["n_shingles"], x["sketch"], strict=True):
-                like = (bits == np.frombuffer(sketch, np.uint8)).mean(axis=1) * 100 >= percent - 15
-                near = like & (comp != of) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n))
-                found += [(min(own, z), max(own, z)) for z in node[near].tolist()]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"])
-
-    kind = members.schema["node"].dataType.simpleString()
-    return dealt.groupBy("key", "i", "j").applyInPandas(fn, f"a {kind}, b {kind}").distinct()
+    others = F.ceil((F.col("m") - F.col("top")) / BLOCK).cast("int")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = split.select("key", "node", "component", "main", others.alias("nx"), blocks.alias("ny"))
+    every = F.sequence(F.lit(0), F.col("nx") - 1)
+    y = dealt.select("key", "node", "component", F.lit(False).alias("x"), F.explode(every).alias("i"), F.pmod(F.xxhash64("node"), "ny").cast("int").alias("j"))
+    every = F.sequence(F.lit(0), F.col("ny") - 1)
+    x = dealt.filter("component <> main").select("key", "node", "component", F.lit(True).alias("x"), F.pmod(F.xxhash64("node"), "nx").cast("int").alias("i"), F.explode(every).alias("j"))
+    both = x.unionByName(y).join(sketches, "node").join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+
+    def fn(columns: list[list]) -> dict:
+        out: dict = {"a": [], "b": []}
+        for (group,) in zip(*columns, strict=True):
+            x, y = [g for g in group if g["x"]], [g for g in group if not g["x"]]
+            if not x or not y:
+                continue
+            bits = np.frombuffer(b"".join(g["sketch"] for g in y), np.uint8).reshape(len(y), -1)
+            size = np.array([g["n_shingles"] for g in y])
+            up = {g["component"]: g["component"] for g in group}
+            sets: dict[int, np.ndarray] = {}
+
+            def root(c):
+                while up[c] != c:
+                    up[c] = c = up[up[c]]
+                return c
+
+            def set_of(g):
+                if g["node"] not in sets:
+                    sets[g["node"]] = shingle_set(g["text"], k)
+                return sets[g["node"]]
+
+            for g in x:
+                like = _near(bits, np.frombuffer(g["sketch"], np.uint8), size, g["n_shingles"], percent)
+                for z in np.argsort(-like)[: np.count_nonzero(like)].tolist():
+                    c, d = root(g["component"]), root(y[z]["component"])
+                    if c != d and _alike(set_of(g), set_of(y[z]), percent):
+                        up[c] = d
+                        out["a"].append(g["node"])
+                        out["b"].append(y[z]["node"])
+        return out
+
+    kind = split.schema["node"].dataType.simpleString()
+    member = F.struct("node", "component", "x", "sketch", "n_shingles", "text")
+    groups = both.groupBy("key", "i", "j").agg(F.collect_list(member).alias("group")).select("group")
+    return map_rows(groups, fn, f"a {kind}, b {kind}", rows=16).distinct()
 
 
 def near_duplicates(
@@ -158,27 +229,26 @@ def near_duplicates(
     classes = written(classes.filter("node is not null"))
     own = marks.join(classes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"], "left_semi")
     buckets = own.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter("hub < most")
-    members = written(buckets.join(hubs.drop("most"), "key").distinct())
-    sizes = own.select(F.col("doc_id").alias("node"), "n_shingles")
-    pairs = members.filter("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = pairs.join(sizes.withColumnsRenamed({"node": "a", "n_shingles": "n"}), "a")
-    pairs = pairs.join(sizes.withColumnsRenamed({"node": "b", "n_shingles": "m"}), "b")
-    pairs = pairs.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b").distinct()
+    hub = F.min_by("node", F.xxhash64("node", "key")).alias("hub")
+    hubs = buckets.groupBy("key").agg(hub, F.min("node").alias("c"), F.max("node").alias("d")).filter("c < d")
+    members = written(buckets.join(hubs.select("key", "hub"), "key").distinct())
+    sketches = own.select(F.col("doc_id").alias("node"), "sketch", "n_shingles")
+    pairs = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     texts = written(docs.join(wanted, "doc_id", "left_semi").withColumn("text", F.col("text").cast("binary")))
-    links = written(_verified(pairs, texts, k, percent))
+    links = written(_verified(_best_hub(pairs, sketches, percent), texts, k, percent))
     found = components(links)
-    members = members.select("key", "node").join(found, "node", "left")
-    members = members.withColumn("component", F.coalesce("component", "node"))
-    split = members.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d")
-    left = written(members.join(split.select("key"), "key"))
-    sketches = own.select(F.col("doc_id").alias("node"), "sketch", "n_shingles")
-    more = written(_verified(_across(left, sketches, percent), texts, k, percent))
-    if more.limit(1).count():
-        found = components(links.unionByName(more))
+    for last in (False, True):  # members outside a bucket's largest component: first with a hub of that, then with all
+        split = _split_buckets(members.select("key", "node"), found)
+        if last:
+            more = written(_across(split, sketches, texts, k, percent))
+        else:
+            more = written(_verified(_best_hub(_to_main(split), sketches, percent), texts, k, percent))
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            found = components(links)
+        members = split
     drop_written(texts)
-    drop_written(left)
     named = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = marks.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
