@@ -179,7 +179,8 @@ def _across(split: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, per
     y = dealt.select("key", "node", "component", F.lit(False).alias("x"), F.explode(every).alias("i"), F.pmod(F.xxhash64("node"), "ny").cast("int").alias("j"))
     every = F.sequence(F.lit(0), F.col("ny") - 1)
     x = dealt.filter("component <> main").select("key", "node", "component", F.lit(True).alias("x"), F.pmod(F.xxhash64("node"), "nx").cast("int").alias("i"), F.explode(every).alias("j"))
-    both = x.unionByName(y).join(sketches, "node").join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    brought = sketches.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    both = x.unionByName(y).join(brought, "node")
 
     def fn(columns: list[list]) -> dict:
         out: dict = {"a": [], "b": []}
