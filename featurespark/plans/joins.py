@@ -261,6 +261,18 @@ def o55(spark, sf):
     return W.pair_stats(transactions(spark, sf).filter("t_id % 37 = 0"), "cc_num", "ts", "t_id", 86400)
 
 
+@query(
+    "o55_pair_stats_by_day",
+    f"""with {TX}, g as (select cc_num, ts::date as d, date_sub('second', lag(ts) over (partition by cc_num, ts::date order by ts, t_id), ts) as gap from tx), k as (select cc_num, d, count(*) as n, max(gap) as most from g group by 1, 2)
+    select count(*) as n_keys, count(*) filter (n = 2) as n_pairs, round(count(*) filter (n = 2) / count(*), 6) as pair_share, count(*) filter (most <= 3600) as n_close from k""",
+)
+def o55_by_day(spark, sf):
+    """Pairs among all rows: the events of a card on a day are a group."""
+    t = transactions(spark, sf)
+    t = t.withColumn("card_day", F.struct("cc_num", F.to_date("ts")))
+    return W.pair_stats(t, "card_day", "ts", "t_id", 3600)
+
+
 @query("o56_horizon", f"with {DAILY_SQL} select date, row_number() over (partition by month(date) order by date) as days_before_forecast_day from aq")
 def o56(spark, sf):
     t = daily_outcome(spark, sf).withColumn("m", F.month("date"))

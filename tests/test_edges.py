@@ -168,3 +168,16 @@ def test_fallbacks_and_json(spark):
     assert sorted(values(good, "reply.data.iaqi.pm25.v"), key=repr) == [(3.5,), (None,)] and bad.count() == 2
     two = spark.createDataFrame([("Unknown", "x"), ("y", "z"), (None, None)], "a string, b string")
     assert [r[0] for r in two.select(T.first_valid(["a", "b"], lambda c: c != "Unknown")).collect()] == ["x", "y", None]
+
+
+def test_pair_stats_cover_all_rows(spark):
+    """The query by day counts every event, not those of some ids."""
+    from featurespark import plans
+
+    sf = "/root/testdata/sf0.001"
+    got = plans.QUERIES["o55_pair_stats_by_day"](spark, sf).first()
+    events = spark.read.parquet(f"{sf}/events.parquet").selectExpr("user_id", "to_date(ts) as day").collect()
+    groups = {}
+    for r in events:
+        groups[r] = groups.get(r, 0) + 1
+    assert (got.n_keys, got.n_pairs) == (len(groups), sum(n == 2 for n in groups.values()))
