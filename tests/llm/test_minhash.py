@@ -3,7 +3,7 @@ import re
 import numpy as np
 
 from featurespark.llm.graph import components
-from featurespark.llm.minhash import MinMax, drop_near_duplicates, near_duplicates, op3_minhash_dedup, shape
+from featurespark.llm.minhash import MinMax, drop_near_duplicates, least_agreeing, near_duplicates, op3_minhash_dedup, shape
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -87,3 +87,19 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(99, 98), (7, 7), (None, 3)], "a long, b long")
     got = {tuple(r) for r in components(links).collect()}
     assert got == {(i, 0) for i in range(41)} | {(98, 98), (99, 98)}
+
+
+def test_pair_of_unlike_signatures_is_found(spark):
+    """92 of 108 words are common (0.852), but only 85 of 120 signature values agree."""
+    words = [f"w8933x{i}" for i in range(108)]
+    docs = [(1, " ".join(words[:100])), (2, " ".join(words[:92] + words[100:]))]
+    rows = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=1, percent=85).collect()
+    assert sorted(map(tuple, rows)) == brute(docs, 1, 85)
+    assert [r.component_id for r in rows] == [1, 1]
+
+
+def test_signatures_miss_no_more_than_stated():
+    for percent, least in ((85, 81), (80, 73)):
+        assert least_agreeing(percent / 100, 120, 1e-6) == least
+        agree = np.random.default_rng(4).binomial(120, percent / 100, 10**6)
+        assert (agree < least).sum() <= 5
