@@ -1,10 +1,11 @@
 """Edit-aware token counts (operator 4).
 
 A document's pre-tokens are gathered in leaves of ``LEAF``; a segment tree over the leaves holds sums of characters and
-tokens. An edit re-encodes the leaves it touches and no more: from the leaf that holds the character two before the edit
-(a pre-token depends on at most two characters after its end) until, behind the edit, a new pre-token ends where an old
-leaf ended. What a pattern matches from there on depends on the text from there on alone, so the rest can't change. The
-sums on the path to the root follow in logarithmic time.
+tokens. The vocabulary's added tokens are pre-tokens of their own, and the text between them is split part by part. An
+edit re-encodes the leaves it touches and no more: from the leaf that holds the character ``reach()`` before the edit (a
+pre-token depends on at most two characters after its end, or on an added token that begins there) until, behind the
+edit, a new pre-token ends where an old leaf ended. What is matched from there on depends on the text from there on
+alone, so the rest can't change. The sums on the path to the root follow in logarithmic time.
 
 Trees are stored as two arrays, one entry a leaf, beside their documents; no shuffle is needed to build or edit them.
 ``edits`` is an array of (start, end, text) in characters, each on the text that the one before has left; offsets are
@@ -16,6 +17,7 @@ rows are handled one by one, so repeated rows repeat; other columns pass through
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import add_columns
-from .packing import encoder
+from .packing import added_tokens, encoder
 
 LEAF = 32
 TREE = "n_tokens long, leaf_chars array<int>, leaf_tokens array<int>"
@@ -37,6 +39,24 @@ def pattern() -> regex.Pattern:
     return regex.compile(public_tokenizers.PATTERN)
 
 
+@cache
+def reach() -> int:
+    """Characters before an edit on which it can have an effect."""
+    return 2 + max(map(len, added_tokens()[1]), default=0)
+
+
+def pre_tokens(text: str, pos: int = 0) -> Iterator[str]:
+    """Pre-tokens from pos on, where one begins."""
+    while pos < len(text):
+        found = added_tokens()[0].search(text, pos)
+        end = found.start() if found else len(text)
+        for piece in pattern().finditer(text, pos, end):
+            yield piece[0]
+        if found:
+            yield found[0]
+        pos = found.end() if found else end
+
+
 @lru_cache(200_000)
 def n_tokens(piece: str) -> int:
     """Tokens of one pre-token."""
@@ -91,16 +111,16 @@ class Tree:
         start = max(0, min(start, len(text)))
         end = max(start, min(end, len(text)))
         text, shift, behind = text[:start] + new + text[end:], len(new) - (end - start), start + len(new)
-        first, at = self.find(start - 2)
+        first, at = self.find(start - reach())
         leaf, old_end = first, at + self.chars(first)
-        pos, tokens, seen = at, 0, 0
+        pos, tokens, seen, pieces = at, 0, 0, pre_tokens(text, at)
         while True:
             while old_end < max(pos - shift, end) and leaf + 1 < self.n:
                 leaf += 1
                 old_end += self.chars(leaf)
             if pos >= behind and pos - shift == old_end:
                 break
-            piece = pattern().match(text, pos)[0]
+            piece = next(pieces)
             pos, tokens, seen = pos + len(piece), tokens + n_tokens(piece), seen + 1
         for i in range(first + 1, leaf + 1):
             self.set(i, 0, 0)
@@ -110,7 +130,7 @@ class Tree:
 
 def build(text: str | None) -> tuple[int, list[int], list[int]]:
     """Tokens of a text, and characters and tokens of its leaves."""
-    pieces = pattern().findall(text or "")
+    pieces = list(pre_tokens(text or ""))
     chars, tokens = [], []
     for at in range(0, len(pieces), LEAF):
         part = pieces[at : at + LEAF]

@@ -103,3 +103,17 @@ def test_null_empty_repeated_and_long(spark):
     check_documents([r for r in out if r.doc_id != 4], dict(rows), 16)
     check_sequences(out, 16)
     assert pack(df.limit(0)).count() == 0
+
+
+def test_added_tokens_have_their_own_ids():
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    assert encoder()(f"a {end} b") == [64, 220, 50256, 275]
+    for text in [end, end * 3, f"{end} a", f"a  {end}", f"a\n\n  {end}  \nb", f"<|endoftext{end}|>", f"<{end[1:-1]}", f"it{end}'s"]:
+        assert encoder()(text) == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_packed_ids_hold_added_tokens(spark):
+    df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    row = pack(df, 16).first()
+    assert (row.length, row.ids_crc32) == (5, zlib.crc32(np.array([64, 220, 50256, 275, 0], "<u4").tobytes()))

@@ -57,3 +57,24 @@ def test_edit_table_nulls_and_empty(spark):
     assert all(r.n_tokens == len(encoder()(r.text or "")) and r.other == 8 for r in out)
     assert [r.n_reencoded for r in out if r.doc_id == 4] == [0]
     assert token_trees(docs.limit(0)).count() == 0
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.randoms(use_true_random=False))
+def test_edits_make_and_break_added_tokens(rng: random.Random):
+    some = ["<|endoftext|>", "<|endof", "text|>", "<|", "|>", " ", "  ", "\n", "a", "endoftext", "!", "'s"]
+    text = "".join(rng.choices(some, k=rng.choice([1, 5, 200])))
+    tree = Tree(*build(text)[1:])
+    assert tree.total == (len(text), len(encoder()(text)))
+    for _ in range(8):
+        a = rng.randrange(len(text) + 1)
+        b = min(len(text), a + rng.randrange(3))
+        new = "".join(rng.choices(some, k=rng.choice([0, 0, 1, 2])))
+        want = text[:a] + new + text[b:]
+        text, _ = tree.edit(text, a, b, new)
+        assert text == want
+        assert tree.total == (len(text), len(encoder()(text)))
+
+
+def test_added_token_counts_once():
+    assert build("a <|endoftext|> b")[0] == 4
