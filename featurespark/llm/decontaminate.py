@@ -229,16 +229,16 @@ def _by_join(docs: DataFrame, items: DataFrame, n: int, k: int, share: int) -> D
             F.greatest(a["to"], s["end"]).alias("to"),
         ),
     )["n"]
-    by_doc = by_doc.select("doc", covered.cast("long").alias("n_hit"), "ids")
+    by_doc = by_doc.select(F.col("doc").alias("_doc"), covered.cast("long").alias("n_hit"), F.col("ids").alias("_ids"))
     plain = docs.drop(*names(RESULT))
     counted = add_columns(plain, [plain["text"].cast("binary")], lambda x: [(len(alnum_words(t)),) for t in x], "n_words long")
-    out = counted.withColumn("doc", F.sha2(F.col("text").cast("binary"), 256)).join(by_doc, "doc", "left").drop("doc")
+    out = counted.withColumn("_doc", F.sha2(F.col("text").cast("binary"), 256)).join(by_doc, "_doc", "left").drop("_doc")
     return (
         out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
-        .withColumn("n_items", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long"))
-        .withColumn("items_sha256", F.sha2(F.concat_ws(",", F.coalesce("ids", F.array().cast("array<string>"))), 256))
+        .withColumn("n_items", F.coalesce(F.array_size("_ids"), F.lit(0)).cast("long"))
+        .withColumn("items_sha256", F.sha2(F.concat_ws(",", F.coalesce("_ids", F.array().cast("array<string>"))), 256))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
-        .drop("ids")
+        .drop("_ids")
     )
 
 

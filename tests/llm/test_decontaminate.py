@@ -66,3 +66,11 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(docs, none).first().n_items == 0
     assert decontaminate(docs.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_columns_doc_and_ids_pass(spark, limit):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text, "x", "y"), (2, "a b", "x", "y")], "doc_id long, text string, doc string, ids string")
+    got = decontaminate(docs, spark.createDataFrame([(7, text)], "item_id long, text string"), max_broadcast_bytes=limit)
+    assert sorted((r.doc_id, r.doc, r.ids, r.n_hit, r.n_items) for r in got.collect()) == [(1, "x", "y", 20, 1), (2, "x", "y", 0, 0)]
