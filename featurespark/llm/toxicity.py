@@ -1,41 +1,51 @@
 """Toxicity by weak supervision (operator 8).
 
-1. Voters. Over all labelled training rows Spark counts, per term, in how many documents of each label it occurs. Terms are words and word
-   beginnings of 4 to 7 letters (patterns that also meet inflected forms). Terms of the fixed seed lexicon and the terms
-   most indicative of label 1 become voters that say 1 where they occur; at most ``max_voters``. A last group of voters
-   says 0 on texts that no voter of label 1 touches.
-2. Label model. Voters abstain or vote; votes of voters that fire together (correlation over ``tied``) are one family,
-   since they repeat one piece of evidence. A generative model with a class prior and one propensity per family and
-   class is fitted to the votes by expectation maximisation, with the training labels as weak start of the accuracies.
-   Its posteriors are labels in [0, 1] that discount correlated votes.
-3. Classifier. Logistic regression on the voters' presence, their number and their share of words, trained on those
-   posteriors. It scores every whole text, one task pass, without a shuffle.
-
-Term counts are a distributed aggregate over all training rows. What reaches the driver is bounded by ``max_voters``
-terms and ``max_labelled`` sparse rows of votes: with more labelled rows, label model and classifier are fitted on a
-sample by a hash of the id. Labels, lang, source and doc_id are never
-inputs of a score. With no labels, the seed lexicon alone votes.
+1. Rows to learn from. Of the labelled ids about ``max_labelled`` are drawn by hash, both labels alike as far as there
+   are so many, before any text is touched. The ids are broadcast, so texts are neither shuffled nor written. What the
+   draw leaves out of each label enters as its weight.
+2. Voters. Tasks count, per term, in how many drawn documents of each label it occurs. Terms are words, word beginnings
+   of 4 to 7 letters, and ``PATTERNS`` on the text as it stands. The seed lexicon and all terms indicative of label 1 say
+   1 where they occur, terms indicative of label 0 say 0; beginnings counted as often as a longer form of theirs are left
+   out. One voter says 0 on texts that no voter of label 1 touches. All others abstain.
+3. Label model. A generative model with a class prior, the chances of each voter to vote in either class, and those of
+   the given label to be 1, is fitted by expectation maximisation. In each round the correlations of the voters inside
+   the classes are estimated too; a voter's evidence is divided by the sum of its correlations with all voters, so
+   voters that repeat each other count once together.
+4. Classifier. Logistic regression on the voters' presence, the number of words with a voter and their share, trained on
+   the posteriors. It scores every whole text in one pass without a shuffle.
+
+What reaches the driver is bounded by ``max_voters`` terms of either kind and about ``max_labelled`` sparse rows of
+votes. Labels, lang, source and doc_id are never inputs of a score. With no labels, the seed lexicon alone votes.
 
 Defined results: null and empty text is scored as a text without terms; duplicate label rows of a document count once,
-toxic if any is; labels of unknown documents and null labels are ignored; rows are scored one by one; other columns pass
-through unless they bear a name of the result.
+toxic if any is; labels of unknown documents, null labels and null ids are ignored; of rows that repeat a labelled id
+all count as texts with terms and one is used for the fit; all rows are scored one by one, texts of any length as a
+whole; empty tables give no rows; other columns pass through unless they bear a name of the result.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, map_rows, names, written
+from .common import add_columns, drop_written, map_rows, names, written
 
 # A small English lexicon of insults.
 SEED = "idiot moron stupid loser trash scum pathetic worthless disgusting clown imbecile dumbass retard scumbag".split()
 RESULT = "score double, predicted int, n_terms long"
 _CLEAN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 STEMS = (4, 5, 6, 7)
+#: Terms that look at the text as it stands.
+PATTERNS = [
+    re.compile(r"!{3,}"),
+    re.compile(r"\b[A-Z]{4,}(?:\s+[A-Z]{3,}){2,}"),
+    re.compile(r"\b[A-Za-z]+[*@#$%]{2,}[A-Za-z]*"),
+    re.compile(rf"\b[Yy]ou(?:r|'re| are| all)?\b[^.!?\n]{{0,40}}\b(?:{'|'.join(SEED)})"),
+]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,17 +59,40 @@ def terms_of(word: bytes) -> list[str]:
     return [w] + [f"{w[:n]}*" for n in STEMS if len(w) > n]
 
 
+def patterns_of(text: str | None) -> list[str]:
+    """The patterns that match, as terms."""
+    return [f"/{i}" for i, pattern in enumerate(PATTERNS) if pattern.search(text)] if text else []
+
+
 def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def draw(known: DataFrame, max_labelled: int) -> tuple[DataFrame, tuple[float, float]]:
+    """(doc_id, toxic) of about max_labelled labelled documents, and how many of label 0 and 1 each stands for.
+
+    The draw is by a hash of the id: each label gets half, or what it has, and the other one the rest.
+    """
+    have = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    n = [have.get(0, 0), have.get(1, 0)]
+    take = [min(n[y], max(max_labelled // 2, max_labelled - n[1 - y])) for y in (0, 1)]
+    share = [take[y] / n[y] if n[y] else 1.0 for y in (0, 1)]
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    limit = F.when(F.col("toxic") == 1, F.lit(int(share[1] * (1 << 30)))).otherwise(F.lit(int(share[0] * (1 << 30))))
+    return known.filter(u < limit), (1 / share[0], 1 / share[1])
+
+
 def term_counts(train: DataFrame) -> DataFrame:
-    """term, n1, n0: documents of each label (column toxic) whose text has the term. Tasks count before the shuffle."""
+    """term, n1, n0: documents of each label (column toxic) whose text has the term. Tasks count before the shuffle.
+
+    The term of no letters counts the documents themselves.
+    """
 
     def fn(columns: list[list]) -> dict:
         counts = (Counter(), Counter())
         for text, toxic in zip(*columns, strict=True):
-            counts[toxic].update({t for w in set(words_of(text)) for t in terms_of(w)})
+            counts[toxic].update({t for w in set(words_of(text)) for t in terms_of(w)}.union(patterns_of(text)))
+            counts[toxic][""] += 1
         seen = list(counts[1] | counts[0])
         return {"term": seen, "n1": [counts[1][t] for t in seen], "n0": [counts[0][t] for t in seen]}
 
@@ -67,77 +100,101 @@ def term_counts(train: DataFrame) -> DataFrame:
     return made.groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def choose_voters(train: DataFrame, max_voters: int, least_docs: int) -> list[str]:
-    """The seed terms and those of the highest lower bound on the chance of label 1, an all-but-equal term only once."""
-    n1, n0 = (train.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first() or (0, 0))[:2]
-    if not n1 or not n0:
-        return list(SEED)
-    found = term_counts(train).filter(F.col("n1") >= least_docs)
-    rate1, rate0 = (F.col("n1") + 0.5) / (n1 + 1.0), (F.col("n0") + 0.5) / (n0 + 1.0)
-    odds = F.log(rate1 / rate0) - 1.64 * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    found = found.withColumn("odds", odds).filter("odds > 1.2")
-    best = found.orderBy(F.desc("odds"), "term").limit(max_voters).collect()
-    return list(dict.fromkeys([*SEED, *[r.term for r in best]]))[: max_voters + len(SEED)]
+def choose_voters(train: DataFrame, weights: tuple[float, float], max_voters: int, least_docs: int) -> tuple[list[str], list[str]]:
+    """Terms that say 1 (the seed first) and terms that say 0: those more often right than wrong, by a lower bound.
+
+    The bound on the log odds must exceed those of the label against it (by weight), and 1.2 at least.
+
+    Of forms that begin alike and are counted alike only the longest is kept; max_voters bounds each list.
+    """
+    counts = written(term_counts(train))
+    n1, n0 = (counts.filter("term = ''").select("n1", "n0").first() or (0, 0))[:2]
+    chosen = []
+    for own, other, n, m in (("n1", "n0", n1, n0), ("n0", "n1", n0, n1)):
+        if not n1 or not n0:
+            chosen.append([])
+            continue
+        found = counts.filter((F.col(own) >= least_docs) & (F.col("term") != ""))
+        odds = F.log((F.col(own) + 0.5) / (n + 1.0)) - F.log((F.col(other) + 0.5) / (m + 1.0))
+        odds = odds - 2.33 * F.sqrt(1 / (F.col(own) + 0.5) + 1 / (F.col(other) + 0.5))
+        against = np.log(m * weights[own == "n0"] / (n * weights[own == "n1"]))
+        found = found.withColumn("odds", odds).filter(F.col("odds") > max(1.2, float(against)))
+        longest = F.max_by("term", F.struct(F.length("term"), "term")).alias("term")
+        found = found.groupBy(F.substring("term", 1, STEMS[0]).alias("start"), "n1", "n0").agg(longest, F.max("odds").alias("odds"))
+        chosen.append([r.term for r in found.orderBy(F.desc("odds"), "term").limit(max_voters).collect()])
+    drop_written(counts)
+    return list(dict.fromkeys([*SEED, *chosen[0]])), chosen[1]
 
 
 class Voting:
-    """Which voters a text has: a word's voters are looked up once and remembered, within a bound."""
+    """Which voters a text has: terms for 1, terms for 0, and the one for untouched texts.
 
-    def __init__(self, voters: list[str]):
-        self.index = {t: i for i, t in enumerate(voters)}
+    A word's voters are looked up once and remembered, within a bound.
+    """
+
+    def __init__(self, ones: list[str], zeros: list[str] = ()):
+        self.n_ones, self.n = len(ones), len(ones) + len(zeros) + 1
+        self.index = {t: i for i, t in enumerate([*ones, *zeros])}
         self.known: dict[bytes, tuple[int, ...]] = {}
 
     def __call__(self, text: str | None) -> tuple[list[int], int, int]:
-        """Voters that occur, how many words have one, and the number of words."""
-        words, known, found, n = words_of(text), self.known, set(), 0
+        """Voters that vote, how many words have one for 1, and the number of words."""
+        words, known, n = words_of(text), self.known, 0
+        found = {self.index[t] for t in patterns_of(text) if t in self.index}
         if len(known) > 400_000:
             known.clear()
         for w in words:
             got = known.get(w)
             if got is None:
-                got = known[w] = tuple(self.index[t] for t in terms_of(w) if t in self.index)
+                got = known[w] = tuple(sorted(self.index[t] for t in terms_of(w) if t in self.index))
             if got:
                 found.update(got)
-                n += 1
+                n += got[0] < self.n_ones
+        if not found or min(found) >= self.n_ones:
+            found.add(self.n - 1)
         return sorted(found), n, len(words)
 
 
-def families(votes: np.ndarray, tied: float) -> np.ndarray:
-    """Voters whose presence correlates over ``tied``, joined: the family number of each."""
-    n = votes.shape[1]
-    family = np.arange(n)
-    if len(votes) < 2 or not n:
-        return family
-    x = votes - votes.mean(axis=0)
-    scale = np.sqrt((x**2).sum(axis=0))
-    corr = (x.T @ x) / np.maximum(np.outer(scale, scale), 1e-9)
-    for i in range(n):
-        for j in np.flatnonzero(corr[i, :i] > tied):
-            family[family == family[i]] = family[j]
-    return np.unique(family, return_inverse=True)[1]
-
-
-def posteriors(votes: np.ndarray, labels: np.ndarray, family: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Chance of label 1 per row under the generative model, fitted by expectation maximisation from the labels."""
-    n = int(family.max()) + 1 if len(family) else 0
-    fires = np.zeros((len(votes), n), bool)
-    for f in range(n):
-        fires[:, f] = votes[:, family == f].any(axis=1)
+def discounts(fires: np.ndarray, weight: np.ndarray, p: np.ndarray, noise: float) -> np.ndarray:
+    """One over the sum of each voter's correlations with all voters (its own, 1, included) inside the classes.
+
+    fires: rows x voters, 0 or 1; p: chance of label 1 per row. Correlations up to ``noise`` count as none.
+    """
+    cov = np.zeros((fires.shape[1],) * 2)
+    for q in (weight * p, weight * (1 - p)):
+        mean = q @ fires / max(q.sum(), 1e-9)
+        cov += (fires * q[:, None]).T @ fires - q.sum() * np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+    corr = cov / np.outer(scale, scale)
+    np.fill_diagonal(corr, 0.0)
+    return 1 / (1 + np.where(corr > noise, corr, 0.0).sum(axis=1))
+
+
+def posteriors(fires: np.ndarray, labels: np.ndarray, weight: np.ndarray, noise: float = 0.1, rounds: int = 40) -> np.ndarray:
+    """Chance of label 1 per row under the generative model, fitted by expectation maximisation from the labels.
+
+    The given label is a voter of its own that is right in nine of ten cases to begin with, and whose accuracy is
+    estimated as the others' are; its start counts as much as ten rows of each class.
+    """
     p = np.where(labels == 1, 0.9, 0.1)
     for _ in range(rounds):
-        prior = np.clip(p.mean(), 1e-4, 0.5)
-        on1 = (fires.T @ p + 0.5) / (p.sum() + 1.0)
-        on0 = (fires.T @ (1 - p) + 0.1) / ((1 - p).sum() + 1.0)
-        logit = np.log(prior / (1 - prior)) + fires @ np.log(on1 / on0) + (~fires) @ np.log((1 - on1) / (1 - on0))
-        new = 1 / (1 + np.exp(-np.clip(logit + np.where(labels == 1, 1.0, -1.0), -30, 30)))
+        q1, q0 = weight * p, weight * (1 - p)
+        prior = np.clip(q1.sum() / weight.sum(), 1e-4, 1 - 1e-4)
+        on1, on0 = (q1 @ fires + 0.5) / (q1.sum() + 1.0), (q0 @ fires + 0.5) / (q0.sum() + 1.0)
+        right1, wrong0 = (q1 @ labels + 9.0) / (q1.sum() + 10.0), (q0 @ labels + 1.0) / (q0.sum() + 10.0)
+        own = discounts(fires, weight, p, noise)
+        logit = np.log(prior / (1 - prior)) + fires @ (own * np.log(on1 / on0)) + (1 - fires) @ (own * np.log((1 - on1) / (1 - on0)))
+        logit += np.where(labels == 1, np.log(right1 / wrong0), np.log((1 - right1) / (1 - wrong0)))
+        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(new - p).max() < 1e-6:
-            break
+            return new
         p = new
     return p
 
 
 def features(found: list[tuple[list[int], int, int]], n: int) -> np.ndarray:
-    x = np.zeros((len(found), n + 3), np.float64)
+    """Presence of each voter, two measures of how many words have one for 1, and a constant."""
+    x = np.zeros((len(found), n + 3), np.float32)
     for row, (which, hits, words) in zip(x, found, strict=True):
         row[which] = 1.0
         row[n] = np.log1p(hits)
@@ -146,76 +203,76 @@ def features(found: list[tuple[list[int], int, int]], n: int) -> np.ndarray:
     return x
 
 
-def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 0.02, rounds: int = 2000) -> np.ndarray:
-    """Weights of logistic regression on soft labels, both classes of equal weight."""
-    w = np.zeros(x.shape[1])
-    if not len(x):
-        w[-1] = -3.0
-        return w
-    share = np.clip(p.mean(), 0.02, 0.98)
-    one, zero = p * (1 - share), (1 - p) * share
-    x, at = np.unique(x, axis=0, return_inverse=True)  # most rows are those without any voter
-    one, zero = np.bincount(at.ravel(), one), np.bincount(at.ravel(), zero)
+def logistic(x: np.ndarray, p: np.ndarray, count: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Weights of logistic regression on soft labels of rows that occur ``count`` times; the rarer class gains half of what equal
+    weight would give it."""
+    x = x.astype(np.float64)
+    share = np.clip(count @ p / count.sum(), 0.02, 0.98)
+    one, zero = count * p * np.sqrt(1 - share), count * (1 - p) * np.sqrt(share)
     weight = one + zero
-    penal = np.full(len(w), ridge)
-    penal[-1] = 0.0
-    step = 4.0 / np.maximum(weight @ x**2 * x.sum(axis=1).max(), 1e-3)
-    for _ in range(rounds):
+    penal = np.full(x.shape[1], ridge)
+    penal[-1] = 1e-6
+    cost = lambda w: weight @ np.logaddexp(0, x @ w) - one @ (x @ w) + penal @ w**2 / 2
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):  # Newton steps, halved until the cost falls
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= step * (x.T @ (weight * q - one) + penal * w)
+        step = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + np.diag(penal), x.T @ (weight * q - one) + penal * w)
+        size, now = 1.0, cost(w)
+        while size > 1e-6 and cost(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-6:
+            break
     return w
 
 
-def fit(train: DataFrame, max_voters: int, least_docs: int, max_labelled: int, tied: float) -> tuple[list[str], np.ndarray]:
+def fit(train: DataFrame, weights: tuple[float, float], max_voters: int, least_docs: int, noise: float) -> tuple[Voting, np.ndarray]:
     """Voters and classifier weights from rows (doc_id, text, toxic)."""
-    voters = choose_voters(train, max_voters, least_docs)
-    voting = Voting(voters)
+    voting = Voting(*choose_voters(train, weights, max_voters, least_docs))
 
     def fn(columns: list[list]) -> dict:
         found = [voting(t) for t in columns[0]]
-        return {"which": [f[0] for f in found], "hits": [f[1] for f in found], "words": [f[2] for f in found], "toxic": columns[1]}
-
-    n = train.count()
-    if n > max_labelled:
-        share = F.lit(int((1 << 20) * max_labelled / n))
-        train = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
-    rows = map_rows(train.select("text", "toxic"), fn, "which array<int>, hits int, words int, toxic int")
-    rows = rows.limit(2 * max_labelled).collect()  # mostly without voters
-    found = [(list(r.which), r.hits, r.words) for r in rows]
-    labels = np.array([r.toxic for r in rows], int)
-    x = features(found, len(voters))
-    if not len(x) or labels.max() == 0:
-        w = np.zeros(len(voters) + 3)
+        return {"which": [f[0] for f in found], "hits": [f[1] for f in found], "words": [f[2] for f in found], "toxic": columns[1], "doc_id": columns[2]}
+
+    kind = train.schema["doc_id"].dataType.simpleString()
+    rows = map_rows(train.select("text", "toxic", "doc_id"), fn, f"which array<int>, hits int, words int, toxic int, doc_id {kind}")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("which", "hits", "words", "toxic")).alias("r")).select("r.*")
+    same = Counter((tuple(r.which), r.hits, r.words if r.hits else 1, r.toxic) for r in rows.toLocalIterator())
+    labels = np.array([k[3] for k in same], int)
+    if not len(labels) or labels.max() == 0:
+        w = np.zeros(voting.n + 3)
         w[: len(SEED)], w[-1] = 4.0, -3.0
-        return voters, w
-    votes = x[:, : len(voters)] > 0
-    p = posteriors(votes, labels, families(votes.astype(float), tied))
-    return voters, logistic(x, p)
+        return voting, w
+    x = features([(list(k[0]), k[1], k[2]) for k in same], voting.n)
+    count = np.array(list(same.values()), float)
+    p = posteriors(x[:, : voting.n], labels, count * np.where(labels == 1, weights[1], weights[0]))
+    return voting, logistic(x, p, count)
 
 
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
     train_on=None,
-    max_voters: int = 300,
+    max_voters: int = 500,
     least_docs: int = 3,
     max_labelled: int = 30_000,
-    tied: float = 0.6,
+    noise: float = 0.1,
 ) -> DataFrame:
     """docs with score, predicted (score of 0.5 or more) and n_terms; train_on is the condition for training rows."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id")
     known = known.agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     rows = docs.select("doc_id", "text")
     if train_on is not None:
-        known, rows = known.filter(train_on), rows.filter(train_on)
-    train = written(rows.join(known, "doc_id").select("doc_id", "text", "toxic"))
-    voters, weights = fit(train, max_voters, least_docs, max_labelled, tied)
-    voting = Voting(voters)
+        known = known.filter(train_on)
+    drawn, weights = draw(known, max_labelled)
+    drawn = written(drawn)
+    voting, w = fit(rows.join(F.broadcast(drawn), "doc_id"), weights, max_voters, least_docs, noise)
+    drop_written(drawn)
 
     def fn(texts: list[str | None]) -> list[tuple]:
         found = [voting(t) for t in texts]
-        score = 1 / (1 + np.exp(-np.clip(features(found, len(voters)) @ weights, -30, 30)))
-        return [(float(s), int(s >= 0.5), len(f[0])) for s, f in zip(score, found, strict=True)]
+        score = 1 / (1 + np.exp(-np.clip(features(found, voting.n) @ w, -30, 30)))
+        return [(float(s), int(s >= 0.5), sum(i < voting.n_ones for i in f[0])) for s, f in zip(score, found, strict=True)]
 
     return add_columns(docs, [docs["text"]], fn, RESULT)
 

@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 
 from featurespark.llm.language import KneserNey, count_grams, grams, identify, normal, op1_language_id
-from featurespark.llm.toxicity import families, logistic, op8_toxicity, posteriors, score_toxicity
+from featurespark.llm.toxicity import discounts, draw, logistic, op8_toxicity, posteriors, score_toxicity
 
 
 def test_counts_equal_brute_force(spark):
@@ -55,19 +56,50 @@ def test_language_edges(spark):
     assert len(identify(df, max_ngrams=8).collect()) == 6
 
 
-def test_label_model_discounts_correlated_votes():
+def plain_posteriors(fires, labels, weight, noise, rounds):
+    """The label model in plain loops."""
+    n, m = len(fires), len(fires[0])
+    p = [0.9 if y else 0.1 for y in labels]
+    for _ in range(rounds):
+        q = [[w * x for w, x in zip(weight, p)], [w * (1 - x) for w, x in zip(weight, p)]]
+        total = [sum(c) for c in q]
+        on = [[(sum(c[i] * fires[i][j] for i in range(n)) + 0.5) / (t + 1) for j in range(m)] for c, t in zip(q, total)]
+        mean = [[sum(c[i] * fires[i][j] for i in range(n)) / t for j in range(m)] for c, t in zip(q, total)]
+        cov = [[sum(c[i] * (fires[i][j] - e[j]) * (fires[i][k] - e[k]) for c, e in zip(q, mean) for i in range(n)) for k in range(m)] for j in range(m)]
+        own = []
+        for j in range(m):
+            corr = [cov[j][k] / math.sqrt(cov[j][j] * cov[k][k]) for k in range(m) if k != j]
+            own.append(1 / (1 + sum(c for c in corr if c > noise)))
+        right1 = (sum(c * y for c, y in zip(q[0], labels)) + 9) / (total[0] + 10)
+        wrong0 = (sum(c * y for c, y in zip(q[1], labels)) + 1) / (total[1] + 10)
+        prior = total[0] / sum(weight)
+        p = []
+        for i in range(n):
+            z = math.log(prior / (1 - prior)) + math.log(right1 / wrong0 if labels[i] else (1 - right1) / (1 - wrong0))
+            for j in range(m):
+                z += own[j] * math.log(on[0][j] / on[1][j] if fires[i][j] else (1 - on[0][j]) / (1 - on[1][j]))
+            p.append(1 / (1 + math.exp(-z)))
+    return p
+
+
+@pytest.mark.parametrize("share", [0.2, 0.8])
+def test_label_model_equals_brute_force(share):
     rng = np.random.default_rng(5)
-    y = (rng.random(3000) < 0.15).astype(int)
-    fire = lambda hit, false: np.where(y == 1, rng.random(3000) < hit, rng.random(3000) < false)
-    a, b, c = fire(0.7, 0.01), fire(0.6, 0.02), fire(0.3, 0.1)
-    votes = np.stack([a, b, c, c, c], axis=1).astype(float)
-    family = families(votes, 0.6)
-    assert len(set(family)) == 3 and len(set(family[2:])) == 1
-    noisy = np.where(rng.random(3000) < 0.05, 1 - y, y)
-    p = posteriors(votes, noisy, family)
-    assert p[(y == 1) & (a | b)].mean() > 0.8 and p[(y == 0) & ~(a | b)].mean() < 0.1
-    w = logistic(np.hstack([votes, np.ones((3000, 1))]), p)
-    assert (w[:2] > 0.5).all()
+    y = (rng.random(300) < share).astype(int)
+    fire = lambda hit, false: np.where(y == 1, rng.random(300) < hit, rng.random(300) < false).astype(float)
+    a, b, c = fire(0.7, 0.02), fire(0.6, 0.05), fire(0.3, 0.1)
+    fires = np.stack([a, b, c, c, c, fire(0.1, 0.6)], axis=1)
+    noisy = np.where(rng.random(300) < 0.05, 1 - y, y)
+    weight = np.where(noisy == 1, 1.0, 2.5)
+    for rounds in (1, 3):
+        got = posteriors(fires, noisy, weight, 0.1, rounds)
+        assert np.allclose(got, plain_posteriors(fires.tolist(), noisy.tolist(), weight.tolist(), 0.1, rounds), atol=1e-9)
+    p = posteriors(fires, noisy, np.ones(300))
+    assert abs(p.mean() - share) < 0.08 and ((p > 0.5) == y).mean() > 0.95
+    own = discounts(fires, np.ones(300), y.astype(float), 0.1)
+    assert np.allclose(own[2:5], 1 / 3, atol=0.05) and (own[:2] > 0.7).all()
+    w = logistic(np.hstack([fires, np.ones((300, 1))]), p, np.ones(300))
+    assert (w[:2] > 0.5).all() and w[5] < 0
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +134,25 @@ def test_toxicity_query(spark, sf):
     rows = op8_toxicity(spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(r.predicted, toxic[r.doc_id]) for r in rows if r.held_out and toxic.get(r.doc_id) is not None]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert np.mean([p == y for p, y in held]) > 0.98
+
+
+def test_labelled_rows_are_drawn_by_hash_within_a_bound(spark, toxic_rows):
+    known = spark.createDataFrame(toxic_rows[1], "doc_id long, toxic int")
+    drawn, weights = draw(known, 300)
+    n = Counter(r.toxic for r in drawn.collect())
+    assert n[1] == 100 and 150 < n[0] < 250 and weights == (4.0, 1.0)
+    assert sorted(drawn.collect()) == sorted(draw(known.repartition(3), 300)[0].collect())
+    df = spark.createDataFrame(toxic_rows[0], "doc_id long, text string")
+    out = {r.doc_id: r.predicted for r in score_toxicity(df, known, max_labelled=300).collect()}
+    assert np.mean([out[i] == y for i, y in toxic_rows[1]]) > 0.97
+
+
+def test_very_long_text_is_scored_whole(spark, toxic_rows):
+    rows = [(0, "word " * 300_000 + "idiot pathetic"), (1, "word " * 300_000)]
+    df = spark.createDataFrame([*rows, *[(i + 10, t) for i, t in toxic_rows[0]]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i + 10, y) for i, y in toxic_rows[1]], "doc_id long, toxic int")
+    assert [r.n_terms > 0 for r in score_toxicity(df, labels).filter("doc_id < 2").orderBy("doc_id").collect()] == [True, False]
