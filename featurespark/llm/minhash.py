@@ -8,17 +8,22 @@ are candidates. Rows per band are the most for which a pair at the threshold is
 1. Documents with the same set are one class, represented by the smallest doc_id: copies never meet in pairs.
 2. Each bucket has one hub, drawn by hash. Of all its hubs a representative is compared with the one of most like
    signature (a star, not all pairs), on full sets rebuilt from the texts, so links are exact. Components join the stars.
-3. In buckets that still hold more than one component, members outside the largest are compared with a hub of that;
-   where this leaves a bucket split, with all members of other components: both sides are dealt into blocks, each pair of
-   blocks is a group of bounded size, where signatures rule out pairs that agree in fewer values than a pair at the
-   threshold does but with a chance of at most ``miss`` (with 120 values: under 81 at 0.85, under 73 at 0.8), and the
-   rest is verified on full sets. No group's pairs are ever listed as a whole.
+3. In buckets that still hold more than one component, members outside the largest are compared with a hub of that.
+4. What is still split is searched in blocks. Members get a longer signature (``LONG`` values) and are dealt, without
+   texts, into cells of about ``BLOCK`` members on either side: those outside the largest component by all. A cell lists
+   the pairs of different components that may reach the threshold, each pair in the first band it shares only. A pair at
+   the threshold agrees in fewer values than are asked for with a chance of at most ``miss`` (at 0.85: 188 of 256).
+5. Only members of listed pairs bring their texts to the cell, where pairs are confirmed on full sets unless their
+   components have been linked meanwhile. Cells are cut finer where shingles weigh over ``HEAVY``, which bounds the texts
+   that meet in one task. Pairs never leave a cell, only links do.
 
-A pair at the threshold is lost with a chance of at most twice ``miss``: bands and signatures together.
+A pair at the threshold is lost with a chance of at most twice ``miss``: bands and long signatures together.
 
 Defined results: null and wordless text has an empty set (n_shingles 0), is linked with nothing and is kept; rows of one
-doc_id are one document (equal rows are copies); a null doc_id takes its class's component, or null, and is not kept;
-an empty table gives no rows; other input columns pass through ``drop_near_duplicates``, clashing names included.
+doc_id are one document, which is linked if one of its texts is; a null doc_id takes its class's component, or null, and
+is not kept; texts of any length count as a whole; an empty table gives no rows. ``drop_near_duplicates`` keeps one row of
+each group and all rows without words; where ids are null or repeat, it goes by rows instead of ids, so that no text is
+lost; other input columns pass through it, clashing names included.
 """
 
 from __future__ import annotations
@@ -30,11 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, map_rows, mix64, space_words, written
+from .common import map_rows, mix64, scratch, space_words, written
 from .decontaminate import gram_hashes, word_hashes
 from .graph import components
 
-BLOCK = 96
+BLOCK = 1024
+HEAVY = 1 << 21
+LONG = 256
 
 
 def shape(threshold: float, values: int, miss: float) -> tuple[int, int]:
@@ -124,26 +131,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 out["b"].append(b)
         return out
 
-    with_text = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    with_text = with_text.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    with_text = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    with_text = with_text.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     kind = pairs.schema["a"].dataType.simpleString()
     return map_rows(with_text.select("a", "b", "x", "y"), fn, f"a {kind}, b {kind}", rows=64)
 
 
-def _near(bits: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, n: int, percent: int, least: int) -> np.ndarray:
-    """Agreeing signature values where a pair may reach the threshold (``least`` agree, and sizes allow it), else 0."""
-    like = (bits == sketch).sum(axis=1)
-    return np.where((like >= least) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)), like, 0)
-
-
 def _best_hub(pairs: DataFrame, sketches: DataFrame, percent: int, least: int) -> DataFrame:
     """For each a of the pairs (a, b) the b of most like signature, if the pair may reach the threshold."""
 
     def fn(columns: list[list]) -> dict:
         out: dict = {"a": [], "b": [], "like": []}
         for a, b, x, y, n, m in zip(*columns, strict=True):
-            like = _near(np.frombuffer(x, np.uint8)[None, :], np.frombuffer(y, np.uint8), np.array([n]), m, percent, least)[0]
-            if like:
+            like = int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum())
+            if like >= least and 100 * min(n, m) >= percent * max(n, m):
                 for c, v in zip(out, (a, b, float(like)), strict=True):
                     out[c].append(v)
         return out
@@ -156,20 +157,21 @@ def _best_hub(pairs: DataFrame, sketches: DataFrame, percent: int, least: int) -
 
 
 def _split_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (key, node, component) of buckets that hold more than one component, with the bucket's size (m), its
-    largest component (main) and that one's size (top)."""
+    """Members (key, node, n, component) of buckets with more than one component, with the bucket's largest component
+    (main), its members and shingles (m, w), and those outside the largest (m_out, w_out)."""
     named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
-    main = F.max_by("component", F.struct("n", "component")).alias("main")
-    sizes = sizes.agg(main, F.sum("n").alias("m"), F.max("n").alias("top")).filter("top < m")
-    return written(named.join(sizes, "key"))
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    top = F.max_by(F.struct("component", "c", "w"), F.struct("c", "component")).alias("top")
+    sizes = sizes.groupBy("key").agg(top, F.sum("c").alias("m"), F.sum("w").alias("w")).filter("top.c < m")
+    sizes = sizes.select("key", F.col("top.component").alias("main"), "m", "w", F.expr("m - top.c as m_out"), F.expr("w - top.w as w_out"))
+    return written(named.join(written(sizes), "key"))
 
 
 def _to_main(split: DataFrame) -> DataFrame:
     """Pairs (a, b): members outside their bucket's largest component, and a hub drawn from that."""
     hub = F.min_by("node", F.xxhash64("node", "key", F.lit(2))).alias("b")
-    hubs = split.filter("component = main").groupBy("key").agg(hub)
-    return split.filter("component <> main").join(hubs, "key").select(F.col("node").alias("a"), "b").distinct()
+    hubs = written(split.filter("component = main").groupBy("key").agg(hub))
+    return written(split.filter("component <> main").join(hubs, "key").select(F.col("node").alias("a"), "b")).distinct()
 
 
 def _alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
@@ -178,59 +180,116 @@ def _alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(s) + len(t) - both)
 
 
-def _across(split: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int, least: int) -> DataFrame:
-    """Links (a, b) between members of a bucket that are not in one component, as many as connect what is linked.
+def _long_sketches(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """node, a byte of each of LONG signature values (other permutations than those of the bands), and 32 bits of each
+    band's key."""
+    minmax = MinMax(LONG, seed=2)
+
+    def fn(columns: list[list]) -> dict:
+        nodes, texts, keys = columns
+        values = [mix64(minmax(shingle_set(t, k))) >> np.uint64(56) for t in texts]
+        return {"node": nodes, "long": [v.astype(np.uint8).tobytes() for v in values], "first": [np.array(x, np.int64).astype(np.int32).tobytes() for x in keys]}
+
+    kind = texts.schema["node"].dataType.simpleString()
+    return map_rows(texts.select("node", "text", "bands"), fn, f"node {kind}, long binary, first binary")
+
+
+def _cells(split: DataFrame, long: DataFrame) -> DataFrame:
+    """Members of split buckets with their signatures, once in each of their cells (i, j) of the bucket.
 
-    One of such a pair lies outside the bucket's largest component. Those members and all members are dealt into blocks
-    of about BLOCK by hash; every pair of blocks is a group of its own, so no group grows with its bucket. A group's
-    members bring their texts; pairs whose signatures are near enough are confirmed there on full sets, unless the two
-    components have been linked in the group before. So pairs never leave a task, only links do.
+    Members outside the main component are dealt into nx parts and lie in all cells of one i; all members are dealt into
+    ny parts and lie in all cells of one j.
     """
-    others = F.ceil((F.col("m") - F.col("top")) / BLOCK).cast("int")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = split.select("key", "node", "component", "main", others.alias("nx"), blocks.alias("ny"))
-    every = F.sequence(F.lit(0), F.col("nx") - 1)
-    y = dealt.select("key", "node", "component", F.lit(False).alias("x"), F.explode(every).alias("i"), F.pmod(F.xxhash64("node"), "ny").cast("int").alias("j"))
-    every = F.sequence(F.lit(0), F.col("ny") - 1)
-    x = dealt.filter("component <> main").select("key", "node", "component", F.lit(True).alias("x"), F.pmod(F.xxhash64("node"), "nx").cast("int").alias("i"), F.explode(every).alias("j"))
-    brought = sketches.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
-    both = x.unionByName(y).join(brought, "node")
+    parts = lambda m, w: F.ceil(F.greatest(F.col(m) / BLOCK, F.col(w) / HEAVY)).cast("int")
+    dealt = split.join(long, "node").withColumns({"nx": parts("m_out", "w_out"), "ny": parts("m", "w")})
+    hashed = F.xxhash64("node")
+    dealt = dealt.withColumns({"px": F.when(F.col("component") != F.col("main"), F.pmod(hashed, "nx").cast("int")), "py": F.pmod(hashed, "ny").cast("int")})
+    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    as_y = F.transform(F.sequence(F.lit(0), F.col("nx") - 1), lambda i: cell(i, F.col("py")))
+    as_x = F.transform(F.sequence(F.lit(0), F.col("ny") - 1), lambda j: cell(F.col("px"), j))
+    cells = F.when(F.col("px").isNull(), as_y).otherwise(F.array_union(as_y, as_x))
+    return dealt.withColumn("cell", F.explode(cells)).select("key", "cell", "node", "component", "n", "long", "first", "px", "py")
+
+
+def _listed(cells: DataFrame, percent: int, least: int) -> DataFrame:
+    """key, cell, node, component, partners: members of pairs that may reach the threshold, the pair's other end at one."""
+
+    def fn(columns: list[list]) -> dict:
+        out: dict = {"key": [], "cell": [], "node": [], "component": [], "partners": []}
+        for key, cell, group in zip(*columns, strict=True):
+            ys = [g for g in group if g["py"] == cell["j"]]
+            xs = [g for g in group if g["px"] == cell["i"]]
+            if not xs or not ys:
+                continue
+            stacked = lambda name, kind: np.frombuffer(b"".join(g[name] for g in ys), kind).reshape(len(ys), -1)
+            bits, first = stacked("long", np.uint8), stacked("first", np.int32)
+            sizes, number = np.array([g["n"] for g in ys]), {g["component"]: i for i, g in enumerate(group)}
+            comps = np.array([number[g["component"]] for g in ys])
+            here = np.int64(key).astype(np.int32)
+            met: dict = {}
+            for g in xs:
+                n = g["n"]
+                fits = (comps != number[g["component"]]) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                at = np.flatnonzero(fits)
+                like = (bits[at] == np.frombuffer(g["long"], np.uint8)).sum(axis=1)
+                at, like = at[like >= least], like[like >= least]
+                own = np.frombuffer(g["first"], np.int32)
+                at = at[np.argsort(-like, kind="stable")]
+                at = at[(first[at] == own).argmax(axis=1) == (own == here).argmax()]
+                # of two members outside the main component each would list the other
+                partners = [ys[z]["node"] for z in at.tolist() if ys[z]["px"] is None or ys[z]["node"] > g["node"]]
+                if partners:
+                    met.setdefault(g["node"], []).extend(partners)
+                    for z in partners:
+                        met.setdefault(z, [])
+            of = {g["node"]: g["component"] for g in group}
+            for node, partners in met.items():
+                for c, v in zip(out, (key, cell, node, of[node], partners), strict=True):
+                    out[c].append(v)
+        return out
+
+    kind = cells.schema["node"].dataType.simpleString()
+    member = F.struct("node", "component", "n", "long", "first", "px", "py")
+    groups = cells.groupBy("key", "cell").agg(F.collect_list(member).alias("group"))
+    schema = f"key long, cell struct<i: int, j: int>, node {kind}, component {kind}, partners array<{kind}>"
+    return map_rows(groups, fn, schema, rows=16)
+
+
+def _confirmed(listed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among the listed pairs of each cell, as many as connect what is linked."""
 
     def fn(columns: list[list]) -> dict:
         out: dict = {"a": [], "b": []}
         for (group,) in zip(*columns, strict=True):
-            x, y = [g for g in group if g["x"]], [g for g in group if not g["x"]]
-            if not x or not y:
-                continue
-            bits = np.frombuffer(b"".join(g["sketch"] for g in y), np.uint8).reshape(len(y), -1)
-            size = np.array([g["n_shingles"] for g in y])
             up = {g["component"]: g["component"] for g in group}
-            sets: dict[int, np.ndarray] = {}
+            of: dict = {}
+            for g in group:
+                of.setdefault(g["node"], []).append(g)
+            sets: dict = {}
 
             def root(c):
                 while up[c] != c:
                     up[c] = c = up[up[c]]
                 return c
 
-            def set_of(g):
-                if g["node"] not in sets:
-                    sets[g["node"]] = shingle_set(g["text"], k)
-                return sets[g["node"]]
+            def sets_of(node):
+                if node not in sets:
+                    sets[node] = [shingle_set(g["text"], k) for g in of[node]]
+                return sets[node]
 
-            for g in x:
-                like = _near(bits, np.frombuffer(g["sketch"], np.uint8), size, g["n_shingles"], percent, least)
-                for z in np.argsort(-like)[: np.count_nonzero(like)].tolist():
-                    c, d = root(g["component"]), root(y[z]["component"])
-                    if c != d and _alike(set_of(g), set_of(y[z]), percent):
+            for node, rows in of.items():
+                for z in dict.fromkeys(z for g in rows for z in g["partners"]):
+                    c, d = root(rows[0]["component"]), root(of[z][0]["component"])
+                    if c != d and any(_alike(s, t, percent) for s in sets_of(node) for t in sets_of(z)):
                         up[c] = d
-                        out["a"].append(g["node"])
-                        out["b"].append(y[z]["node"])
+                        out["a"].append(node)
+                        out["b"].append(z)
         return out
 
-    kind = split.schema["node"].dataType.simpleString()
-    member = F.struct("node", "component", "x", "sketch", "n_shingles", "text")
-    groups = both.groupBy("key", "i", "j").agg(F.collect_list(member).alias("group")).select("group")
-    return map_rows(groups, fn, f"a {kind}, b {kind}", rows=16).distinct()
+    kind = listed.schema["node"].dataType.simpleString()
+    member = F.struct("node", "component", "partners", "text")
+    groups = listed.join(texts.select("node", "text"), "node").groupBy("key", "cell").agg(F.collect_list(member).alias("group"))
+    return map_rows(groups.select("group"), fn, f"a {kind}, b {kind}", rows=4)
 
 
 def near_duplicates(
@@ -238,47 +297,58 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     bands, rows = shape(percent / 100, values, miss)
-    least = least_agreeing(percent / 100, bands * rows, miss)
+    least, least_long = least_agreeing(percent / 100, bands * rows, miss), least_agreeing(percent / 100, LONG, miss)
     docs = docs.select("doc_id", "text")
-    marks = written(signatures(docs, k, bands, rows))
-    classes = marks.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    classes = written(classes.filter("node is not null"))
-    own = marks.join(classes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"], "left_semi")
-    buckets = own.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))
-    hub = F.min_by("node", F.xxhash64("node", "key")).alias("hub")
-    hubs = buckets.groupBy("key").agg(hub, F.min("node").alias("c"), F.max("node").alias("d")).filter("c < d")
-    members = written(buckets.join(hubs.select("key", "hub"), "key").distinct())
-    sketches = own.select(F.col("doc_id").alias("node"), "sketch", "n_shingles")
-    pairs = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = written(docs.join(wanted, "doc_id", "left_semi").withColumn("text", F.col("text").cast("binary")))
-    links = written(_verified(_best_hub(pairs, sketches, percent, least), texts, k, percent))
-    found = components(links)
-    for last in (False, True):  # members outside a bucket's largest component: first with a hub of that, then with all
-        split = _split_buckets(members.select("key", "node"), found)
-        if last:
-            more = written(_across(split, sketches, texts, k, percent, least))
-        else:
-            more = written(_verified(_best_hub(_to_main(split), sketches, percent, least), texts, k, percent))
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            found = components(links)
-        members = split
-    drop_written(texts)
-    named = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = marks.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    with scratch() as tables:
+        marks = written(signatures(docs, k, bands, rows))
+        same = [F.first(c).alias(c) for c in ("bands", "sketch", "n_shingles")]  # equal in a class
+        classes = marks.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), *same)
+        classes = written(classes)
+        buckets = classes.select(F.explode("bands").alias("key"), "node", F.col("n_shingles").alias("n"))
+        hub = F.min_by("node", F.xxhash64("node", "key")).alias("hub")
+        hubs = buckets.groupBy("key").agg(hub, F.min("node").alias("c"), F.max("node").alias("d")).filter("c < d")
+        members = written(buckets.join(written(hubs.select("key", "hub")), "key"))
+        wanted = members.select("node").distinct()
+        chosen = written(classes.join(wanted, "node", "left_semi"))
+        sketches = chosen.select("node", "sketch", "n_shingles")
+        texts = docs.withColumnRenamed("doc_id", "node").withColumn("text", F.col("text").cast("binary"))
+        texts = written(texts.join(wanted, "node", "left_semi"))
+        verify = lambda pairs: _verified(_best_hub(pairs, sketches, percent, least), texts, k, percent)
+        links = written(verify(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()))
+        found = components(links)
+        for last in (False, True):
+            split = _split_buckets(members.select("key", "node", "n"), found)
+            if last:
+                own = texts.join(split.select("node").distinct(), "node", "left_semi")
+                long = written(_long_sketches(own.join(chosen.select("node", "bands"), "node"), k, bands, rows))
+                more = written(_confirmed(written(_listed(_cells(split, long), percent, least_long)), texts, k, percent))
+            else:
+                more = written(verify(_to_main(split)))
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                found = components(links)
+            members = split
+        named = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+        out = marks.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+        component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+        out = written(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
+        tables.keep(out)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but one document of each group of near duplicates."""
-    found = written(near_duplicates(docs, **options))
-    kept = found.filter("kept").select("doc_id")
-    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # rows that repeat an id: one stays
-        docs = docs.dropDuplicates(["doc_id"])
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    """docs without all but one row of each group of near duplicates."""
+    odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    if odd.isEmpty():
+        kept = near_duplicates(docs, **options).filter("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **options)
+    found = rows.select("_row", "doc_id").join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = found.groupBy("component_id").agg(least.alias("r")).select("r._row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 
+from featurespark.llm import minhash
 from featurespark.llm.graph import components
 from featurespark.llm.minhash import MinMax, drop_near_duplicates, least_agreeing, near_duplicates, op3_minhash_dedup, shape
 
@@ -81,6 +82,50 @@ def test_empty_and_null_ids(spark):
     rows = sorted(map(tuple, near_duplicates(df, k=3).collect()), key=repr)
     assert rows == [(5, 2, 5, True), (None, 1, None, False), (None, 2, 5, False)]
     assert near_duplicates(df.limit(0)).count() == 0
+    more = df.union(spark.createDataFrame([(5, "other text here"), (5, "a b c d"), (None, None), (7, "")], df.schema))
+    kept = sorted(map(tuple, drop_near_duplicates(more, k=3).collect()), key=repr)
+    assert [t for _, t in kept].count("a b c d") == 1 and len(kept) == 5
+    assert {t for _, t in kept} == {"a b c d", "q", "other text here", None, ""}
+    assert drop_near_duplicates(more.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(5, "a b c d e"), (5, "v w x y z"), (6, "V w x y z"), (4, "a b c d e f"), (9, "q r s")]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=80).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(4, 4), (5, 4), (6, 4), (9, 9)}
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
+def test_cells_are_cut_by_members_and_by_weight(spark, rng, monkeypatch):
+    """A group of near copies in one bucket, dealt into many cells either way, loses no link."""
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    docs = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(14)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        docs.append((i + 1, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for name, value in (("BLOCK", 8), ("HEAVY", 2000)):
+        with monkeypatch.context() as m:
+            m.setattr(minhash, name, value)
+            assert sorted(map(tuple, near_duplicates(df, k=3, percent=85).collect())) == brute(docs, 3, 85)
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, long[: len(long) // 2])]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_recall_of_searched_documents(spark, sf):
+    """Ids divisible by 100 against all rows: the share of their exact links that end in the same component."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").collect()]
+    component = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=3, percent=85).collect()}
+    everything = [(i, s) for i, s in sets(docs, 3) if s]
+    linked = [(i, j) for i, s in everything if i % 100 == 0 for j, t in everything if i != j and 100 * len(s & t) >= 85 * len(s | t)]
+    assert linked and all(component[i] == component[j] for i, j in linked)
 
 
 def test_components_of_a_long_path(spark):
@@ -99,7 +144,7 @@ def test_pair_of_unlike_signatures_is_found(spark):
 
 
 def test_signatures_miss_no_more_than_stated():
-    for percent, least in ((85, 81), (80, 73)):
-        assert least_agreeing(percent / 100, 120, 1e-6) == least
-        agree = np.random.default_rng(4).binomial(120, percent / 100, 10**6)
+    for percent, values, least in ((85, 120, 81), (80, 120, 73), (85, 256, 188), (80, 256, 172)):
+        assert least_agreeing(percent / 100, values, 1e-6) == least
+        agree = np.random.default_rng(4).binomial(values, percent / 100, 10**6)
         assert (agree < least).sum() <= 5
