@@ -9,7 +9,10 @@ the last match ended (``\\G``), and repeats without a choice are possessive. The
 
 Besides the base kinds (email, ip, card, phone) it finds ``iban`` and ``secret`` (a named credential with its value).
 
-Defined results: null text has no spans (``redact`` leaves it null); rows are handled one by one, so repeated rows repeat;
+Positions and redacted texts are put together in chunks, so that a text of very many spans takes time in proportion.
+
+Defined results: null text has no spans (``redact`` leaves it null); texts
+of any length are searched as a whole; an empty table gives no rows; rows are handled one by one, so repeated rows repeat;
 all other columns pass through, unless they bear a name of the result.
 """
 
@@ -21,6 +24,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import let
+
 # IBAN lengths by country.
 IBAN_LENGTHS = {
     "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18,
@@ -106,30 +111,54 @@ KINDS = [
 ]
 
 
+def chunked(items: Column, n: int) -> Column:
+    """An array cut into arrays of n items."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / n).cast("int")), lambda i: F.slice(items, i * n + 1, F.lit(n)))
+
+
+def running(items: Column, fn: Callable[[Column, Column], Column], combine: Callable[[Column, Column], Column]) -> Column:
+    """The state before each item of a non-empty array, from 0 on; two levels keep the time all but linear."""
+    none = F.array().cast("array<int>")
+
+    def grow(step: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+        return lambda a, x: F.struct(step(a["now"], x).alias("now"), F.array_append(a["at"], a["now"]).alias("at"))
+
+    def placed(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), fn))
+        before = F.aggregate(totals, F.struct(F.lit(0).alias("now"), none.alias("at")), grow(combine))["at"]
+        own = F.zip_with(chunks, before, lambda c, b: F.aggregate(c, F.struct(b.alias("now"), none.alias("at")), grow(fn))["at"])
+        return F.flatten(own)
+
+    return let(items, lambda x: let(chunked(x, 128), placed))
+
+
 def spans(text: Column, matches: Column, kind: Kind) -> Column:
-    """Array of (kind, start, end, score) of a kind's valid matches; code points, end exclusive."""
+    """Array of (kind, start, end, score) of a kind's valid matches; code points, end exclusive.
+
+    The context of a span are the 40 characters before it. They lie in the part before it and in the eight matches and
+    parts before that at most, since no match is shorter than five characters.
+    """
     gaps = F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(matches))
-    sizes = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), m.alias("t")))
-    empty = F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<s:int,e:int,t:string>>").alias("at"))
+    sized = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("t"), F.length(g).alias("g"), F.length(m).alias("m")))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["to"] + x["g"]
-        end = start + x["m"]
-        one = F.struct(start.alias("s"), end.alias("e"), x["t"].alias("t"))
-        return F.struct(end.alias("to"), F.array_append(a["at"], one).alias("at"))
+    def placed(parts: Column) -> Column:
+        before = running(parts, lambda a, x: a + x["g"] + x["m"], lambda a, b: a + b)
+        numbered = F.transform(parts, lambda x, i: F.struct(x["t"].alias("t"), x["gap"].alias("gap"), x["g"].alias("g"), x["m"].alias("m"), i.alias("i")))
+        found = F.zip_with(numbered, before, lambda x, b: F.struct(x["t"].alias("t"), x["gap"].alias("gap"), x["i"].alias("i"), (b + x["g"]).alias("s"), (b + x["g"] + x["m"]).alias("e")))
+        if kind.valid:
+            found = F.filter(found, lambda x: kind.valid(x["t"]))
 
-    placed = F.aggregate(sizes, empty, step)["at"]
-    if kind.valid:
-        placed = F.filter(placed, lambda x: kind.valid(x["t"]))
+        def scored(x: Column) -> Column:
+            earlier = F.slice(parts, F.greatest(x["i"] - 7, F.lit(1)), F.least(x["i"], F.lit(8)))
+            earlier = F.transform(earlier, lambda y: F.concat(F.right(y["gap"], F.lit(40)), F.right(y["t"], F.lit(40))))
+            near = F.right(F.concat(F.array_join(earlier, ""), F.right(x["gap"], F.lit(40))), F.lit(40))
+            score = F.when(F.lower(near).rlike(kind.context), min(1.0, kind.score + 0.2)).otherwise(kind.score)
+            return F.struct(F.lit(kind.name).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), score.alias("score"))
 
-    def scored(x: Column) -> Column:
-        begin = F.greatest(x["s"] - 40, F.lit(0))
-        near = F.lower(F.substring(text, begin + 1, x["s"] - begin)).rlike(kind.context)
-        score = F.when(near, min(1.0, kind.score + 0.2)).otherwise(kind.score)
-        return F.struct(F.lit(kind.name).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), score.alias("score"))
+        return F.transform(found, scored)
 
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    return F.when(F.size(matches) > 0, F.transform(placed, scored)).otherwise(none)
+    return F.when(F.size(matches) > 0, let(sized, placed)).otherwise(none)
 
 
 def find_pii(docs: DataFrame, kinds: list[Kind] = KINDS, column: str = "pii") -> DataFrame:
@@ -148,17 +177,31 @@ def redact(docs: DataFrame, kinds: list[Kind] = KINDS) -> DataFrame:
     ordered = F.array_sort(F.transform("_pii", lambda x: F.struct(x["start"], x["end"], x["kind"])))
     text = F.col("text")
 
-    def step(a: Column, x: Column) -> Column:
+    def tagged(part: Column, at: Column, x: Column) -> Column:
+        """What lies before a span since the end of those before it, cut from a part of the text, and the span's tag."""
         tag = F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        part = F.concat(F.substring(text, a["to"] + 1, x["start"] - a["to"]), tag)
-        parts = F.when(x["start"] >= a["to"], F.array_append(a["parts"], part)).otherwise(a["parts"])
-        return F.struct(F.greatest(a["to"], x["end"]).alias("to"), parts.alias("parts"))
+        return F.concat(F.substring(part, x["to"] - at + 1, x["start"] - x["to"]), tag)
+
+    def cut(part: Column, at: Column, some: Column, sizes: list[int]) -> Column:
+        """The tagged text of some spans. Each level cuts its part out once, so that no span reads from the text's start."""
+        if not sizes:
+            return F.array_join(F.transform(some, lambda x: tagged(part, at, x)), "")
+
+        def inner(c: Column) -> Column:
+            start = c[0]["to"]
+            own = F.substring(part, start - at + 1, F.element_at(c, -1)["start"] - start)
+            return let(own, lambda own: cut(own, start, c, sizes[1:]))
+
+        return F.array_join(F.transform(chunked(some, sizes[0]), inner), "")
 
-    def finish(a: Column) -> Column:
-        return F.concat(F.array_join(a["parts"], ""), F.substring(text, a["to"] + 1, F.length(text)))
+    def whole(found: Column) -> Column:
+        before = running(found, lambda a, x: F.greatest(a, x["end"]), F.greatest)
+        kept = F.zip_with(found, before, lambda x, b: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), b.alias("to")))
+        kept = F.filter(kept, lambda x: x["start"] >= x["to"])
+        tail = F.substring(text, F.array_max(F.transform(found, lambda x: x["end"])) + 1, F.length(text))
+        return F.concat(let(kept, lambda kept: cut(text, F.lit(0), kept, [4096, 64])), tail)
 
-    start = F.struct(F.lit(0).alias("to"), F.array().cast("array<string>").alias("parts"))
-    new = F.when(F.size("_pii") > 0, F.aggregate(ordered, start, step, finish)).otherwise(text)
+    new = F.when(F.size("_pii") > 0, let(ordered, whole)).otherwise(text)
     return found.withColumn("text", new).select(docs.columns)
 
 

@@ -1,7 +1,8 @@
 import hashlib
 import re
+import time
 
-from featurespark.llm.pii import _PLAIN, find_pii, redact, report
+from featurespark.llm.pii import _PLAIN, BASE, KINDS, find_pii, redact, report
 from featurespark.llm.quality import quality
 
 CARD = "4539 1488-0343 6467"
@@ -67,6 +68,41 @@ def test_redaction(spark):
     assert rows == ["é [EMAIL]! [CARD] [PHONE]", None, "clean"]
 
 
+def test_many_spans_take_time_in_proportion(spark):
+    took, n = [], 4000
+    for size in (n, n, 4 * n):
+        text = " ".join(f"write {i}@b.com, 1.2.3.{i % 256}" for i in range(size))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        found, clean = report(df).first(), redact(df).first().text
+        took.append(time.perf_counter() - began)
+        assert (found.n_email, found.n_ip) == (size, size)
+        assert clean == " ".join(["write [EMAIL], [IP]"] * size)
+    assert took[2] < 10 * took[1]
+
+
+def test_spans_equal_brute_force_over_chunks(spark, rng):
+    texts = []
+    for _ in range(40):
+        some = ["a@b.cc", "1.2.3.4", "+49 170 1234567", "4111 1111 1111 1111", "word", "mail", "é", "host 9.9.9.9", "x1@y.zz@q.org"]
+        texts.append(rng.choice(["", " "]).join(rng.choice(some) + rng.choice([" ", ", ", "\n"]) for _ in range(rng.randrange(700))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, context = {}, {k.name: k for k in KINDS}
+    for r in find_pii(df).collect():
+        text, found[r.doc_id] = texts[r.doc_id], r.pii
+        assert [f"{x.kind}:{x.start}:{x.end}" for x in r.pii if x.kind in BASE] == base_spans(text)
+        for x in r.pii:
+            near = re.search(context[x.kind].context, text[max(0, x.start - 40) : x.start].lower())
+            assert (x.score > context[x.kind].score) == bool(near)
+    for r in redact(df).collect():
+        text, want, to = texts[r.doc_id], [], 0
+        for start, end, kind in sorted((x.start, x.end, x.kind) for x in found[r.doc_id]):
+            if start >= to:
+                want.append(text[to:start] + f"[{kind.upper()}]")
+            to = max(to, end)
+        assert r.text == "".join(want) + text[to:]
+
+
 def brute_quality(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, hit = {}, set()
