@@ -5,7 +5,7 @@
 2. Best fit depends on lengths alone, and there are at most ``capacity`` lengths. Spark counts pieces by length; the
    driver packs these counts in decreasing length. A segment tree over remaining capacities finds the tightest open
    sequences in logarithmic time; all pieces of one length that go to sequences of one remaining capacity move as a run.
-   What passes the driver is bounded by ``capacity``, not by the number of documents.
+   What passes the driver, these runs, is bounded by about the square of ``capacity``, not by the number of documents.
 3. Each piece gets its rank among those of its length: row number within (length, bucket) plus the sizes of the buckets
    before it, so that a length that a third of all pieces share is spread over many tasks. The run that holds the rank
    gives sequence and offset. The runs, a few for each length, are broadcast.
@@ -24,7 +24,6 @@ from __future__ import annotations
 import base64
 import json
 import re
-import threading
 import zlib
 from functools import cache
 
@@ -35,7 +34,6 @@ from pyspark.sql import functions as F
 from .common import add_columns, map_rows, written
 
 RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
-_local = threading.local()
 
 
 @cache
@@ -65,8 +63,10 @@ def encoder(ranks_file: str | None = None, vocabulary_file: str | None = None):
     def part(text: str) -> list[int]:
         try:
             return fast.encode_ordinary(text)
-        except Exception:  # noqa: BLE001  its pattern engine gives up on some very long runs
-            return _slow(vocabulary_file or public_tokenizers.path(VOCABULARY)).encode(text, add_special_tokens=False).ids
+        except BaseException as e:  # its pattern engine panics on very long runs, which is no Exception
+            if type(e).__name__ != "PanicException":
+                raise
+            return tokenizer(vocabulary_file or public_tokenizers.path(VOCABULARY)).encode(text, add_special_tokens=False).ids
 
     def encode(text: str) -> list[int]:
         out, at = [], 0
@@ -80,7 +80,7 @@ def encoder(ranks_file: str | None = None, vocabulary_file: str | None = None):
 
 
 @cache
-def _slow(path: str):
+def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)

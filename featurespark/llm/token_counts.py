@@ -1,22 +1,30 @@
 """Edit-aware token counts (operator 4).
 
-A document's pre-tokens are gathered in leaves of ``LEAF``; a segment tree over the leaves holds sums of characters and
+A document's pre-tokens are gathered in leaves of ``LEAF`` (twice as many after edits at most); a segment tree over the leaves holds sums of characters and
 tokens. The vocabulary's added tokens are pre-tokens of their own, and the text between them is split part by part. An
 edit re-encodes the leaves it touches and no more: from the leaf that holds the character ``reach()`` before the edit (a
 pre-token depends on at most two characters after its end, or on an added token that begins there) until, behind the
 edit, a new pre-token ends where an old leaf ended. What is matched from there on depends on the text from there on
-alone, so the rest can't change. The sums on the path to the root follow in logarithmic time.
+alone, so the rest can't change. The sums on the path to the root follow in logarithmic time. Leaves that outgrow twice
+``LEAF`` are split and the tree is built anew over its leaves, once in ``LEAF`` inserted pre-tokens at most, so what an
+edit re-encodes stays small however many edits have gone before.
+
+Pre-tokens are cut by ``regex``, whose tables of letters and numbers are newer than those of the tokenizer. Characters
+that are letters or numbers in them alone count as symbols (``unknown()``), so that both cut alike.
 
 Trees are stored as two arrays, one entry a leaf, beside their documents; no shuffle is needed to build or edit them.
 ``edits`` is an array of (start, end, text) in characters, each on the text that the one before has left; offsets are
 clipped to that text.
 
 Defined results: null text is empty, with no pre-tokens and tokens, and stays null without edits; null edits are none;
-rows are handled one by one, so repeated rows repeat; other columns pass through unless they bear a result's name.
+rows are handled one by one, so repeated rows repeat;
+texts of any length are encoded as a whole; an empty table gives no rows; other columns pass through unless they bear a result's name.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -27,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import add_columns
-from .packing import added_tokens, encoder
+from .packing import VOCABULARY, added_tokens, encoder, tokenizer
 
 LEAF = 32
 TREE = "n_tokens long, leaf_chars array<int>, leaf_tokens array<int>"
@@ -39,6 +47,28 @@ def pattern() -> regex.Pattern:
     return regex.compile(public_tokenizers.PATTERN)
 
 
+@cache
+def unknown() -> tuple[re.Pattern, re.Pattern]:
+    """Letters and numbers of ``regex`` that the tokenizer's own tables take for symbols.
+
+    They are looked for among what Python's older tables do not know: behind a symbol the tokenizer begins a new
+    pre-token with a letter or number only. The first pattern finds what may be one of them, in less time.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    new = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    splits = tokenizer(public_tokenizers.path(VOCABULARY)).pre_tokenizer.pre_tokenize_str("".join(f"!{c}\n" for c in new))
+    begun = {start for _, (start, _) in splits}
+    ranges: list[list[int]] = []
+    for c in (ord(c) for i, c in enumerate(new) if 3 * i + 1 not in begun):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    if not ranges:
+        return re.compile("(?!)"), re.compile("(?!)")
+    return re.compile(f"[{chr(ranges[0][0])}-\U0010ffff]"), re.compile(f"[{''.join(f'{chr(a)}-{chr(b)}' for a, b in ranges)}]")
+
+
 @cache
 def reach() -> int:
     """Characters before an edit on which it can have an effect."""
@@ -47,11 +77,12 @@ def reach() -> int:
 
 def pre_tokens(text: str, pos: int = 0) -> Iterator[str]:
     """Pre-tokens from pos on, where one begins."""
+    plain = text if text.isascii() or not unknown()[0].search(text) else unknown()[1].sub("\ue000", text)  # a symbol
     while pos < len(text):
         found = added_tokens()[0].search(text, pos)
         end = found.start() if found else len(text)
-        for piece in pattern().finditer(text, pos, end):
-            yield piece[0]
+        for piece in pattern().finditer(plain, pos, end):
+            yield text[piece.start() : piece.end()]
         if found:
             yield found[0]
         pos = found.end() if found else end
@@ -113,7 +144,8 @@ class Tree:
         text, shift, behind = text[:start] + new + text[end:], len(new) - (end - start), start + len(new)
         first, at = self.find(start - reach())
         leaf, old_end = first, at + self.chars(first)
-        pos, tokens, seen, pieces = at, 0, 0, pre_tokens(text, at)
+        pos, new_leaves, pieces = at, [], pre_tokens(text, at)
+        seen: list[tuple[int, int]] = []
         while True:
             while old_end < max(pos - shift, end) and leaf + 1 < self.n:
                 leaf += 1
@@ -121,11 +153,19 @@ class Tree:
             if pos >= behind and pos - shift == old_end:
                 break
             piece = next(pieces)
-            pos, tokens, seen = pos + len(piece), tokens + n_tokens(piece), seen + 1
-        for i in range(first + 1, leaf + 1):
-            self.set(i, 0, 0)
-        self.set(first, pos - at, tokens)
-        return text, seen
+            pos += len(piece)
+            seen.append((len(piece), n_tokens(piece)))
+        step = LEAF if len(seen) > 2 * LEAF else 2 * LEAF
+        for i in range(0, len(seen), step):
+            new_leaves.append([sum(column) for column in zip(*seen[i : i + step], strict=True)])
+        if len(new_leaves) <= leaf - first + 1:
+            for i in range(first, leaf + 1):
+                self.set(i, *(new_leaves[i - first] if i - first < len(new_leaves) else (0, 0)))
+        else:
+            own = list(zip(*self.leaves(), strict=True))
+            own[first : leaf + 1] = new_leaves
+            self.__init__(*map(list, zip(*[x for x in own if x[0]], strict=True)))
+        return text, len(seen)
 
 
 def build(text: str | None) -> tuple[int, list[int], list[int]]:

@@ -6,7 +6,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from featurespark.llm.packing import Tree, encoder, op5_best_fit_packing, pack, plan
+from featurespark.llm.packing import Tree, cut, encoder, op5_best_fit_packing, pack, plan
+
+
+SLOW = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def plain_best_fit(lengths, capacity):
@@ -52,7 +55,7 @@ def test_tree_finds_tightest(opened, length):
 
 
 def test_ids_equal_the_vocabulary_file(spark, sf):
-    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    slow = SLOW
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
     for text in [*texts, "", " \n\t  x", "é 　😀" * 9, "a" * 5000, "0 1  2\r\n"]:
         assert encoder()(text) == slow.encode(text, add_special_tokens=False).ids
@@ -106,7 +109,7 @@ def test_null_empty_repeated_and_long(spark):
 
 
 def test_added_tokens_have_their_own_ids():
-    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    slow = SLOW
     end = "<|endoftext|>"
     assert encoder()(f"a {end} b") == [64, 220, 50256, 275]
     for text in [end, end * 3, f"{end} a", f"a  {end}", f"a\n\n  {end}  \nb", f"<|endoftext{end}|>", f"<{end[1:-1]}", f"it{end}'s"]:
@@ -117,3 +120,16 @@ def test_packed_ids_hold_added_tokens(spark):
     df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
     row = pack(df, 16).first()
     assert (row.length, row.ids_crc32) == (5, zlib.crc32(np.array([64, 220, 50256, 275, 0], "<u4").tobytes()))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=200), st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "\n", "'s", "a", "é", "1"]), max_size=30).map("".join)))
+def test_ids_equal_the_vocabulary_file_on_any_text(text):
+    text = text.encode("utf-8", "ignore").decode()
+    assert encoder()(text) == SLOW.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_runs(spark):
+    rows = [(1, " " * 1_500_000), (2, "word " * 200_000)]
+    found = cut(spark.createDataFrame(rows, "doc_id long, text string"), 2048).groupBy("doc_id").sum("length").collect()
+    assert {r[0] for r in found} == {1, 2} and all(r[1] > 100_000 for r in found)

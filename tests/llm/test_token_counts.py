@@ -1,10 +1,12 @@
 import random
 
+import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from featurespark.llm.packing import encoder
-from featurespark.llm.token_counts import LEAF, Tree, build, edit_trees, op4_token_counts, token_trees, with_edits
+from featurespark.llm.token_counts import LEAF, Tree, build, edit_trees, op4_token_counts, pre_tokens, token_trees, with_edits
 
 SOME = [" ", "  ", "\n", "a", "I'll", "'", "'s", "re", "x1", "99", "!?", "é", "\t \n", " the", "😀"]
 
@@ -78,3 +80,31 @@ def test_edits_make_and_break_added_tokens(rng: random.Random):
 
 def test_added_token_counts_once():
     assert build("a <|endoftext|> b")[0] == 4
+
+
+def test_many_edits_in_one_place_stay_cheap():
+    text = "some words go here, " * 2000
+    tree, at, most = Tree(*build(text)[1:]), 20_000, 0
+    for i in range(1000):
+        text, seen = tree.edit(text, at, at, f" and {i} more")
+        most = max(most, seen)
+        at += 3
+    assert most <= 6 * LEAF and tree.total == (len(text), len(encoder()(text)))
+    for _ in range(500):
+        text, seen = tree.edit(text, 15_000, 15_040, "")
+        most = max(most, seen)
+    assert most <= 6 * LEAF and tree.total == (len(text), len(encoder()(text)))
+
+
+def test_pre_tokens_are_cut_as_the_vocabulary_file_says():
+    split = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer.pre_tokenize_str
+    for low in [*range(0, 0x40000, 0x4000), 0xE0000]:
+        text = "".join(f"1'a{chr(c)}'s 1{chr(c)}\n" for c in range(low, low + 0x4000) if not 0xD800 <= c < 0xE000)
+        assert list(pre_tokens(text)) == [text[i:j] for _, (i, j) in split(text)]
+
+
+def test_very_long_texts_and_runs(spark):
+    rows = [(1, "word 12 " * 100_000), (2, " " * 1_500_000), (3, "^" * 300_000), (4, "\U0003da17's")]
+    out = {r.doc_id: r for r in token_trees(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].n_tokens == len(encoder()(rows[0][1])) and out[4].n_tokens == 6
+    assert all(sum(out[i].leaf_chars) == len(t) and sum(out[i].leaf_tokens) == out[i].n_tokens for i, t in rows)
