@@ -120,10 +120,13 @@ def row_max(cols: list[str]) -> Column:
     return F.greatest(*cols)
 
 
-def clip_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
-    """df with values above the quantile set to it."""
+def clip_quantile(df: DataFrame, col: str, q: float, lower: float | None = None) -> DataFrame:
+    """df with values above the quantile set to it, and values below ``lower`` to that; null stays null."""
     top = df.agg(F.percentile(col, F.lit(q)).alias("_top"))  # one row
-    return df.crossJoin(F.broadcast(top)).withColumn(col, F.least(F.col(col), F.col("_top"))).drop("_top")
+    value = F.when(F.col(col) > F.col("_top"), F.col("_top")).otherwise(F.col(col))
+    if lower is not None:
+        value = F.when(value < lower, F.lit(float(lower))).otherwise(value)
+    return df.crossJoin(F.broadcast(top)).withColumn(col, value).drop("_top")
 
 
 def date_range(anchor: datetime.date, kind: str, *dates: datetime.date) -> tuple[datetime.date, datetime.date]:

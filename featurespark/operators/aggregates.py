@@ -59,11 +59,17 @@ def describe(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def daily_counts(df: DataFrame, ts: str, key: str | None = None) -> DataFrame:
-    """Rows per day from the first day to the last, 0 where there is none; per key, over the key's own days."""
+    """Rows per day from the first day to the last, 0 where there is none; per key, over the key's own days.
+
+    Rows without a key are counted as a key's, rows without a time are not.
+    """
     keys = [key] if key else []
     counts = df.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.count("*").alias("count"))
+    counts = counts.filter("day is not null")
     span = counts.groupBy(*keys).agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
-    return span.join(counts, [*keys, "day"], "left").fillna(0, ["count"])
+    counts = counts.withColumnsRenamed({c: f"_{c}" for c in [*keys, "day"]})
+    same = reduce(lambda a, b: a & b, [span[c].eqNullSafe(counts[f"_{c}"]) for c in [*keys, "day"]])
+    return span.join(counts, same, "left").select(*keys, "day", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def daily_mean(df: DataFrame, ts: str, cols: list[str], limit: int) -> DataFrame:

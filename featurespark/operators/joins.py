@@ -98,7 +98,8 @@ class PITQuery:
             named = features.withColumnsRenamed({c: f"{prefix}{c}" for c in features.columns})
             named = named.withColumnsRenamed({f"{prefix}{r}": f"_on_{i}" for i, r in enumerate(on.values())})
             clash = [c for c in named.columns if c in out.columns]
-            named = named.drop(*clash)
+            if clash:
+                raise ValueError(f"columns {clash} are there already; give the features a prefix")
             left = out.withColumns({f"_on_{i}": F.col(c) for i, c in enumerate(on)})
             keys = [f"_on_{i}" for i in range(len(on))]
             if event_time:

@@ -47,7 +47,7 @@ def fit_ordinal(train: DataFrame, cols: list[str]) -> Ordinal:
     out = {}
     for c in cols:
         values = train.select(F.col(c).alias("category")).dropna().distinct()
-        out[c] = with_row_index(values, ["category"], name="code", parts=1).select("category", F.col("code").cast("int"))
+        out[c] = with_row_index(values, ["category"], name="code").select("category", F.col("code").cast("int"))
     return Ordinal(out)
 
 
@@ -131,12 +131,14 @@ def kfold(df: DataFrame, order: list[str], k: int) -> DataFrame:
 def stratified_kfold(df: DataFrame, y: str, id_col: str, k: int, seed: int, salts: int = 64) -> DataFrame:
     """df with fold: each class dealt evenly to k folds in the order of a hash of the id.
 
-    A class may hold most rows, so it is numbered in slices of the hash's range, counted slice by slice.
+    Rows without a class are a class. A class may hold most rows, so it is numbered in slices of the hash's range, counted slice by slice.
     """
     u = md5_number(id_col, F.lit(str(seed)))
     dealt = df.withColumn("_u", u).withColumn("_slice", F.shiftright("_u", 32 - (salts - 1).bit_length()))
     own = F.row_number().over(Window.partitionBy(y, "_slice").orderBy("_u", id_col))
     before = F.sum("n").over(Window.partitionBy(y).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
     sizes = dealt.groupBy(y, "_slice").agg(F.count("*").alias("n")).select(y, "_slice", F.coalesce(before, F.lit(0)).alias("_before"))
-    out = dealt.withColumn("_own", own).join(sizes, [y, "_slice"])
+    sizes = sizes.withColumnsRenamed({y: "_y", "_slice": "_s"})
+    dealt = dealt.withColumn("_own", own)
+    out = dealt.join(sizes, dealt[y].eqNullSafe(sizes["_y"]) & (dealt["_slice"] == sizes["_s"])).drop("_y", "_s")
     return out.withColumn("fold", ((F.col("_own") - 1 + F.col("_before")) % k).cast("int")).drop("_u", "_slice", "_own", "_before")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,16 +29,59 @@ def over_time(aggregate: str, keys: list[str], ts: str, seconds: int, closed: st
     return F.expr(f"{aggregate} OVER (PARTITION BY {by} ORDER BY `{ts}` RANGE BETWEEN {back} PRECEDING AND CURRENT ROW)")
 
 
+def bucketed_sums(
+    df: DataFrame, keys: list[str], ts: str, values: dict[str, Column], windows: dict[str, int], closed: str = "both"
+) -> DataFrame:
+    """df with the sum of each value over each trailing window, as <value>_<window>, in time that does not grow with a frame.
+
+    A key's time line is cut into buckets that divide all windows. A row's window is the end of one bucket, some whole
+    buckets, and the beginning of the row's own. The end comes from rows moved on by the window's length and added up
+    backwards, the whole ones from a table of a row per key and bucket, the beginning from a running sum. So all are sums
+    of what is inside the window, and a key of any size is spread over tasks by bucket.
+    """
+    width = gcd(*windows.values()) * SECOND
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(df.schema[ts].dataType), F.col(ts))
+    rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], at.alias("_at"), F.struct(*df.columns).alias("_row"), *[v.alias(f"_v{j}") for j, v in enumerate(values.values())])
+    rows = rows.withColumn("_b", F.floor(F.col("_at") / width))
+    names, v = [f"_k{i}" for i in range(len(keys))], [f"_v{j}" for j in range(len(values))]
+    both = rows
+    whole = rows.filter("_b is not null").groupBy(*names, "_b").agg(*[F.sum(c).alias(c) for c in v])
+    by_bucket, middle = Window.partitionBy(*names).orderBy("_b"), {}
+    for i, seconds in enumerate(windows.values()):
+        n, back = seconds * SECOND // width, seconds * SECOND - (closed == "right")
+        left = rows.filter("_b is not null").select(*names, (F.col("_at") + back).alias("_at"), (F.col("_b") + n).alias("_b"), *[F.col(c).alias(f"_end{i}{c}") for c in v])
+        both = both.unionByName(left, allowMissingColumns=True)
+        if n > 1:
+            middle |= {f"_mid{i}{c}": F.sum(c).over(by_bucket.rangeBetween(1 - n, -1)) for c in v}
+    if middle:
+        both = both.unionByName(whole.select(*names, "_b", *[c.alias(k) for k, c in middle.items()]), allowMissingColumns=True)
+    cell = Window.partitionBy(*names, "_b")
+    upto = cell.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    from_here = cell.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
+    made = {f"_own{c}": F.sum(c).over(upto) for c in v}
+    made |= {f"_end{i}{c}": F.sum(f"_end{i}{c}").over(from_here) for i in range(len(windows)) for c in v}
+    made |= {k: F.max(k).over(cell) for k in middle}
+    both = both.withColumns(made).filter("_row is not null")
+    out = []
+    for i, window in enumerate(windows):
+        for c, name in zip(v, values, strict=True):
+            parts = [f"_own{c}", f"_end{i}{c}"] + ([f"_mid{i}{c}"] if f"_mid{i}{c}" in middle else [])
+            zero = F.lit(0).cast(rows.schema[c].dataType)
+            out.append(reduce(lambda a, b: a + b, [F.coalesce(F.col(x), zero) for x in parts]).alias(f"{name}_{window}"))
+    return both.select("_row.*", *out)
+
+
 def rolling(
     df: DataFrame, keys: list[str], ts: str, value: str, windows: dict[str, int], closed: str = "both", strategy: str = "frame"
 ) -> DataFrame:
     """df with sum_<name> (nulls as 0) and num_<name> (nulls not counted) over each trailing window of seconds.
 
-    ``frame``: all windows share one exchange, one sort and one pass. ``prefix`` takes the running total less the running
-    total that has expired, in one sort too: its time doesn't grow with the rows in a frame, which suits hot keys.
+    ``frame``: all windows share one exchange, one sort and one pass. ``bucketed`` suits hot keys and frames of many rows
+    (see bucketed_sums).
     """
-    if strategy == "prefix":
-        return _rolling_prefix(df, keys, ts, value, windows, closed)
+    if strategy == "bucketed":
+        sums = {"sum": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "num": F.col(value).isNotNull().cast("long")}
+        return bucketed_sums(df, keys, ts, sums, windows, closed)
     out = {}
     for name, seconds in windows.items():
         out[f"sum_{name}"] = over_time(f"sum(coalesce(`{value}`, 0D))", keys, ts, seconds, closed)
@@ -43,32 +89,6 @@ def rolling(
     return df.withColumns(out)
 
 
-def _rolling_prefix(df: DataFrame, keys: list[str], ts: str, value: str, windows: dict[str, int], closed: str) -> DataFrame:
-    """Markers at the time when a row leaves a window carry the running totals up to that row."""
-    upto = Window.partitionBy(*keys).orderBy(ts).rangeBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumns({
-        "_sum": F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(upto),
-        "_num": F.count(value).over(upto),
-        "_side": F.lit(1),
-        "_row": F.struct(*df.columns),
-    }).select(*keys, F.col(ts).alias("_ts"), "_side", "_sum", "_num", "_row")
-    both = rows
-    for i, seconds in enumerate(windows.values()):
-        leaves = F.expr(f"`_ts` + {interval(seconds * SECOND + (closed == 'both'))}")
-        gone = rows.select(*keys, leaves.alias("_ts"), F.lit(0).alias("_side"), F.struct("_sum", "_num").alias(f"_gone{i}"))
-        both = both.unionByName(gone, allowMissingColumns=True)
-    # Markers of one time may come in any order: the largest count of rows gone, then sum at that row, is the last one.
-    w = Window.partitionBy(*keys).orderBy("_ts", "_side", "_mark").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.coalesce(*[F.col(f"_gone{i}._num") for i in range(len(windows))], F.lit(0))
-    both = both.withColumn("_mark", mark)
-    both = both.withColumns({f"_gone{i}": F.last(f"_gone{i}", True).over(w) for i in range(len(windows))}).filter("_side = 1")
-    out = []
-    for i, name in enumerate(windows):
-        out.append((F.col("_sum") - F.coalesce(F.col(f"_gone{i}._sum"), F.lit(0.0))).alias(f"sum_{name}"))
-        out.append((F.col("_num") - F.coalesce(F.col(f"_gone{i}._num"), F.lit(0))).alias(f"num_{name}"))
-    return both.select("_row.*", *out)
-
-
 def lag_features(df: DataFrame, key: str, ts: str, cols: list[str], tie: str, prefix: str = "prev_") -> DataFrame:
     """df with the previous values of columns per key in time order, equal times by ``tie``."""
     w = Window.partitionBy(key).orderBy(ts, tie)
@@ -80,8 +100,12 @@ def seq_in_group(df: DataFrame, key: str, order: list[str], name: str = "seq") -
 
 
 def group_count(df: DataFrame, key: str, name: str = "group_count") -> DataFrame:
-    """df with its group's size: counted with map-side combine and joined, so a hot group is never in one task."""
-    return df.join(df.groupBy(key).agg(F.count("*").alias(name)), key)
+    """df with its group's size: counted with map-side combine and joined, so a hot group is never in one task.
+
+    Rows without a key are a group.
+    """
+    sizes = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias(name))
+    return df.join(sizes, df[key].eqNullSafe(sizes["_key"])).drop("_key")
 
 
 def dedup_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -92,12 +116,10 @@ def dedup_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def fraud_rate(df: DataFrame, key: str, ts: str, flag: str, days: dict[str, int], closed: str = "both") -> DataFrame:
     """df with rate_<name> and count_<name> of flagged rows over each trailing number of days."""
-    out = {}
-    for name, n in days.items():
-        count = over_time("count(*)", [key], ts, n * 86400, closed)
-        flagged = over_time(f"sum(CAST(`{flag}` AS INT))", [key], ts, n * 86400, closed)
-        out |= {f"count_{name}": count, f"rate_{name}": F.try_divide(flagged, count)}
-    return df.withColumns(out)
+    sums = {"count": F.lit(1).cast("long"), "_flagged": F.coalesce(F.col(flag).cast("long"), F.lit(0))}
+    out = bucketed_sums(df, [key], ts, sums, {name: n * 86400 for name, n in days.items()}, closed)
+    out = out.withColumns({f"rate_{name}": F.try_divide(f"_flagged_{name}", f"count_{name}") for name in days})
+    return out.drop(*[f"_flagged_{name}" for name in days])
 
 
 def weighted_daily_rate(df: DataFrame, date: str, key: str, rate: str, count: str) -> DataFrame:
@@ -127,7 +149,7 @@ def travel_check(
 
 def detect_bursts(df: DataFrame, key: str, ts: str, amount: str, minutes: int = 30, min_n: int = 5, mult: float = 3.0) -> DataFrame:
     """Keys with min_n events within the trailing minutes, or a largest amount over mult times the mean."""
-    counted = df.withColumn("_n", over_time("count(*)", [key], ts, minutes * 60))
+    counted = bucketed_sums(df, [key], ts, {"_n": F.lit(1).cast("long")}, {"window": minutes * 60}).withColumnRenamed("_n_window", "_n")
     mean, most = F.avg(amount), F.max(amount)
     out = counted.groupBy(key).agg(
         F.count("*").alias("n_events"), F.max("_n").alias("max_in_window"), mean.alias("mean_amount"), most.alias("max_amount"),
@@ -137,12 +159,17 @@ def detect_bursts(df: DataFrame, key: str, ts: str, amount: str, minutes: int =
 
 
 def detect_far_pairs(df: DataFrame, key: str, ts: str, tie: str, lat: str, lon: str, km: float = 100.0, minutes: int = 60) -> DataFrame:
-    """Events followed within the minutes by one over km away: distance_km, gap_s, speed_kmh (infinite for no gap)."""
+    """Events followed in under the minutes by one over km away: distance_km, gap_s, speed_kmh (infinite for no gap).
+
+    Events of unknown place are left out before events are paired.
+    """
+    df = df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     w = Window.partitionBy(key).orderBy(ts, tie)
     out = df.withColumns({f"_n{i}": F.lead(c).over(w) for i, c in enumerate((ts, lat, lon))} | {f"next_{tie}": F.lead(tie).over(w)})
     out = out.withColumn("distance_km", haversine_km(F.col(lat), F.col(lon), F.col("_n1"), F.col("_n2")))
     out = out.withColumn("gap_s", F.timestamp_diff("SECOND", F.col(ts), F.col("_n0")))
-    out = out.filter((F.col("distance_km") > km) & (F.col("gap_s") <= minutes * 60)).drop("_n0", "_n1", "_n2")
+    near = F.timestamp_diff("MICROSECOND", F.col(ts), F.col("_n0")) < minutes * 60 * SECOND
+    out = out.filter((F.col("distance_km") > km) & near).drop("_n0", "_n1", "_n2")
     speed = F.when(F.col("gap_s") == 0, F.lit(float("inf"))).otherwise(F.col("distance_km") / (F.col("gap_s") / 3600))
     return out.withColumn("speed_kmh", speed)
 

@@ -54,9 +54,15 @@ def o63(spark, sf):
     return A.describe(table(spark, sf, "lineitem").select(*_LINE))
 
 
-@query("o64_daily_counts", "with c as (select o_orderdate::date as day, count(*) as n from orders where o_orderstatus = 'P' group by 1), d as (select unnest(generate_series((select min(day) from c), (select max(day) from c), interval 1 day))::date as day) select day, coalesce(n, 0) as count from d left join c using (day)")
+@query(
+    "o64_daily_counts",
+    """with c as (select nullif(o_orderstatus, 'P') as status, o_orderdate::date as day, count(*) as n from orders group by 1, 2),
+    d as (select status, unnest(generate_series(min(day), max(day), interval 1 day))::date as day from c group by 1)
+    select d.status, d.day, coalesce(n, 0) as count from d left join c on d.status is not distinct from c.status and d.day = c.day""",
+)
 def o64(spark, sf):
-    return A.daily_counts(table(spark, sf, "orders").filter("o_orderstatus = 'P'"), "o_orderdate")
+    t = table(spark, sf, "orders").withColumn("status", F.nullif(F.col("o_orderstatus"), F.lit("P")))
+    return A.daily_counts(t, "o_orderdate", "status")
 
 
 @query("o65_daily_mean", "select date_trunc('day', ts)::timestamp as day, round(avg(value), 6) as mean_value from events group by 1 order by 1 limit 14")
@@ -106,20 +112,20 @@ def o70(spark, sf):
 
 @query(
     "o71_impute",
-    f"with t as ({_NULLED}), s as (select mode(segment order by segment) as m, avg(balance) as b from t where c_custkey % 2 = 0) select c_custkey, coalesce(segment, (select segment from t where c_custkey % 2 = 0 and segment is not null group by 1 order by count(*) desc, segment limit 1)) as segment, round(coalesce(balance, b), 6) as balance from t cross join s",
+    f"with t as ({_NULLED}), s as (select mode(segment order by segment) as m, avg(balance) as b from t) select c_custkey, coalesce(segment, (select segment from t where segment is not null group by 1 order by count(*) desc, segment limit 1)) as segment, round(coalesce(balance, b), 6) as balance from t cross join s",
 )
 def o71(spark, sf):
     t = nulled(spark, sf)
-    return L.fit_imputer(t.filter("c_custkey % 2 = 0"), {"segment": "mode", "balance": "mean"}).apply(t).select("c_custkey", "segment", "balance")
+    return L.fit_imputer(t, {"segment": "mode", "balance": "mean"}).apply(t).select("c_custkey", "segment", "balance")
 
 
 @query(
     "o72_ordinal",
-    f"with t as ({_NULLED}), d as (select segment, row_number() over (order by segment) - 1 as code from (select distinct segment from t where segment is not null and c_custkey % 100 < 2)) select c_custkey, segment, coalesce(code, -1) as segment_code from t left join d using (segment)",
+    f"with t as ({_NULLED}), d as (select segment, row_number() over (order by segment) - 1 as code from (select distinct segment from t where segment < 'M')) select c_custkey, segment, coalesce(code, -1) as segment_code from t left join d using (segment)",
 )
 def o72(spark, sf):
     t = nulled(spark, sf)
-    return L.fit_ordinal(t.filter("c_custkey % 100 < 2"), ["segment"]).apply(t).select("c_custkey", "segment", "segment_code")
+    return L.fit_ordinal(t.filter("segment < 'M'"), ["segment"]).apply(t).select("c_custkey", "segment", "segment_code")
 
 
 @query("o73_one_hot", "select o_orderkey, " + ", ".join(f"(o_orderstatus = '{v}')::int as o_orderstatus_{v}" for v in "FOP") + " from orders")
@@ -161,6 +167,12 @@ def o77_strat(spark, sf):
     return L.stratified_kfold(table(spark, sf, "labels"), "toxic", "doc_id", 5, 1).select("doc_id", "fold")
 
 
+@query("o77_stratified_nulls", "select doc_id, (row_number() over (partition by y order by u, doc_id) - 1) % 5 as fold from (select doc_id, nullif(toxic, 1) as y, ('0x' || substr(md5(doc_id::varchar || '|1'), 1, 8))::bigint as u from labels)")
+def o77_strat_nulls(spark, sf):
+    t = table(spark, sf, "labels").withColumn("y", F.nullif(F.col("toxic"), F.lit(1)))
+    return L.stratified_kfold(t, "y", "doc_id", 5, 1).select("doc_id", "fold")
+
+
 _FORMS = "select l_orderkey, l_linenumber, round(l_quantity * 1.1::double + sin(l_quantity), 6) as f, round(exp(-pow(l_quantity - l_linenumber, 2) / 100) * sin(l_quantity / 10) * cos(l_linenumber / 5), 6) + 0.0 as g from lineitem"
 
 

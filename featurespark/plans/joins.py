@@ -104,16 +104,18 @@ def o38(spark, sf):
 
 @query(
     "o39_home_relation",
-    """select s_suppkey, c_custkey, case when a = b then 'home' when b = (a + 1) % 25 or a = (b + 1) % 25 then 'neighbour' else 'far' end as relation
-    from (select s_suppkey, c_custkey, s_nationkey as a, c_nationkey as b from supplier join customer on c_custkey % 10 = s_suppkey % 10 and c_custkey < s_suppkey * 3)""",
+    """select l_orderkey, l_linenumber, case when a = b then 'home' when b = (a + 1) % 25 or a = (b + 1) % 25 then 'neighbour' else 'far' end as relation
+    from (select l_orderkey, l_linenumber, s_nationkey as a, c_nationkey as b from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey)""",
 )
 def o39(spark, sf):
+    """Whether each line is supplied from the customer's nation, a neighbouring or a far one."""
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("place"), ((F.col("n_nationkey") + 1) % 25).alias("neighbour"))
     edges = n.unionByName(n.select(F.col("neighbour").alias("place"), F.col("place").alias("neighbour")))
-    s, c = table(spark, sf, "supplier").alias("s"), table(spark, sf, "customer").alias("c")
-    pairs = s.join(c, (F.col("c_custkey") % 10 == F.col("s_suppkey") % 10) & (F.col("c_custkey") < F.col("s_suppkey") * 3))
-    pairs = pairs.select("s_suppkey", "c_custkey", "s_nationkey", "c_nationkey")
-    return J.home_relation(pairs, "s_nationkey", "c_nationkey", edges).select("s_suppkey", "c_custkey", "relation")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    pairs = lines.join(orders, "l_orderkey").join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    pairs = pairs.join(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
+    return J.home_relation(pairs, "s_nationkey", "c_nationkey", edges).select("l_orderkey", "l_linenumber", "relation")
 
 
 @query(
@@ -157,7 +159,7 @@ def _rolling(closed="both", strategy="frame"):
 
 
 query("o42_rolling", _rolling_sql(TX, "tx", "cc_num", "amount", "t_id, cc_num"))(_rolling())
-query("o43_rolling_prefix", _rolling_sql(TX, "tx", "cc_num", "amount", "t_id, cc_num"))(_rolling(strategy="prefix"))
+query("o43_rolling_prefix", _rolling_sql(TX, "tx", "cc_num", "amount", "t_id, cc_num"))(_rolling(strategy="bucketed"))
 query("o44_rolling_open", _rolling_sql(TX, "tx", "cc_num", "amount", "t_id, cc_num", "- interval 1 microsecond"))(_rolling("right"))
 
 
@@ -177,6 +179,12 @@ def o47(spark, sf):
     return W.group_count(table(spark, sf, "events"), "event_type").select("event_id", "group_count")
 
 
+@query("o47_group_count_nulls", "select event_id, count(*) over (partition by nullif(event_type, 'signup')) as group_count from events")
+def o47_nulls(spark, sf):
+    t = table(spark, sf, "events").withColumn("kind", F.nullif(F.col("event_type"), F.lit("signup")))
+    return W.group_count(t, "kind").select("event_id", "group_count")
+
+
 @query("o48_dedup_last", "select user_id, day, event_id from (select user_id, ts::date as day, event_id, row_number() over (partition by user_id, ts::date order by ts desc, event_id desc) as rn from events) where rn = 1")
 def o48(spark, sf):
     t = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
@@ -234,9 +242,9 @@ def o52(spark, sf):
 
 @query(
     "o53_far_pairs",
-    f"""with {PLACED}, p as (select *, lead(ts) over w as nt, lead(lat) over w as nla, lead(lon) over w as nlo, lead(t_id) over w as next_t_id from placed window w as (partition by cc_num order by ts, t_id)),
-    d as (select t_id, next_t_id, {km_sql('lat', 'lon', 'nla', 'nlo')} as km, date_sub('second', ts, nt) as gap from p)
-    select t_id, next_t_id, round(km, 6) as distance_km, gap as gap_s, round(case when gap = 0 then 'inf'::double else km / (gap / 3600) end, 6) as speed_kmh from d where km > 100 and gap <= 3600""",
+    f"""with {PLACED}, p as (select *, lead(ts) over w as nt, lead(lat) over w as nla, lead(lon) over w as nlo, lead(t_id) over w as next_t_id from placed where lat is not null and lon is not null window w as (partition by cc_num order by ts, t_id)),
+    d as (select t_id, next_t_id, {km_sql('lat', 'lon', 'nla', 'nlo')} as km, nt - ts < interval 60 minutes as near, date_sub('second', ts, nt) as gap from p)
+    select t_id, next_t_id, round(km, 6) as distance_km, gap as gap_s, round(case when gap = 0 then 'inf'::double else km / (gap / 3600) end, 6) as speed_kmh from d where km > 100 and near""",
 )
 def o53(spark, sf):
     out = W.detect_far_pairs(placed(spark, sf), "cc_num", "ts", "t_id", "lat", "lon")
@@ -254,11 +262,11 @@ def o54(spark, sf):
 
 @query(
     "o55_pair_stats",
-    f"""with {TX}, g as (select cc_num, date_sub('second', lag(ts) over (partition by cc_num order by ts, t_id), ts) as gap from tx where t_id % 37 = 0), k as (select cc_num, count(*) as n, max(gap) as most from g group by 1)
+    f"""with {TX}, g as (select cc_num, date_sub('second', lag(ts) over (partition by cc_num order by ts, t_id), ts) as gap from tx), k as (select cc_num, count(*) as n, max(gap) as most from g group by 1)
     select count(*) as n_keys, count(*) filter (n = 2) as n_pairs, round(count(*) filter (n = 2) / count(*), 6) as pair_share, count(*) filter (most <= 86400) as n_close from k""",
 )
 def o55(spark, sf):
-    return W.pair_stats(transactions(spark, sf).filter("t_id % 37 = 0"), "cc_num", "ts", "t_id", 86400)
+    return W.pair_stats(transactions(spark, sf), "cc_num", "ts", "t_id", 86400)
 
 
 @query(

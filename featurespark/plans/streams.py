@@ -8,7 +8,7 @@ from featurespark.sources.shared import shared_path
 from featurespark.sources.tables import read_table
 from featurespark.streaming import features as S
 
-from .base import CARDS, TX, card_versions, query
+from .base import CARDS, TX, card_versions, query, table
 from .joins import FEATURES_SQL, WINDOWS, _rolling_sql
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -99,9 +99,14 @@ def o97(spark, sf):
     return _done(spark, S.dedup_stream(twice, "event_id", "ts", "1 day").select("event_id", "user_id"))
 
 
-@query("o97_late_split", "select event_id, false as late from events")
+@query("o97_late_split", "select event_id, event_type <> 'purchase' and ts < (select max(ts) from events where event_type = 'purchase') - interval 1 day as late from events")
 def o97_late(spark, sf):
-    good, bad = shared_path(spark), shared_path(spark)
-    S.late_split(_events(spark, sf), "ts", 3600, good, bad, shared_path(spark), shared_path(spark)).awaitTermination()
+    """Purchases come first, all other events in a second run: those over a day older than the newest purchase are late."""
+    source, good, bad, marks, checkpoint = (shared_path(spark) for _ in range(5))
+    t = table(spark, sf, "events")
+    for i, part in enumerate(("event_type = 'purchase'", "event_type <> 'purchase'")):
+        t.filter(part).write.parquet(f"{source}/b={i}")
+        events = S.event_stream(spark, "parquet", t.schema, f"{source}/b=*", "ts")
+        S.late_split(events, "ts", 86400, good, bad, marks, checkpoint).awaitTermination()
     out = [read_table(spark, p).select("event_id", F.lit(v).alias("late")) for p, v in ((good, False), (bad, True))]
     return out[0].unionByName(out[1])

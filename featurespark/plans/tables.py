@@ -243,6 +243,16 @@ def o30(spark, sf):
     return S.clip_quantile(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", 0.9)
 
 
+@query(
+    "o30_clip_both",
+    """with t as (select l_orderkey, l_linenumber, case when l_linenumber < 7 then l_extendedprice::double end as v from lineitem), q as (select quantile_cont(v, 0.9) as top from t)
+    select l_orderkey, l_linenumber, round(case when v > top then top when v < 2000 then 2000 else v end, 6) as v from t, q""",
+)
+def o30_both(spark, sf):
+    t = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") < 7, F.col("l_extendedprice").cast("double")).alias("v"))
+    return S.clip_quantile(t, "v", 0.9, 2000)
+
+
 @query("o31_date_range", f"with {DAILY_SQL} select date, round(pm25, 6) as pm25 from aq where date >= timestamp '1998-06-08' and date < timestamp '1998-06-15'")
 def o31(spark, sf):
     return S.in_date_range(daily_outcome(spark, sf), "date", S.date_range(datetime.date(1998, 6, 18), "last week"))

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; a local folder only where a session has none, as in tests."""
+    """A new path below spark.checkpoint.dir; a session that has none gets a local one if it runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .shared import shared_path
+
 
 def read_table(
     spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None, columns: list[str] | None = None, **options
@@ -64,11 +66,14 @@ def with_row_index(df: DataFrame, order: list[str], start: int = 0, name: str =
     """Numbers rows from start in a total order, without a window over all rows in one task.
 
     Rows are dealt by range of the order, counted per range, and numbered in their range from the counts before it.
-    Ranges are found by sampling, so the dealt rows are kept (persisted) between the two passes.
+    Ranges are found by sampling, so the dealt rows are written to the shared folder between the two passes.
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist()
+    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    path = shared_path(spark)
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
     sizes = dealt.groupBy("_part").count()  # one row a partition
     before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
