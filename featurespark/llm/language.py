@@ -7,14 +7,16 @@
    a bijection, so there are no collisions) beside a matrix of their interpolated probabilities, a column a language;
    back-off weights of contexts likewise. One binary search per character serves all languages.
 3. Each text takes the language of the lowest cross-entropy per character.
-4. Rejection is calibrated on the training rows' own cross-entropies: per language their mean and their deviation for
-   unit length; a text whose standardised excess lies beyond the quantile ``1 - reject`` is marked ``rejected``.
+4. Rejection is calibrated on a tenth of the training rows, by a hash of the text, that is kept out of the counts: per
+   language the mean of their cross-entropies and their deviation for unit length; a text whose standardised excess lies
+   beyond the quantile ``1 - reject`` is marked ``rejected``. A language that has no other rows is learned from these.
 
-The model holds at most ``max_ngrams`` 4-grams (the most frequent of each language, cut at a power of two of the count),
-which bounds what reaches driver and tasks; texts and counts are never bounded.
+All n-grams are kept: discounts, continuation counts and totals are those of the whole counts. The model holds one row
+per n-gram and one number per language in it, so it grows with the distinct 4-grams of letters, which level off as a
+language's spellings are exhausted; nothing else reaches driver and tasks.
 
 Defined results: a text that is null or has no letter gets ``und`` with score 0; with no training rows all get ``und``;
-rows are scored one by one; ties go to the language first in order; other columns pass through unless they bear a name
+texts of any length are counted and scored as a whole; an empty table gives no rows; repeated rows repeat; rows are scored one by one; ties go to the language first in order; other columns pass through unless they bear a name
 of the result.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from featurespark.ship import ship
 
-from .common import add_columns, mix64, names, written
+from .common import add_columns, drop_written, mix64, names, written
 from .toxicity import held_out
 
 ORDER = 4
@@ -110,7 +112,7 @@ class KneserNey:
         for k in range(ORDER - 1, 0, -1):  # continuation counts: in how many longer n-grams it is the end
             mask = np.uint64((1 << 16 * k) - 1)
             by_order[k] = [np.unique(keys & mask, return_counts=True) for keys, _ in by_order[k + 1]]
-        self.floor = 1.0 / (1 + max(len(keys) for keys, _ in by_order[1]))
+        self.floor = 1.0 / (1 + len(np.unique(np.concatenate([keys for keys, _ in by_order[1]]))))  # all units, one unknown
         self.probs: dict[int, Table] = {}
         self.backs: dict[int, Table] = {}
         below: Table | None = None
@@ -177,39 +179,28 @@ class KneserNey:
         return out
 
 
-def fit(train: DataFrame, max_ngrams: int) -> KneserNey | None:
-    """The models of all languages of rows (text, lang); None without any."""
-    counts = written(count_grams(train))
-    sizes = counts.groupBy("lang", F.floor(F.log2("n")).cast("int").alias("power")).count().collect()  # <= 64 a language
-    langs = {r.lang for r in sizes}
-    least = {}
-    for lang in langs:
-        room, least[lang] = max_ngrams // len(langs), 0
-        for power, n in sorted(((r.power, r["count"]) for r in sizes if r.lang == lang), reverse=True):
-            room -= n
-            if room < 0:
-                least[lang] = power + 1
-                break
-    if any(least.values()):
-        bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
-        counts = counts.filter(F.log2("n") >= bound[F.col("lang")])
-    found = counts.toArrow()  # at most max_ngrams rows
+def fit(train: DataFrame) -> KneserNey | None:
+    """The models of all languages of rows (text, lang, _kept); None without any. Rows kept out count where a language
+    has no others."""
+    counts = written(count_grams(train.filter("not _kept")))
+    langs = [r.lang for r in counts.select("lang").distinct().collect()]
+    alone = count_grams(train.filter(F.col("_kept") & ~F.col("lang").isin(langs)))
+    found = counts.unionByName(alone).toArrow()
+    drop_written(counts)
     lang, keys, n = found["lang"].to_numpy(), found["gram"].to_numpy().view(np.uint64), found["n"].to_numpy()
     out = {}
-    for x in sorted(langs):
+    for x in sorted(set(lang)):
         order = np.flatnonzero(lang == x)
         order = order[np.argsort(keys[order])]
-        if len(order):
-            out[x] = keys[order], n[order]
+        out[x] = keys[order], n[order]
     return KneserNey(out) if out else None
 
 
-def identify(
-    docs: DataFrame, train_on: Column | None = None, max_ngrams: int = 4_000_000, reject: float = 0.001
-) -> DataFrame:
+def identify(docs: DataFrame, train_on: Column | None = None, reject: float = 0.001) -> DataFrame:
     """Rows of docs without the text, with RESULT and rejected; learned from rows with a lang where train_on holds."""
     docs = docs.drop("rejected").withColumn("_train", F.coalesce(train_on, F.lit(False)) if train_on is not None else F.lit(True))
-    model = fit(docs.filter("_train and lang is not null"), max_ngrams)
+    docs = docs.withColumn("_kept", F.pmod(F.xxhash64("text"), F.lit(10)) == 0)
+    model = fit(docs.filter("_train and lang is not null"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def fn(texts: list[str | None]) -> list[tuple]:
@@ -217,7 +208,7 @@ def identify(
 
     scored = written(add_columns(docs, [docs["text"]], fn, RESULT, 64, drop=("text",)))
     entropy, n = F.col("cross_entropy"), F.col("n_letters_scored")
-    known = scored.filter("_train and lang = lang_pred")
+    known = scored.filter("_train and _kept and lang = lang_pred")
     fitted = known.groupBy("lang_pred").agg(
         (F.sum(entropy * n) / F.sum(n)).alias("_mean"),
         F.avg(n * entropy * entropy).alias("_a"),
@@ -232,7 +223,7 @@ def identify(
     limits = limits.agg(F.percentile_approx("_excess", 1 - reject, 10_000).alias("_limit"))
     out = scored.join(F.broadcast(limits), "lang_pred", "left")
     rejected = F.coalesce((entropy - F.col("_mean")) * F.sqrt(n) / F.col("_dev") > F.col("_limit"), F.col("lang_pred") == "und")
-    return out.withColumn("rejected", rejected).drop("_train", "_mean", "_dev", "_limit")
+    return out.withColumn("rejected", rejected).drop("_train", "_kept", "_mean", "_dev", "_limit")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
