@@ -1,4 +1,9 @@
+import glob
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from featurespark.llm.common import shared_dir
 from featurespark.llm.minhash import near_duplicates
 from test_decontaminate import brute as windows
 from test_minhash import brute as groups
@@ -38,3 +43,29 @@ def test_stages_take_effect(spark, sf, monkeypatch):
     check_sequences(rows, 2048)
     assert {r.doc_id for r in rows} == set(left)
     assert near_duplicates(seen["packing"][1].limit(0)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, an extra column, empty tables."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    names = docs.columns
+    long = "long " + " ".join(f"w{i}" for i in range(60_000))
+    odd = [(None, "a text of its own without an id", None, None, None), (70001, None, "en", "s", None), (70002, "", "en", "s", 0), (70003, long, "en", "s", len(long)),
+           (70004, "one of two texts", "en", "s", 16), (70004, "the other text here", "en", "s", 19), (70005, "same row", "en", "s", 8), (70005, "same row", "en", "s", 8)]
+    df = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("score", F.lit("x"))
+    texts = {"a text of its own without an id", None, "", long, "one of two texts", "the other text here", "same row"}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.columns == [*names, "score"]
+        rows = [r for r in out.collect() if r.doc_id is None or r.doc_id > 70000]
+        assert {r.text for r in rows} == texts and len(rows) == (7 if name == "near_dedup" else 8)
+        assert stage(spark, df.limit(0), sf).count() == 0
+    packed = corpus_pipeline.packing(spark, df, sf)
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in df.collect()}
+    assert corpus_pipeline.packing(spark, df.limit(0), sf).count() == 0
+
+
+def test_run_leaves_no_tables_behind(spark, sf):
+    before = set(glob.glob(f"{shared_dir(spark).rsplit('/', 1)[0]}/llm-*"))
+    corpus_pipeline.run(spark, sf).count()
+    assert len(set(glob.glob(f"{shared_dir(spark).rsplit('/', 1)[0]}/llm-*")) - before) <= 6
