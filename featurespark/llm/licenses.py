@@ -1,16 +1,18 @@
 """Licence scan with a generalised suffix automaton of licence words (operator 2).
 
 All templates, word by word, form one suffix automaton. A text is streamed through it once, which gives the matching
-statistics: for each word the longest suffix read so far that occurs in some template. Where a match of ``least_match``
-words or more can't grow further, its occurrences in the templates are anchors. Per template, anchors in the same order
-in both texts and at most ``gap`` words apart are chained; a chain that covers ``cover`` of its template is a finding
-with the template's label. Base phrases are templates too: the automaton marks the states that hold a whole phrase, so
-every place of a phrase is seen in the same pass.
+statistics: for each word the longest suffix read so far that occurs in some template. Its suffix links name the shorter
+suffixes that occur in further templates, so each match of ``least_match`` words or more that can't grow in its template
+on either side is an anchor. Per template, anchors in the same order in both texts and at most ``gap`` words apart are
+chained so that most words are covered; a chain that covers ``cover`` of its template is a finding with the template's
+label, unless it lies inside a finding that covers its own template better. Base phrases are templates too: the automaton marks the states that hold a whole phrase, so every place of a
+phrase is seen in the same pass.
 
 The automaton depends on the templates alone and is sent to each task; documents are neither shuffled nor gathered.
 
 Defined results: null, empty and wordless text has no words, places or labels (empty strings, score 0, null positions);
-rows are scanned one by one, so repeated rows repeat; other columns pass through unless they bear a name of the result.
+rows are scanned one by one, so repeated rows repeat; texts of any length are streamed as a whole; other columns pass
+through unless they bear a name of the result; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import add_columns, alnum_words, names
+from .license_texts import LICENSE_TEXTS
 
 BASE_PHRASES = {
     "under the mit license": "mit",
@@ -49,6 +52,7 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal"),
+    *LICENSE_TEXTS,
 ]
 RESULT = (
     "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
@@ -111,14 +115,27 @@ class Scanner:
         self.labels = [*phrases.values(), *[x for x, _ in templates]]
         self.sizes, self.n_phrases = [len(x) for x in texts], len(phrases)
         self.vocab: dict[bytes, int] = {}
-        self.auto = Automaton([[self.vocab.setdefault(w, len(self.vocab) + 1) for w in x] for x in texts])
+        self.words = [[*(self.vocab.setdefault(w, len(self.vocab) + 1) for w in x), -1] for x in texts]  # -1: the end
+        self.auto = Automaton([x[:-1] for x in self.words])
         self.phrases: list[set[tuple[int, int]]] = [set() for _ in self.auto.len]  # by state: phrases that may end here
         for v in sorted(range(1, len(self.auto.len)), key=lambda v: self.auto.len[v]):
             up, whole = self.auto.link[v], [x for x in self.auto.ends[v] if x[0] < self.n_phrases and x[1] == self.sizes[x[0]]]
             own = {(n, size) for n, size in whole if self.auto.len[up] < size <= self.auto.len[v]}
             self.phrases[v] = own | self.phrases[up]
+        self.matches = self._matches()
         self.shortest = min([least_match, *self.sizes[: self.n_phrases]])
 
+    def _matches(self) -> list[list[tuple[int, int, int]]]:
+        """By state (template, end, longest): where the state or one it links to ends, with the longest match there."""
+        link, length, ends = self.auto.link, self.auto.len, self.auto.ends
+        out: list[list[tuple[int, int, int]]] = [[] for _ in length]
+        for v in sorted(range(1, len(length)), key=lambda v: length[v]):
+            if length[v] >= self.least:
+                own = {x for x in ends[v] if x[0] >= self.n_phrases}
+                out[v] = [(t, to, length[v]) for t, to in sorted(own)]
+                out[v] += [x for x in out[link[v]] if x[:2] not in own]
+        return out
+
     def scan(self, words: list[bytes]) -> tuple:
         get = self.vocab.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
@@ -128,7 +145,7 @@ class Scanner:
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             if b - a >= self.shortest:
                 self._stream(ids[a:b].tolist(), a, places, anchors)
-        found = [x for n, own in anchors.items() for x in self._chains(n, own)]
+        found = _outer([x for n, own in anchors.items() for x in self._chains(n, own)])
         base = {self.labels[n] for n, _ in places}
         starts = [s for _, s in places]
         labels = sorted(base | {label for label, *_ in found})
@@ -138,55 +155,44 @@ class Scanner:
         return (len(words), len(places), *ends, ",".join(sorted(base)), ",".join(labels), score, spans)
 
     def _stream(self, ids: list[int], at: int, places: list, anchors: dict) -> None:
-        """Matching statistics of a run of known words."""
+        """Matching statistics of a run of known words, and the matches that end where the next word differs."""
         following, link, length = self.auto.next, self.auto.link, self.auto.len
         v = n = 0
-        for i, c in enumerate(ids):
-            if c not in following[v]:
-                self._anchor(v, n, at + i, anchors)
-                while v and c not in following[v]:
-                    v = link[v]
-                    n = length[v]
+        for i, c in enumerate(ids, 1):
+            while v and c not in following[v]:
+                v = link[v]
+                n = length[v]
             if c in following[v]:
                 v, n = following[v][c], n + 1
             for phrase, size in self.phrases[v]:
                 if n >= size:
-                    places.append((phrase, at + i + 1 - size))
-        self._anchor(v, n, at + len(ids), anchors)
-
-    def _anchor(self, v: int, n: int, end: int, anchors: dict) -> None:
-        if n >= self.least:
-            for template, to in self.auto.ends[v]:
-                if template >= self.n_phrases:
-                    anchors[template].append((end - n, to - n, n))
+                    places.append((phrase, at + i - size))
+            if n >= self.least:
+                after = ids[i] if i < len(ids) else 0
+                for template, to, longest in self.matches[v]:
+                    if self.words[template][to] != after:
+                        m = min(n, longest)
+                        anchors[template].append((at + i - m, to - m, m))
 
     def _chains(self, template: int, anchors: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains of a template that cover enough of it: (label, start, end, cover); anchors overlap in neither text."""
-        open_chains: list[list[int]] = []  # start, end, end in template, words covered
-        done = []
-        for start, inner, n in sorted(set(anchors)):
-            still = []
-            for chain in open_chains:
-                (still if start - chain[1] <= self.gap else done).append(chain)
-            open_chains, best = still, None
-            for chain in open_chains:
-                cut = max(chain[1] - start, chain[2] - inner, 0)
-                if cut < n and inner + cut - chain[2] <= self.gap and (best is None or chain[3] - cut > best[0]):
-                    best = (chain[3] - cut, chain, cut)
-            if best and best[2] == 0:
-                chain = best[1]
-                chain[1:] = [start + n, inner + n, chain[3] + n]
-            elif best:
-                chain = best[1]
-                open_chains.append([chain[0], start + n, inner + n, chain[3] + n - best[2]])
-                open_chains.append([start, start + n, inner + n, n])
-            else:
-                open_chains.append([start, start + n, inner + n, n])
+        """Chains of a template that cover enough of it: (label, start, end, cover).
+
+        Each anchor (start, start in template, words) goes on from the chain that with it covers most; words that overlap
+        in either text count once. Only chains that ended at most ``gap`` words before are looked at.
+        """
+        live: list[tuple[int, int, int, int]] = []  # start, end, end in template, words covered
         found: dict[tuple[int, int], float] = {}
-        for start, end, _, covered in done + open_chains:
-            share = min(1.0, covered / self.sizes[template])
+        for start, inner, n in sorted(set(anchors)):
+            live = [x for x in live if start - x[1] <= self.gap]
+            first, most = start, 0
+            for begin, end, to, covered in live:
+                cut = max(end - start, to - inner, 0)
+                if cut < n and inner + cut - to <= self.gap and covered - cut > most:
+                    first, most = begin, covered - cut
+            live.append((first, start + n, inner + n, n + most))
+            share = (n + most) / self.sizes[template]
             if share >= self.cover:
-                found[start, end] = max(share, found.get((start, end), 0.0))
+                found[first, start + n] = max(share, found.get((first, start + n), 0.0))
         out: list[tuple[str, int, int, float]] = []
         for (start, end), share in sorted(found.items(), key=lambda x: (-x[1], x[0])):  # the best of those that overlap
             if all(end <= s or start >= e for _, s, e, _ in out):
@@ -194,6 +200,17 @@ class Scanner:
         return out
 
 
+def _outer(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Findings but those inside another of a greater share; those of one template are apart, so few are open at once."""
+    out, live = [], []
+    for x in sorted(found, key=lambda x: (x[1], -x[2], -x[3])):
+        live = [o for o in live if o[2] > x[1]]
+        if not any(o[2] >= x[2] and o[3] > x[3] for o in live):
+            out.append(x)
+        live.append(x)
+    return out
+
+
 def scan_licenses(
     docs: DataFrame,
     phrases: dict[str, str] = BASE_PHRASES,

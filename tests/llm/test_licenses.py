@@ -1,9 +1,11 @@
 import re
+from collections import defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from featurespark.llm.licenses import BASE_PHRASES, TEMPLATES, Automaton, op2_license_scan, scan_licenses
+from featurespark.llm.license_texts import LICENSE_TEXTS
+from featurespark.llm.licenses import BASE_PHRASES, TEMPLATES, Automaton, Scanner, op2_license_scan, scan_licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -39,6 +41,74 @@ def test_matching_statistics(sequences, text):
             assert set(auto.ends[v]) == occurs[tuple(text[i + 1 - n : i + 1])]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=9), min_size=1, max_size=4), st.text("abcd", max_size=25))
+def test_anchors_are_all_matches_that_cannot_grow(templates, text):
+    scanner, got = Scanner({}, [("x", " ".join(t)) for t in templates], 2, 4, 0.5), defaultdict(list)
+    places, at = [], 0
+    for run in re.split("([^" + "".join(set("".join(templates))) + "]+)", text):
+        if ids := [scanner.vocab.get(c.encode(), 0) for c in run]:
+            if all(ids):
+                scanner._stream(ids, at, places, got)
+        at += len(run)
+    for k, t in enumerate(templates):
+        want = set()
+        for i in range(len(text)):
+            for j in range(len(t)):
+                if i and j and text[i - 1] == t[j - 1]:
+                    continue
+                m = 0
+                while i + m < len(text) and j + m < len(t) and text[i + m] == t[j + m]:
+                    m += 1
+                if m >= 2:
+                    want.add((i, j, m))
+        assert set(got[k]) == want and len(got[k]) == len(want)
+
+
+def best_cover(anchors, gap):
+    """Most words that a chain can cover, by trying all chains."""
+    anchors = sorted(set(anchors))
+
+    def on(i):
+        start, inner, n = anchors[i]
+        most = n
+        for j in range(i + 1, len(anchors)):
+            s, q, m = anchors[j]
+            cut = max(start + n - s, inner + n - q, 0)
+            if s - start - n <= gap and cut < m and q + cut - inner - n <= gap:
+                most = max(most, n - cut + on(j))
+        return most
+
+    return max(map(on, range(len(anchors))), default=0)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14), st.integers(1, 5)), min_size=1, max_size=7), st.integers(0, 5))
+def test_chains_cover_most(anchors, gap):
+    scanner = Scanner({}, [("x", " ".join(map(str, range(40))))], 1, gap, 0.0)
+    best = max(share for *_, share in scanner._chains(0, anchors))
+    assert round(best * 40) == best_cover(anchors, gap)
+
+
+def test_a_later_anchor_can_follow_an_earlier_chain():
+    scanner = Scanner({}, [("x", " ".join(map(str, range(10))))], 1, 4, 0.5)
+    assert scanner._chains(0, [(8, 5, 2), (10, 9, 1), (12, 7, 3)]) == [("x", 8, 15, 0.5)]
+
+
+def test_whole_licences(spark):
+    """Each licence text is known by its label alone, also with a word in twenty changed and inside a very long text."""
+    rows = []
+    for label, text in LICENSE_TEXTS:
+        words = text.split()
+        edited = " ".join(w if i % 20 != 19 else "XYZ" for i, w in enumerate(words))
+        rows += [(label, "Some words before. " + text), (label, "lorem ipsum " * 100_000 + edited + " dolor" * 50)]
+    got = scan_licenses(spark.createDataFrame(rows, "label string, text string")).collect()
+    for r in got:
+        also = {"bsd-2-clause": {"bsd"}, "bsd-3-clause": {"bsd"}}.get(r.label, set())
+        assert r.label in r.labels.split(",") and set(r.labels.split(",")) <= {r.label} | also
+    assert len(got) == 2 * len(LICENSE_TEXTS)
+
+
 def test_query_equals_brute_force(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = op2_license_scan(spark, sf).collect()
