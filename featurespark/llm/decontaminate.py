@@ -7,7 +7,10 @@ seeds; each is extended word by word in both texts, so the result is exact and n
 n words are looked up by the hash of all their words and then compared word by word.
 
 Two plans give the same rows. While the benchmark's text is at most ``max_broadcast_bytes`` (measured first), its index
-goes to every task and documents are not shuffled. Beyond that, fingerprints of both sides meet in a shuffled join.
+goes to every task and documents are not shuffled. Beyond that, documents are searched for fingerprints that the
+benchmark has (a semi-join, so that a common one makes one row a document), the seeds are extended to the windows of n
+words around them, and these meet the benchmark's windows, word by word, in a join of one row a window. Windows of the
+same items form a class, and documents of the same classes are given their items once.
 
 Defined results: null or wordless text has no words, hits or items and is not contaminated; a benchmark row without
 words matches nothing; repeated item rows count once; a null item_id is listed as ``null``; documents are kept row for
@@ -155,72 +158,72 @@ def decontaminate(
 
 
 def _by_join(docs: DataFrame, items: DataFrame, n: int, k: int, share: int) -> DataFrame:
-    """The plan without a broadcast index: seeds are an equi-join of fingerprints; work is done once per distinct text."""
-    items = items.groupBy("text").agg(
-        F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("null")))).alias("ids")
-    )
-    items = written(items.withColumn("item", F.sha2("text", 256)))
-    short = map_rows(items.select("text"), lambda c: {"m": [len(alnum_words(x)) for x in c[0]]}, "m int")
-    lengths = [r.m for r in short.filter(f"m between 1 and {n - 1}").distinct().collect()]  # under n values
-
-    def marks(columns: list[list], of_items: bool) -> dict:
-        out: dict = {"key": [], "fp": [], "pos": [], "m": []}
-        for key, text in zip(*columns, strict=True):
-            hashes = word_hashes(alnum_words(text))
-            for m in [len(hashes)] if of_items else [*lengths, n]:
-                if of_items and not m or m > len(hashes):
-                    continue
-                if m < n:
-                    grams = gram_hashes(hashes, m)
-                    at = np.arange(len(grams))
-                else:
-                    grams = gram_hashes(hashes, k)
-                    at = winnow(grams, n - k + 1)
-                out["key"] += [key] * len(at)
-                out["fp"] += grams[at].view(np.int64).tolist()
-                out["pos"] += at.tolist()
-                out["m"] += [min(m, n)] * len(at)
+    """The plan without a broadcast index; work is done once per distinct text, and no list of items is held per window."""
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), "text")
+
+    def windows(columns: list[list]) -> dict:
+        out: dict = {"id": [], "w": [], "m": []}
+        for item, text in zip(*columns, strict=True):
+            words = alnum_words(text)
+            m = min(n, len(words))
+            own = {b" ".join(words[i : i + m]) for i in range(len(words) - m + 1)} if m else set()
+            out["id"] += [item] * len(own)
+            out["w"] += own
+            out["m"] += [m] * len(own)
+        return out
+
+    of_items = written(map_rows(items, windows, "id string, w binary, m int", rows=64).distinct())
+    lengths = [r.m for r in of_items.filter(f"m < {n}").select("m").distinct().collect()]  # under n values
+
+    def prints(words: list[bytes]) -> list[tuple[int, int, int]]:
+        """(fingerprint, window length, position): k-grams for windows of n words, whole windows for shorter ones."""
+        hashes, out = word_hashes(words), []
+        for m in [*lengths, n]:
+            if m <= len(hashes):
+                grams = gram_hashes(hashes, m if m < n else k)
+                at = winnow(grams, n - k + 1) if m == n else np.arange(len(grams))
+                out += zip(grams[at].view(np.int64).tolist(), [m] * len(at), at.tolist(), strict=True)
+        return out
+
+    def item_prints(columns: list[list]) -> dict:
+        found = {x[:2] for w in columns[0] for x in _prints_of_window(w.split(), n, k)}
+        return {"fp": [x[0] for x in found], "m": [x[1] for x in found]}
+
+    def doc_prints(columns: list[list]) -> dict:
+        out: dict = {"doc": [], "fp": [], "m": []}
+        for doc, text in zip(*columns, strict=True):
+            own = {x[:2] for x in prints(alnum_words(text))}
+            out["doc"] += [doc] * len(own)
+            out["fp"] += [x[0] for x in own]
+            out["m"] += [x[1] for x in own]
         return out
 
     texts = docs.select(F.col("text").cast("binary").alias("text")).filter("text is not null").distinct()
     texts = written(texts.withColumn("doc", F.sha2("text", 256)))
-    schema = "key string, fp long, pos int, m int"
-    of_docs = map_rows(texts.select("doc", "text"), lambda c: marks(c, False), schema, rows=64)
-    of_items = map_rows(items.select("item", "text"), lambda c: marks(c, True), schema, rows=64)
-    seeds = (
-        of_docs.withColumnRenamed("key", "doc")
-        .join(of_items.withColumnsRenamed({"key": "item", "pos": "at"}), ["fp", "m"])
-        .groupBy("doc", "item", "m", (F.col("pos") - F.col("at")).alias("line"))
-        .agg(F.sort_array(F.collect_set("pos")).alias("pos"))
-    )
-
-    def spans(columns: list[list]) -> dict:
-        out: dict = {"doc": [], "start": [], "end": [], "ids": []}
-        for doc, m, line, starts, ids, a, b in zip(*columns, strict=True):
-            x, y, end = word_hashes(alnum_words(a)), word_hashes(alnum_words(b)), -1
-            for p in starts:
-                if p >= end:
-                    s, end = extend(x, y, p, p - line)
-                    if end - s >= m:
-                        out["doc"].append(doc)
-                        out["start"].append(s)
-                        out["end"].append(end)
-                        out["ids"].append(ids)
-                    end = max(end, p + 1)
+    known = map_rows(of_items.select("w"), item_prints, "fp long, m int").distinct()
+    seeds = map_rows(texts.select("doc", "text"), doc_prints, "doc string, fp long, m int", rows=64).join(known, ["fp", "m"], "left_semi")
+    seeds = seeds.groupBy("doc").agg(F.collect_list(F.struct("fp", "m")).alias("seeds"))  # as many as a text has at most
+
+    def around(columns: list[list]) -> dict:
+        out: dict = {"doc": [], "start": [], "m": [], "w": []}
+        for doc, text, found in zip(*columns, strict=True):
+            words, found = alnum_words(text), {(x["fp"], x["m"]) for x in found}
+            starts = set()
+            for fp, m, at in prints(words):
+                if (fp, m) in found:
+                    starts |= {(at, m)} if m < n else {(i, m) for i in range(max(0, at - n + k), min(at, len(words) - n) + 1)}
+            for i, m in starts:
+                out["doc"].append(doc)
+                out["start"].append(i)
+                out["m"].append(m)
+                out["w"].append(b" ".join(words[i : i + m]))
         return out
 
-    found = map_rows(
-        seeds.join(items.select("item", "ids", F.col("text").alias("b")), "item")
-        .join(texts.select("doc", F.col("text").alias("a")), "doc")
-        .select("doc", "m", "line", "pos", "ids", "a", "b"),
-        spans,
-        "doc string, start int, end int, ids array<string>",
-        rows=64,
-    )
-    by_doc = found.groupBy("doc").agg(
-        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"),
-    )
+    near = map_rows(texts.join(seeds, "doc").select("doc", "text", "seeds"), around, "doc string, start int, m int, w binary", rows=16)
+    kind = [F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (0, 1)]]
+    classes = written(of_items.groupBy("w").agg(*kind).select("w", F.concat_ws(":", "n", "x0", "x1").alias("class")))
+    hits = written(near.join(classes, "w").select("doc", "start", "m", "class"))
+    spans = F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("m")).alias("end"))))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
@@ -229,17 +232,31 @@ def _by_join(docs: DataFrame, items: DataFrame, n: int, k: int, share: int) -> D
             F.greatest(a["to"], s["end"]).alias("to"),
         ),
     )["n"]
-    by_doc = by_doc.select(F.col("doc").alias("_doc"), covered.cast("long").alias("n_hit"), F.col("ids").alias("_ids"))
+    by_doc = hits.groupBy("doc").agg(spans.alias("spans"), F.array_sort(F.collect_set("class")).alias("classes"))
+    by_doc = written(by_doc.select("doc", covered.cast("long").alias("n_hit"), F.sha2(F.concat_ws(",", "classes"), 256).alias("set"), "classes"))
+    sets = by_doc.groupBy("set").agg(F.first("classes").alias("classes")).select("set", F.explode("classes").alias("class"))
+    members = classes.groupBy("class").agg(F.min("w").alias("w")).join(of_items.select("w", "id"), "w").select("class", "id")
+    listed = sets.join(members, "class").select("set", "id").distinct().groupBy("set").agg(F.array_sort(F.collect_list("id")).alias("_ids"))
+    listed = listed.select("set", F.size("_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_ids"), 256).alias("items_sha256"))
+    by_doc = by_doc.join(listed, "set").select(F.col("doc").alias("_doc"), "n_hit", "n_items", "items_sha256")
     plain = docs.drop(*names(RESULT))
     counted = add_columns(plain, [plain["text"].cast("binary")], lambda x: [(len(alnum_words(t)),) for t in x], "n_words long")
     out = counted.withColumn("_doc", F.sha2(F.col("text").cast("binary"), 256)).join(by_doc, "_doc", "left").drop("_doc")
-    return (
-        out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)))
-        .withColumn("n_items", F.coalesce(F.array_size("_ids"), F.lit(0)).cast("long"))
-        .withColumn("items_sha256", F.sha2(F.concat_ws(",", F.coalesce("_ids", F.array().cast("array<string>"))), 256))
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
-        .drop("_ids")
-    )
+    return out.withColumns(
+        {
+            "n_hit": F.coalesce("n_hit", F.lit(0)),
+            "n_items": F.coalesce("n_items", F.lit(0)),
+            "items_sha256": F.coalesce("items_sha256", F.sha2(F.lit(""), 256)),
+        }
+    ).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+
+
+def _prints_of_window(words: list[bytes], n: int, k: int) -> list[tuple[int, int]]:
+    """(fingerprint, length) of one window: of n words the chosen k-gram, of fewer all words."""
+    hashes, m = word_hashes(words), len(words)
+    grams = gram_hashes(hashes, m if m < n else k)
+    at = winnow(grams, n - k + 1) if m == n else np.arange(len(grams))
+    return [(x, m) for x in grams[at].view(np.int64).tolist()]
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

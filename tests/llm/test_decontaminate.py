@@ -74,3 +74,17 @@ def test_columns_doc_and_ids_pass(spark, limit):
     docs = spark.createDataFrame([(1, text, "x", "y"), (2, "a b", "x", "y")], "doc_id long, text string, doc string, ids string")
     got = decontaminate(docs, spark.createDataFrame([(7, text)], "item_id long, text string"), max_broadcast_bytes=limit)
     assert sorted((r.doc_id, r.doc, r.ids, r.n_hit, r.n_items) for r in got.collect()) == [(1, "x", "y", 20, 1), (2, "x", "y", 0, 0)]
+
+
+def test_common_passage_stays_linear(spark):
+    """A passage in all documents and many items: windows met per document don't grow with the number of items."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    items = [(i, f"{passage} only{i} " + " ".join(f"i{i}w{j}" for j in range(12))) for i in range(300)]
+    docs = [(i, f"d{i} " * 5 + passage) for i in range(10_000)]
+    docs.append((10_000, " ".join(items[7][1].split()[5:])))
+    df, other = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate(df, other, max_broadcast_bytes=0).collect()}
+    digest = hashlib.sha256(",".join(sorted(str(i) for i in range(300))).encode()).hexdigest()
+    assert len(got) == 10_001
+    assert all((got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256) == (25, 20, 300, digest) for i in range(10_000))
+    assert (got[10_000].n_hit, got[10_000].n_items) == (28, 300)
