@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from featurespark.operators.quantiles import quantile_row
+
 
 def select_except(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.drop(*cols)
@@ -122,7 +124,7 @@ def row_max(cols: list[str]) -> Column:
 
 def clip_quantile(df: DataFrame, col: str, q: float, lower: float | None = None) -> DataFrame:
     """df with values above the quantile set to it, and values below ``lower`` to that; null stays null."""
-    top = df.agg(F.percentile(col, F.lit(q)).alias("_top"))  # one row
+    top = quantile_row(df, {"_top": (col, q)})
     value = F.when(F.col(col) > F.col("_top"), F.col("_top")).otherwise(F.col(col))
     if lower is not None:
         value = F.when(value < lower, F.lit(float(lower))).otherwise(value)

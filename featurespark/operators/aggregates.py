@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from .quantiles import quantile_row, quantiles
+
 
 def group_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Sum, count, minimum, maximum and mean by key."""
@@ -43,19 +45,25 @@ def mode(df: DataFrame, col: str) -> DataFrame:
 
 
 def describe(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Count, mean, standard deviation, minimum, quartiles and maximum of each numeric column, in one aggregate."""
+    """Count, mean, standard deviation, minimum, quartiles and maximum of each numeric column.
+
+    Exact quartiles come from running counts of equal values, so that no task holds a column; approximate ones take part
+    in the one aggregate.
+    """
     cols = [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
-    quantile = F.percentile_approx if approximate else F.percentile
-    made = []
+    shares, made = {"q25": 0.25, "q50": 0.5, "q75": 0.75}, []
     for c in cols:
         x = F.col(c).cast("double")
         made.append(
             F.struct(
                 F.lit(c).alias("column_name"), F.count(c).alias("count"), F.avg(x).alias("mean"), F.stddev(x).alias("std"), F.min(x).alias("min"),
-                *[quantile(x, F.lit(q)).alias(n) for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))], F.max(x).alias("max"),
+                *[F.percentile_approx(x, F.lit(q)).alias(n) for n, q in shares.items() if approximate], F.max(x).alias("max"),
             ).alias(c)
         )
-    return df.agg(*made).select(F.explode(F.array(*cols)).alias("r")).select("r.*")
+    out = df.agg(*made).select(F.explode(F.array(*cols)).alias("r")).select("r.*")
+    if not approximate:
+        out = out.join(F.broadcast(quantiles(df, cols, shares)), "column_name").select(*out.columns[:-1], *shares, "max")
+    return out
 
 
 def daily_counts(df: DataFrame, ts: str, key: str | None = None) -> DataFrame:
@@ -102,8 +110,8 @@ def range_summary(df: DataFrame, date: str, value: str) -> DataFrame:
 def summary(df: DataFrame, key: str, amount: str, flag: str) -> DataFrame:
     """One row: events, keys, mean and median amount, share of keys with a flagged event."""
     by_key = df.groupBy(key).agg(F.max(F.col(flag).cast("int")).alias("bad")).agg(F.count("*").alias("n_keys"), F.avg("bad").alias("bad_share"))
-    total = df.agg(F.count("*").alias("n_events"), F.avg(amount).alias("mean_amount"), F.median(amount).alias("median_amount"))
-    return total.crossJoin(by_key)  # one row each
+    total = df.agg(F.count("*").alias("n_events"), F.avg(amount).alias("mean_amount"))
+    return total.crossJoin(quantile_row(df, {"median_amount": (amount, 0.5)})).crossJoin(by_key)  # one row each
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:

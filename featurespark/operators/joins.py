@@ -151,8 +151,8 @@ def ip_lookup(df: DataFrame, ip: str, ranges: DataFrame, bin_bits: int = 24) ->
 
 
 def home_relation(df: DataFrame, home: str, other: str, edges: DataFrame) -> DataFrame:
-    """df with relation: home, neighbour or far. edges (place, neighbour) is a table of some hundred rows at most."""
-    known = F.broadcast(edges.select(F.col("place").alias(home), F.col("neighbour").alias(other)).distinct().withColumn("_near", F.lit(True)))
+    """df with relation: home, neighbour or far. Spark broadcasts edges (place, neighbour) while they are small."""
+    known = edges.select(F.col("place").alias(home), F.col("neighbour").alias(other)).distinct().withColumn("_near", F.lit(True))
     relation = F.when(F.col(home) == F.col(other), "home").when(F.col("_near"), "neighbour").otherwise("far")
     return df.join(known, [home, other], "left").withColumn("relation", relation).drop("_near")
 
@@ -172,6 +172,15 @@ def hindcast(predictions: DataFrame, outcomes: DataFrame, on: list[str], horizon
     return predictions.filter(F.col(horizon_col) == horizon).join(outcomes, on).orderBy(*on)
 
 
+def hindcast_or_recent(predictions: DataFrame, outcomes: DataFrame, on: list[str], date: str, n: int = 10, **options) -> DataFrame:
+    """The hindcast; while there is none yet, the last n predictions without outcomes."""
+    found = hindcast(predictions, outcomes, on, **options)
+    if not found.isEmpty():
+        return found
+    missing = [F.lit(None).cast(outcomes.schema[c].dataType).alias(c) for c in outcomes.columns if c not in on]
+    return recent_backfill(predictions, date, n).select("*", *missing).select(*found.columns)
+
+
 def recent_backfill(df: DataFrame, date: str, n: int) -> DataFrame:
     """The last n rows by date, in order of date: for when there is no hindcast yet."""
     return df.orderBy(F.desc(date)).limit(n).orderBy(date)

@@ -11,12 +11,14 @@ from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from featurespark.ship import ship
 
+from .quantiles import running_sums
+
 
 def udf_forms(df: DataFrame, x: str, y: str, form: str = "native") -> DataFrame:
     """df with x * 1.1 + sin(x) and exp(-(x - y)**2 / 100) * sin(x / 10) * cos(y / 5), as ``native`` expressions or as
@@ -123,22 +125,15 @@ def classification_report(df: DataFrame, y: str, pred: str) -> DataFrame:
     return out.unionByName(total.withColumn("class", F.lit("weighted")))
 
 
-def roc_points(df: DataFrame, y: str, score: str, slices: int = 64) -> DataFrame:
+def roc_points(df: DataFrame, y: str, score: str) -> DataFrame:
     """score, tp, fp (rows at or above the score), pos, neg: one row a distinct score.
 
-    Scores are grouped first and summed in slices of their range, then slices are summed, so that no task gets all.
+    Rows are counted by score first; the running counts are taken in ranges that hold about as many scores each.
     """
     by = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n")).filter("score is not null")
-    ends = by.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    at = F.coalesce(F.floor(F.try_divide(F.col("score") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * slices), F.lit(0))
-    by = by.crossJoin(F.broadcast(ends)).withColumn("_slice", at)
-    above = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = by.groupBy("_slice").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))  # slices + 1 rows at most
-    sums = sums.select("_slice", F.coalesce(F.sum("sp").over(above), F.lit(0)).alias("up"), F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("un"))
-    own = Window.partitionBy("_slice").orderBy(F.desc("score"))
-    tp, fp = F.sum("p").over(own), F.sum("n").over(own)
-    out = by.withColumns({"tp": tp, "fp": fp}).join(F.broadcast(sums), "_slice")
-    return out.select("score", (F.col("tp") + F.col("up")).alias("tp"), (F.col("fp") + F.col("un")).alias("fp"), "p", "n", "pos", "neg")
+    out = running_sums(by, [F.desc("score")], {"tp": "p", "fp": "n"})
+    ends = out.agg(F.max("tp").alias("pos"), F.max("fp").alias("neg"))  # one row
+    return out.crossJoin(F.broadcast(ends)).select("score", "tp", "fp", "p", "n", "pos", "neg")
 
 
 def pr_curve(df: DataFrame, y: str, score: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +37,23 @@ def row_rules(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataF
     return report, judged.filter(good).drop(*held), judged.filter(~good).drop(*held)
 
 
+def interval(text: str) -> str:
+    """An interval for SQL: ``1w``, ``3h`` or ``1d3h`` in days, hours, minutes and seconds; others such as ``7 DAYS`` stay."""
+    short = text.replace(" ", "")
+    if not re.fullmatch(r"([0-9]+[wdhms])+", short):
+        return text
+    size = {"w": 7 * 86400, "d": 86400, "h": 3600, "m": 60, "s": 1}
+    return f"{sum(int(n) * size[u] for n, u in re.findall('([0-9]+)([wdhms])', short))} SECONDS"
+
+
 def feature_stats(df: DataFrame, ts: str, now: str, offset: str, length: str | None, cols: list[str], pct: float = 1.0, id_col: str | None = None) -> DataFrame:
     """feature, count, mean, std, sum, min, max over the rows of [now - offset, now - offset + length).
 
-    Offset and length are intervals such as ``7 DAYS``; without length the window ends at now. pct keeps that share of
+    Offset and length are intervals such as ``7 DAYS`` or ``1w``, ``1d3h``; without length the window ends at now. pct keeps that share of
     rows by a hash of id_col, the same on any partitioning.
     """
-    start = f"(timestamp_ntz'{now}' - INTERVAL {offset})"
-    end = f"({start} + INTERVAL {length})" if length else f"timestamp_ntz'{now}'"
+    start = f"(timestamp_ntz'{now}' - INTERVAL {interval(offset)})"
+    end = f"({start} + INTERVAL {interval(length)})" if length else f"timestamp_ntz'{now}'"
     rows = df.filter(f"`{ts}` >= {start} and `{ts}` < {end}")
     if pct < 1.0:
         rows = rows.filter(md5_number(id_col) < int(pct * (1 << 32)))

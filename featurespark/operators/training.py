@@ -7,11 +7,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featurespark.sources.tables import with_row_index
 
+from .aggregates import mode
+from .quantiles import quantile_row
+
 
 @dataclass(frozen=True)
 class Imputer:
@@ -25,10 +30,16 @@ class Imputer:
 
 
 def fit_imputer(train: DataFrame, spec: dict[str, object]) -> Imputer:
-    """spec: column to ``mean``, ``median``, ``mode``, or a constant in a tuple such as ('UNKNOWN',)."""
-    kinds = {"mean": F.avg, "median": F.median, "mode": lambda c: F.mode(c, deterministic=True)}
-    made = [(F.lit(k[0]) if isinstance(k, tuple) else kinds[k](c)).alias(c) for c, k in spec.items()]
-    return Imputer(train.agg(*[m for m in made]), list(spec))
+    """spec: column to ``mean``, ``median``, ``mode``, or a constant in a tuple such as ('UNKNOWN',).
+
+    Medians and modes are found from counts of equal values, so that no task holds a column.
+    """
+    out = train.agg(F.count("*"), *[F.lit(k[0]).alias(c) if isinstance(k, tuple) else F.avg(c).alias(c) for c, k in spec.items() if k == "mean" or isinstance(k, tuple)]).drop("count(1)")
+    if medians := {c: (c, 0.5) for c, k in spec.items() if k == "median"}:
+        out = out.crossJoin(quantile_row(train, medians))  # one row each
+    for c in [c for c, k in spec.items() if k == "mode"]:
+        out = out.join(mode(train, c).select(F.col("mode").alias(c)), F.lit(True), "left")
+    return Imputer(out.select(*spec), list(spec))
 
 
 @dataclass(frozen=True)
@@ -52,7 +63,7 @@ def fit_ordinal(train: DataFrame, cols: list[str]) -> Ordinal:
 
 
 def fit_one_hot(train: DataFrame, col: str, most: int = 200) -> list:
-    """The sorted distinct values of a column of few; more than ``most`` is an error (use ml.OneHotEncoder)."""
+    """The sorted distinct values of a column of few; more than ``most`` is an error (use ``fit_one_hot_vectors``)."""
     values = [r[0] for r in train.select(col).dropna().distinct().orderBy(col).limit(most + 1).collect()]
     if len(values) > most:
         raise ValueError(f"{col} has over {most} values")
@@ -64,6 +75,16 @@ def one_hot(df: DataFrame, col: str, values: list) -> DataFrame:
     return df.withColumns({f"{col}_{v}": F.coalesce((F.col(col) == v).cast("int"), F.lit(0)) for v in values})
 
 
+def fit_one_hot_vectors(train: DataFrame, cols: list[str], suffix: str = "_vector") -> PipelineModel:
+    """For columns of many values: a model that adds a sparse 0/1 vector a column, the values in order of their text.
+
+    Unseen and null values are the last place, which training doesn't fill.
+    """
+    index = StringIndexer(inputCols=cols, outputCols=[f"{c}__index" for c in cols], stringOrderType="alphabetAsc", handleInvalid="keep")
+    encode = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{c}{suffix}" for c in cols], dropLast=False)
+    return Pipeline(stages=[index, encode]).fit(train)
+
+
 @dataclass(frozen=True)
 class MinMax:
     ends: DataFrame

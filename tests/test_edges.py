@@ -232,6 +232,59 @@ def test_training_estimate_and_split(spark):
     assert L.split_at(spark.createDataFrame([(1, "a", None, 1.0)], ROW), "ts", day(20)).first().split is None
 
 
+def test_quantiles_equal_percentile(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1.0, 2.0, -7.5, rng.random() * 1e6]), rng.randrange(5), None) for _ in range(500)]
+    df = spark.createDataFrame(rows, "a double, b int, c double")
+    for part in (df, df.limit(1), df.limit(0)):
+        got = {r.column_name: r for r in A.describe(part).collect()}
+        want = part.agg(*[F.percentile(x, F.lit(q)).alias(f"{x}{n}") for x in "abc" for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]).first()
+        for x in "abc":
+            assert [got[x][q] for q in ("q25", "q50", "q75")] == [v if v is None else pytest.approx(v) for v in (want[f"{x}{q}"] for q in ("q25", "q50", "q75"))]
+    assert values(L.fit_imputer(df, {"a": "median", "b": "mode", "c": "mode"}).values, "c") == [(None,)]
+
+
+def test_crowded_scores(spark):
+    rows = [(int(i % 7 == 0), i % 3 / 1e9 if i % 10 else float(i)) for i in range(200)]
+    points = {r.score: (r.tp, r.fp) for r in M.roc_points(spark.createDataFrame(rows, "y int, s double"), "y", "s").collect()}
+    for score, got in points.items():
+        assert got == (sum(y for y, s in rows if s >= score), sum(1 - y for y, s in rows if s >= score))
+
+
+def test_one_hot_vectors(spark):
+    train = spark.createDataFrame([(f"v{i:03}",) for i in range(300)], "c string")
+    got = L.fit_one_hot_vectors(train, ["c"]).transform(spark.createDataFrame([("v007",), ("z",), (None,)], "c string")).collect()
+    assert [list(r.c_vector.indices) for r in got] == [[7], [300], [300]]
+
+
+def test_hindcast_falls_back(spark):
+    predictions = spark.createDataFrame([(day(i), 1, float(i)) for i in range(20)], "date timestamp_ntz, days_before_forecast_day int, predicted double")
+    seen = spark.createDataFrame([(day(3), 4.0)], "date timestamp_ntz, pm25 double")
+    assert values(J.hindcast_or_recent(predictions, seen, ["date"], "date"), "predicted", "pm25") == [(3.0, 4.0)]
+    early = J.hindcast_or_recent(predictions, seen.limit(0), ["date"], "date")
+    assert values(early, "predicted", "pm25") == [(float(i), None) for i in range(10, 20)]
+
+
+def test_short_intervals(spark):
+    assert [Q.interval(x) for x in ("1w", "3h", "1d3h", "1d 3h", "7 DAYS")] == ["604800 SECONDS", "10800 SECONDS", "97200 SECONDS", "97200 SECONDS", "7 DAYS"]
+    df = spark.createDataFrame([(i, "a", day(i), float(i)) for i in range(10)], ROW)
+    same = [Q.feature_stats(df, "ts", "2024-01-10 00:00:00", o, n, ["v"]).first() for o, n in (("1w", "1d3h"), ("7 DAYS", "27 HOURS"))]
+    assert same[0] == same[1] and same[0]["count"] == 2
+
+
+def test_models_learn_and_repeat(spark):
+    rng = random.Random(2)
+    rows = [(i, day(i % 5), x := rng.random(), "ab"[i % 2], int(x > 0.5), 3 * x + rng.random() / 9) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, x double, c string, y int, z double")
+    first, again = (M.score(df, M.train(df, ["x", "c"], "y", ["c"]), ["x", "c"]).select("id", "y", "prediction") for _ in range(2))
+    assert sorted(first.collect()) == sorted(again.collect()) and first.filter("y = prediction").count() > 390
+    guessed = df.withColumn("guess", F.when(F.col("c") == "a", F.col("z") + 1).otherwise(F.col("z")))
+    out = Q.estimate_mae(guessed, guessed.drop("z"), "ts", ["x", "c"][:1], "z", "guess").collect()
+    assert sum(r.n for r in out) == 400 and all(0.2 < r.estimated_mae < 0.8 for r in out)
+    double = M.on_demand(df.select("id", "x"), lambda x: x * 2, ["x"], "twice", "double", ["x"])
+    assert double.columns == ["id", "twice"] and sorted(r.twice for r in double.collect()) == sorted(2 * r[2] for r in rows)
+
+
 def test_rest_works_without_the_text_operators(tmp_path):
     """The driver deletes these folders; entry and queries must do without."""
     root = Path(__file__).resolve().parent.parent
