@@ -42,6 +42,8 @@ from .graph import components
 BLOCK = 1024
 HEAVY = 1 << 21
 LONG = 256
+#: Bytes of ids up to which a set of them is broadcast (some 2.8 million integers); beyond, texts are shuffled to them.
+SMALL = 1 << 26
 
 
 def shape(threshold: float, values: int, miss: float) -> tuple[int, int]:
@@ -113,6 +115,13 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return map_rows(docs.select("doc_id", F.col("text").cast("binary")), fn, schema)
 
 
+def _by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of df whose key is among ids (left_semi) or not (left_anti); texts stay where they are while ids are few."""
+    (key,) = ids.columns
+    size = ids.agg(F.sum(F.octet_length(F.col(key).cast("string")) + 16)).first()[0] or 0
+    return df.join(F.broadcast(ids) if size <= SMALL else ids, key, how)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose sets have 100 * intersection >= percent * union."""
 
@@ -308,11 +317,11 @@ def near_duplicates(
         hub = F.min_by("node", F.xxhash64("node", "key")).alias("hub")
         hubs = buckets.groupBy("key").agg(hub, F.min("node").alias("c"), F.max("node").alias("d")).filter("c < d")
         members = written(buckets.join(written(hubs.select("key", "hub")), "key"))
-        wanted = members.select("node").distinct()
-        chosen = written(classes.join(wanted, "node", "left_semi"))
+        wanted = written(members.select("node").distinct())
+        chosen = written(_by_ids(classes, wanted, "left_semi"))
         sketches = chosen.select("node", "sketch", "n_shingles")
         texts = docs.withColumnRenamed("doc_id", "node").withColumn("text", F.col("text").cast("binary"))
-        texts = written(texts.join(wanted, "node", "left_semi"))
+        texts = written(_by_ids(texts, wanted, "left_semi"))
         verify = lambda pairs: _verified(_best_hub(pairs, sketches, percent, least), texts, k, percent)
         links = written(verify(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()))
         found = components(links)
@@ -341,14 +350,15 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one row of each group of near duplicates."""
     odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     if odd.isEmpty():
-        kept = near_duplicates(docs, **options).filter("kept").select("doc_id")
-        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+        copies = near_duplicates(docs, **options).filter("not kept").select("doc_id")
+        return _by_ids(docs, copies, "left_anti").select(docs.columns)
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **options)
     found = rows.select("_row", "doc_id").join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     kept = found.groupBy("component_id").agg(least.alias("r")).select("r._row")
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    copies = written(found.select("_row").join(kept, "_row", "left_anti"))
+    return _by_ids(rows, copies, "left_anti").select(docs.columns)
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,14 @@ def test_empty_and_null_ids(spark):
     assert drop_near_duplicates(more.limit(0)).count() == 0
 
 
+def test_ids_too_many_to_broadcast_give_the_same_rows(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    few = sorted(r.doc_id for r in drop_near_duplicates(docs).collect())
+    monkeypatch.setattr(minhash, "SMALL", 0)
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == few
+    assert few == [i for i, _, _, kept in brute([(r.doc_id, r.text) for r in docs.collect()], 5, 80) if kept]
+
+
 def test_rows_of_one_id_are_one_document(spark):
     rows = [(5, "a b c d e"), (5, "v w x y z"), (6, "V w x y z"), (4, "a b c d e f"), (9, "q r s")]
     found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=80).collect()
