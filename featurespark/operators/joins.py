@@ -136,18 +136,25 @@ def label_by_membership(df: DataFrame, labels: DataFrame, keys: list[str], name:
     return df.join(known, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def ip_lookup(df: DataFrame, ip: str, ranges: DataFrame, bin_bits: int = 24) -> DataFrame:
-    """df with the columns of the narrowest range (low, high, place, ...) that holds the address, then of the first place.
+def ip_lookup(df: DataFrame, ip: str, ranges: DataFrame) -> DataFrame:
+    """df with the columns of the narrowest range (low, high, place, ...) that holds the IPv4 address, then of the first place.
 
-    Ranges are listed under each bin of 2**bin_bits addresses they touch, so the join is an equi-join with a filter.
+    Ranges are cut into aligned blocks of 2**level addresses, at most two of a level; an address looks up the one block of
+    each level that occurs. So the join is an equi-join whose pairs are hits only, however many ranges lie side by side.
     """
     extra = [c for c in ranges.columns if c not in ("low", "high")]
-    bins = F.explode(F.sequence(F.shiftright("low", bin_bits), F.shiftright("high", bin_bits)))
-    listed = ranges.withColumn("_bin", bins)
-    rows = df.withColumns({"_id": F.monotonically_increasing_id(), "_bin": F.shiftright(ip, bin_bits)})
-    hit = rows.select("_id", "_bin", ip).join(listed, "_bin").filter(F.col(ip).between(F.col("low"), F.col("high")))
-    best = hit.groupBy(ip).agg(F.min_by(F.struct(*extra), F.struct((F.col("high") - F.col("low")), F.col("place"))).alias("_r"))
-    return df.join(best, ip, "left").select(*df.columns, *[F.col(f"_r.{c}").alias(c) for c in extra])
+    inside = ranges.withColumns({"_lo": F.greatest("low", F.lit(0)).cast("long"), "_hi": F.least("high", F.lit((1 << 32) - 1)).cast("long") + 1})
+    ends = """filter(flatten(transform(transform(sequence(0, 32),
+        b -> struct(b as level, shiftright(_lo + shiftleft(1L, b) - 1, b) as first, shiftright(_hi, b) as after)),
+        x -> array(struct(x.level as level, if(x.first < x.after and x.first % 2 = 1, x.first, null) as block),
+                   struct(x.level as level, if(x.first < x.after and x.after % 2 = 1, x.after - 1, null) as block)))),
+        y -> y.block is not null)"""
+    listed = inside.filter("low is not null and high is not null").withColumn("_b", F.explode(F.expr(ends))).select("low", "high", *extra, "_b.*")
+    levels = sorted(r[0] for r in listed.select("level").distinct().collect())  # 33 at most
+    ask = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(F.col("_ip").cast("long"), n).alias("block")) for n in levels or [0]]))
+    asked = df.filter(F.col(ip).isNotNull()).select(F.col(ip).alias("_ip")).distinct().select("_ip", ask.alias("_a")).select("_ip", "_a.*")
+    best = asked.join(listed, ["level", "block"]).groupBy("_ip").agg(F.min_by(F.struct(*extra), F.struct((F.col("high") - F.col("low")), F.col("place"))).alias("_r"))
+    return df.join(best, F.col(ip) == F.col("_ip"), "left").select(*df.columns, *[F.col(f"_r.{c}").alias(c) for c in extra])
 
 
 def home_relation(df: DataFrame, home: str, other: str, edges: DataFrame) -> DataFrame:

@@ -81,6 +81,13 @@ def test_addresses(spark):
     ranges = spark.createDataFrame([(0, 99, "wide"), (10, 19, "b"), (10, 19, "a"), (1 << 24, 3 << 24, "far")], "low long, high long, place string")
     rows = spark.createDataFrame([(1, 5), (2, 12), (3, 500), (4, 2 << 24), (5, None), (6, 12)], "id long, ip long")
     assert dict(values(J.ip_lookup(rows, "ip", ranges), "id", "place")) == {1: "wide", 2: "a", 3: None, 4: "far", 5: None, 6: "a"}
+    rng = random.Random(5)
+    odd = [(0, (1 << 32) - 1, "all"), (7, 7, "one"), (9, 8, "none"), (None, 5, "null"), (1, (1 << 32) - 2, "most")]
+    odd += [(low, low + rng.choice([0, 1, 2, 3, 77, 4096, 1 << 20]), f"p{low}") for low in (rng.randrange(1 << 12) * (1 << rng.randrange(19)) for _ in range(200))]
+    asked = [0, 7, 8, (1 << 32) - 1, *[max(0, low + rng.randrange(-3, 80)) for low, high, _ in odd[5:]]]
+    got = dict(values(J.ip_lookup(spark.createDataFrame(enumerate(asked), "id long, ip long"), "ip", spark.createDataFrame(odd, "low long, high long, place string")), "id", "place"))
+    for i, a in enumerate(asked):
+        assert got[i] == min((high - low, place) for low, high, place in odd if low is not None and low <= a <= high)[1]
 
 
 def test_scalars(spark):
