@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from featurespark.ship import ship
+from featurespark.sources.shared import scratch, written
 
 from .quantiles import running_sums
 
@@ -144,16 +145,17 @@ def pr_curve(df: DataFrame, y: str, score: str) -> DataFrame:
 
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """One row: roc_auc, pr_auc (trapezoid, from recall 0 at precision 1), average_precision. Tied scores are one step."""
-    r = roc_points(df, y, score)
     before_tp, before_fp = F.col("tp") - F.col("p"), F.col("fp") - F.col("n")
     precision = F.try_divide("tp", F.col("tp") + F.col("fp"))
-    steps = r.filter((F.col("p") + F.col("n")) > 0)
     last = F.coalesce(F.try_divide(before_tp, before_tp + before_fp), F.lit(1.0))
-    return steps.agg(
+    areas = (
         F.try_divide(F.sum(F.col("n") * (before_tp + F.col("tp")) / 2), F.max(F.col("pos") * F.col("neg"))).alias("roc_auc"),
         F.try_divide(F.sum(F.col("p") * (precision + last) / 2), F.max("pos")).alias("pr_auc"),
         F.try_divide(F.sum(F.col("p") * precision), F.max("pos")).alias("average_precision"),
     )
+    with scratch() as tables:  # the running counts go, one row stays
+        steps = roc_points(df, y, score).filter((F.col("p") + F.col("n")) > 0)
+        return tables.keep(written(steps.agg(*areas).coalesce(1)))
 
 
 def regression_report(df: DataFrame, y: str, pred: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import shared_path
+from .shared import written
 
 
 def read_table(
@@ -66,14 +66,11 @@ def with_row_index(df: DataFrame, order: list[str], start: int = 0, name: str =
     """Numbers rows from start in a total order, without a window over all rows in one task.
 
     Rows are dealt by range of the order, counted per range, and numbered in their range from the counts before it.
-    Ranges are found by sampling, so the dealt rows are written to the shared folder between the two passes.
+    Ranges are found by sampling, so the dealt rows are written to the shared folder between the two passes. The result
+    reads that one table: call it inside ``with scratch()`` and it goes with the scope.
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    path = shared_path(spark)
-    dealt.write.parquet(path)
-    dealt = spark.read.schema(dealt.schema).parquet(path)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy("_part").count()  # one row a partition
     before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -97,10 +94,13 @@ def slice_rows(df: DataFrame, order: list[str], start: int, stop: int, drop: lis
 READING = "status string, data struct<iaqi: struct<pm25: struct<v: double>>>"
 
 
-def parse_reading(df: DataFrame, json_col: str, schema: str = READING, ok: str = "status = 'ok'") -> tuple[DataFrame, DataFrame]:
-    """(good, bad) rows of a JSON reply column parsed with an explicit schema; missing nested fields are null."""
+def parse_reading(df: DataFrame, json_col: str, schema: str = READING, ok: str | Column = "reply.status = 'ok'") -> tuple[DataFrame, DataFrame]:
+    """(good, bad) rows of a JSON reply column parsed with an explicit schema into ``reply``; missing nested fields are null.
+
+    ok, a Column or SQL, judges a row by ``reply`` and the row's other columns; null is bad.
+    """
     parsed = df.withColumn("reply", F.from_json(json_col, schema))
-    good = F.coalesce(F.expr(ok.replace("status", "reply.status")) if "status" in ok else F.expr(ok), F.lit(False))
+    good = F.coalesce(F.expr(ok) if isinstance(ok, str) else ok, F.lit(False))
     return parsed.filter(good), parsed.filter(~good)
 
 

@@ -177,6 +177,8 @@ def test_foreign_keys(spark):
 def test_fallbacks_and_json(spark):
     df = spark.createDataFrame([('{"status":"ok","data":{"iaqi":{"pm25":{"v":3.5}}}}',), ('{"status":"ok","data":{"iaqi":{}}}',), ('{"status":"error","data":"Unknown station"}',), (None,)], "j string")
     good, bad = T.parse_reading(df, "j")
+    assert T.parse_reading(df.withColumn("http_status", F.lit("status")), "j", ok="http_status = 'status' and reply.status = 'error'")[0].count() == 1
+    assert T.parse_reading(df, "j", ok=F.col("reply.data.iaqi.pm25.v") > 3)[0].count() == 1
     assert sorted(values(good, "reply.data.iaqi.pm25.v"), key=repr) == [(3.5,), (None,)] and bad.count() == 2
     two = spark.createDataFrame([("Unknown", "x"), ("y", "z"), (None, None)], "a string, b string")
     assert [r[0] for r in two.select(T.first_valid(["a", "b"], lambda c: c != "Unknown")).collect()] == ["x", "y", None]
@@ -292,6 +294,25 @@ def test_models_learn_and_repeat(spark):
     assert double.columns == ["id", "twice"] and sorted(r.twice for r in double.collect()) == sorted(2 * r[2] for r in rows)
 
 
+def test_intermediate_tables_go(spark):
+    """A result leaves the table that it reads, no other; inside a scope none is left."""
+    from featurespark.sources.shared import scratch, shared_path
+
+    root = Path(shared_path(spark)).parent
+    tables = lambda: set(root.glob("table-*"))
+    df = spark.createDataFrame([(i, float(i % 7), i % 2) for i in range(50)], "id long, x double, y int")
+    for made in (
+        lambda: A.describe(df), lambda: M.auc(df, "y", "x"), lambda: S.clip_quantile(df, "x", 0.9), lambda: T.with_row_index(df, ["id"]), lambda: M.pr_curve(df, "y", "x"), lambda: L.kfold(df, ["id"], 3),
+    ):
+        before = tables()
+        assert made().count() > 0 and len(tables() - before) == 1
+        with scratch():
+            assert made().count() > 0
+        assert len(tables() - before) == 1
+    row = A.quantile_row(df, {"a": ("x", 0.5), "b": ("id", 0.25), "c": ("x", 0.25)}).first()
+    assert (row.a, row.b, row.c) == (3.0, 12.25, 1.0)
+
+
 def test_rest_works_without_the_text_operators(tmp_path):
     """The driver deletes these folders; entry and queries must do without."""
     root = Path(__file__).resolve().parent.parent
