@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurespark.ship import ship
+from featurespark.sources.shared import drop_written, scratch, shared_path as shared_dir, written  # noqa: F401
 
 #: Bytes of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after A-Z are lower-cased stay, all others become a space.
 _WORD_TABLE = bytes(
@@ -38,57 +37,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a session that has none gets a local one if it runs on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
-
-
-class scratch:  # noqa: N801
-    """``with scratch() as tables``: at the end the tables that written() made inside are deleted, but for those kept."""
-
-    open: list[scratch] = []
-
-    def __enter__(self) -> scratch:
-        self.made: list[DataFrame] = []
-        self.open.append(self)
-        return self
-
-    def keep(self, df: DataFrame) -> None:
-        self.made = [m for m in self.made if m is not df]
-        if len(self.open) > 1:
-            self.open[-2].made.append(df)
-
-    def __exit__(self, *error) -> None:
-        self.open.pop()
-        for df in self.made:
-            drop_written(df)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_path = path  # noqa: SLF001  so that it can be deleted
-    if scratch.open:
-        scratch.open[-1].made.append(out)
-    return out
-
-
-def drop_written(df: DataFrame | None) -> None:
-    """Deletes a table that written() made and that nothing reads any more; nothing happens if it is gone."""
-    if df is not None and getattr(df, "_written_path", None):
-        jvm = df.sparkSession._jvm  # noqa: SLF001
-        path = jvm.org.apache.hadoop.fs.Path(df._written_path)  # noqa: SLF001
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often body names it."""
     return F.transform(F.array(value), body)[0]

@@ -66,6 +66,6 @@ def test_stages_on_odd_rows(spark, sf, tmp_path):
 
 
 def test_run_leaves_no_tables_behind(spark, sf):
-    before = set(glob.glob(f"{shared_dir(spark).rsplit('/', 1)[0]}/llm-*"))
+    before = set(glob.glob(f"{shared_dir(spark).rsplit('/', 1)[0]}/table-*"))
     corpus_pipeline.run(spark, sf).count()
-    assert len(set(glob.glob(f"{shared_dir(spark).rsplit('/', 1)[0]}/llm-*")) - before) <= 6
+    assert len(set(glob.glob(f"{shared_dir(spark).rsplit('/', 1)[0]}/table-*")) - before) <= 6
