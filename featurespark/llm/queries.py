@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "language", "licenses", "minhash", "packing", "pii", "quality", "token_counts", "toxicity", "warc"]
+MODULES = ["decontaminate", "importance", "language", "licenses", "minhash", "packing", "pii", "quality", "token_counts", "toxicity", "warc"]
 
 QUERIES = {}
 ORACLES = {}
