@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["conversations", "decontaminate", "importance", "language", "licenses", "minhash", "packing", "pii", "quality", "token_counts", "toxicity", "warc"]
+MODULES = ["chat", "conversations", "decontaminate", "importance", "language", "licenses", "minhash", "packing", "pii", "quality", "token_counts", "toxicity", "warc"]
 
 QUERIES = {}
 ORACLES = {}
