@@ -11,10 +11,14 @@ from .models import train
 from .training import md5_number
 
 
-def validate(df: DataFrame, expectations: list[tuple[str, str, float | None, float | None, bool]]) -> DataFrame:
-    """One row per expectation (column, statistic, least, most, strict): observed value and success, in one pass."""
+#: (column, statistic, least, most, strict)
+Expectation = tuple[str, str, float | None, float | None, bool]
+
+
+def judged(expectations: list[Expectation]) -> list[tuple[str, str, Column, Column]]:
+    """(column, statistic, value, success) of each expectation, as aggregates; a value that is not there fails."""
     stats = {"min": F.min, "max": F.max, "mean": F.avg, "count": F.count}
-    made = []
+    out = []
     for c, stat, least, most, strict in expectations:
         v = stats[stat](F.col(c)).cast("double")
         ok = F.lit(True)
@@ -22,7 +26,13 @@ def validate(df: DataFrame, expectations: list[tuple[str, str, float | None, flo
             ok = ok & ((v > least) if strict else (v >= least))
         if most is not None:
             ok = ok & ((v < most) if strict else (v <= most))
-        made.append(F.struct(F.lit(c).alias("column_name"), F.lit(stat).alias("statistic"), v.alias("observed"), F.coalesce(ok, F.lit(False)).alias("success")))
+        out.append((c, stat, v, F.coalesce(ok, F.lit(False))))
+    return out
+
+
+def validate(df: DataFrame, expectations: list[Expectation]) -> DataFrame:
+    """One row per expectation: observed value and success, in one pass."""
+    made = [F.struct(F.lit(c).alias("column_name"), F.lit(stat).alias("statistic"), v.alias("observed"), ok.alias("success")) for c, stat, v, ok in judged(expectations)]
     return df.agg(F.array(*made).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 

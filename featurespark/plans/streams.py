@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from featurespark.sources.shared import shared_path
 from featurespark.sources.tables import read_table
 from featurespark.streaming import features as S
+from featurespark.streaming.expectations import expect, read_expectations
+from featurespark.streaming.sinks import KeyedTable, keyed_sink
 
 from .base import CARDS, TX, card_versions, query, table
 from .joins import FEATURES_SQL, WINDOWS, _rolling_sql
@@ -36,18 +38,18 @@ def _ntz(df, *cols):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
 
 
-@query("o10_event_stream", "select event_id, user_id, ts, (props->>'$.k')::bigint as k from events where event_type = 'error'")
+@query("o10_event_stream", "select event_id, user_id, ts, (props->>'$.k')::bigint as k from events")
 def o10(spark, sf):
-    parsed = _events(spark, sf).withColumn("p", F.from_json("props", "k long")).filter("event_type = 'error'")
+    parsed = _events(spark, sf).withColumn("p", F.from_json("props", "k long"))
     return _ntz(_done(spark, parsed.select("event_id", "user_id", "ts", F.col("p.k").alias("k"))), "ts")
 
 
 @query("o11_upsert_sink", "select user_id, ts, event_id, value from (select *, row_number() over (partition by user_id, ts order by event_id desc) as rn from events) where rn = 1")
 def o11(spark, sf):
-    path = shared_path(spark)
+    out = KeyedTable(shared_path(spark), ["user_id"], "ts", "event_id", slots=4)
     stream = _events(spark, sf).select("user_id", "ts", "event_id", "value")
-    S.upsert_sink(stream, path, shared_path(spark), ["user_id"], "ts", "event_id").awaitTermination()
-    return _ntz(S.read_sink(spark, path), "ts")
+    keyed_sink(stream, out, shared_path(spark)).awaitTermination()
+    return _ntz(out.read(spark), "ts")
 
 
 @query("o80_score_stream", "select event_id, round(1 / (1 + exp(-(0.02 * value - 1.0 + case when event_type = 'error' then 0.5 else 0 end))), 6) as prediction from events")
@@ -73,11 +75,28 @@ def o94(spark, sf):
     return _ntz(out.select("t_id", "prev_ts", "prev_ip", "prev_card_present"), "prev_ts")
 
 
-@query("o95_asof_stream", f"with {TX}, {CARDS} select t_id, tx.cc_num, version, last_modified from tx asof left join cards on tx.cc_num = cards.cc_num and tx.ts >= cards.last_modified")
+_ASOF = f"with {TX}, {CARDS} select t_id, tx.cc_num, version, last_modified from tx asof left join cards on tx.cc_num = cards.cc_num and tx.ts >= cards.last_modified"
+
+
+def _two_streams(spark, sf, delay):
+    """Transactions and card versions as streams of their own that end, with watermarks."""
+    facts = S.closed(_transactions(spark, sf), "ts", shared_path(spark)).withWatermark("ts", delay)
+    cards = _events(spark, sf).filter("event_type = 'signup'").select(F.col("user_id").alias("cc_num"), F.col("ts").alias("last_modified"), F.col("event_id").alias("version"))
+    return facts, S.closed(cards, "last_modified", shared_path(spark)).withWatermark("last_modified", delay)
+
+
+@query("o95_asof_streams", _ASOF)
 def o95(spark, sf):
+    facts, cards = _two_streams(spark, sf, "1 day")
+    out = _done(spark, S.asof_streams(facts, cards, ["cc_num"], "ts", "last_modified", "version"))
+    return _ntz(out.select("t_id", "cc_num", "version", "last_modified"), "last_modified")
+
+
+@query("o95_asof_stream", _ASOF)
+def o95_table(spark, sf):
     path = shared_path(spark)
     dim = lambda: card_versions(spark, sf).withColumn("last_modified", F.col("last_modified").cast("timestamp"))
-    S.asof_stream(_transactions(spark, sf), dim, ["cc_num"], "ts", "last_modified", "version", path, shared_path(spark)).awaitTermination()
+    S.asof_table(_transactions(spark, sf), dim, ["cc_num"], "ts", "last_modified", "version", path, shared_path(spark)).awaitTermination()
     return _ntz(read_table(spark, path).select("t_id", "cc_num", "version", "last_modified"), "last_modified")
 
 
@@ -85,12 +104,41 @@ def o95(spark, sf):
 def o96(spark, sf):
     from featurespark.functions.scalar import seconds_since
 
-    path = shared_path(spark)
-    dim = lambda: card_versions(spark, sf).withColumn("last_modified", F.col("last_modified").cast("timestamp"))
-    S.fraud_features_stream(_transactions(spark, sf), dim, WINDOWS, path, shared_path(spark), ["ts", "ip", "card_present"]).awaitTermination()
-    out = read_table(spark, path).withColumn("time_since_last", seconds_since(F.col("ts"), F.col("prev_ts")))
+    facts, cards = _two_streams(spark, sf, "1 day")
+    # no two events of a card have the same id, so the table keeps them all
+    out = KeyedTable(shared_path(spark), ["cc_num", "t_id"], "ts", "t_id", slots=4)
+    S.fraud_features_stream(facts, cards, WINDOWS, ["ts", "ip", "card_present"], out, shared_path(spark)).awaitTermination()
+    rows = out.read(spark).withColumn("time_since_last", seconds_since(F.col("ts"), F.col("prev_ts")))
     names = ["t_id", "cc_num", "version", "prev_ts", "prev_ip", "prev_card_present", "time_since_last"]
-    return _ntz(out.select(*names, *[f"{p}_{n}" for n in WINDOWS for p in ("sum", "num")]), "prev_ts")
+    return _ntz(rows.select(*names, *[f"{p}_{n}" for n in WINDOWS for p in ("sum", "num")]), "prev_ts")
+
+
+@query("o93_rolling_ordered", _rolling_sql(TX, "tx", "cc_num", "amount", "t_id, cc_num"))
+def o93_ordered(spark, sf):
+    """The same sums given out behind the watermark."""
+    facts, _ = _two_streams(spark, sf, "1 day")
+    out = _done(spark, S.rolling_stream(facts, "cc_num", "ts", "t_id", "amount", WINDOWS, emit="ordered"))
+    return out.drop("amount", "card_present", "ts", "ip")
+
+
+RULES = [("value", "min", 0.0, None, False), ("value", "max", None, 100.0, True), ("value", "mean", 1.0, 1e6, False), ("event_id", "count", 1.0, None, False), ("user_id", "min", 5.0, None, True)]
+_RULES_SQL = " union all ".join(
+    f"select '{c}' as column_name, '{s}' as statistic, {dict(min='min', max='max', mean='avg', count='count')[s]}({c})::double as observed, "
+    + " and ".join(["true"] + [f"{dict(min='min', max='max', mean='avg', count='count')[s]}({c}) {op}{'' if strict else '='} {v}" for v, op in ((lo, '>'), (hi, '<')) if v is not None])
+    + " as success from events"
+    for c, s, lo, hi, strict in RULES
+)
+
+
+@query("o88_expect_stream", _RULES_SQL)
+def o88(spark, sf):
+    """Expectations on a stream: the table is one batch, so its rows are those of the batch form."""
+    path = shared_path(spark)
+    stream, log = expect(_events(spark, sf), RULES, path)
+    _done(spark, stream)
+    log.wait()
+    spark.streams.removeListener(log)
+    return read_expectations(spark, path).drop("batch_id")
 
 
 @query("o97_dedup_stream", "select event_id, user_id from events")
@@ -102,11 +150,10 @@ def o97(spark, sf):
 @query("o97_late_split", "select event_id, event_type <> 'purchase' and ts < (select max(ts) from events where event_type = 'purchase') - interval 1 day as late from events")
 def o97_late(spark, sf):
     """Purchases come first, all other events in a second run: those over a day older than the newest purchase are late."""
-    source, good, bad, marks, checkpoint = (shared_path(spark) for _ in range(5))
+    source, path, checkpoint = (shared_path(spark) for _ in range(3))
     t = table(spark, sf, "events")
     for i, part in enumerate(("event_type = 'purchase'", "event_type <> 'purchase'")):
         t.filter(part).write.parquet(f"{source}/b={i}")
         events = S.event_stream(spark, "parquet", t.schema, f"{source}/b=*", "ts")
-        S.late_split(events, "ts", 86400, good, bad, marks, checkpoint).awaitTermination()
-    out = [read_table(spark, p).select("event_id", F.lit(v).alias("late")) for p, v in ((good, False), (bad, True))]
-    return out[0].unionByName(out[1])
+        S.late_split(events, "ts", "1 day", path, checkpoint).awaitTermination()
+    return spark.read.parquet(path).select("event_id", F.col("late").cast("boolean").alias("late"))

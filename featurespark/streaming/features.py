@@ -1,25 +1,23 @@
-"""Streaming feature operators (O-10, O-11, O-80, O-93 to O-97).
+"""Streaming feature operators (O-10, O-80, O-93 to O-97).
 
-Rolling sums and lags keep, per key, the rows of the longest window in state and give one row out per row in. The as-of
-join and the keyed sink work per micro-batch, on the batch operators.
+Rolling sums, lags and the as-of join of two streams are one stateful processor (``keyed``); tables that batches are merged
+into are in ``sinks``, rules on batches in ``expectations``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampType
+from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
 
 from featurespark.operators.joins import asof_join
 from featurespark.ship import ship
-from featurespark.sources.tables import upsert
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from .keyed import ROCKSDB, keyed_features
+from .sinks import KeyedTable, keyed_sink
 
 
 def event_stream(spark: SparkSession, fmt: str, schema: StructType | str, path: str | None = None, ts: str | None = None, delay: str | None = None, **options) -> DataFrame:
@@ -44,157 +42,60 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"
     return df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
-def upsert_sink(df: DataFrame, table: str, checkpoint: str, keys: list[str], event_time: str, seq: str) -> StreamingQuery:
-    """Keeps the newest row per keys and event time: each micro-batch writes a new version of the table next to the last.
-
-    Versions are named by batch id, so a repeated batch gives the version it gave before. ``read_sink`` reads the newest.
-    """
+def rolling_stream(
+    stream: DataFrame, key: str, ts: str, id_col: str, value: str, windows: dict[str, int], lags: list[str] = (), emit: str = "immediate"
+) -> DataFrame:
+    """Each row with sum_<name>, num_<name> over trailing windows and prev_<col> of its key (O-93, O-94); see keyed_features."""
+    return keyed_features(stream, [key], ts, id_col, value, windows, lags, emit)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = _version_before(spark, table, batch_id)
-        base = spark.read.parquet(f"{table}/v={before}") if before is not None else batch.limit(0)
-        upsert(base, batch, keys, event_time, seq).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
 
-    return df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def lag_stream(stream: DataFrame, key: str, ts: str, id_col: str, cols: list[str], emit: str = "immediate") -> DataFrame:
+    """Each row with prev_<col> of its key."""
+    return keyed_features(stream, [key], ts, id_col, None, {}, cols, emit)
 
 
-def _version_before(spark: SparkSession, table: str, batch_id: int | None = None) -> int | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v=*/_SUCCESS")  # noqa: SLF001
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []  # noqa: SLF001
-    numbers = [int(x.getPath().getParent().getName()[2:]) for x in found]
-    return max([n for n in numbers if batch_id is None or n < batch_id], default=None)
+def asof_streams(stream: DataFrame, versions: DataFrame, on: list[str], ts: str, version_ts: str, seq: str, id_col: str | None = None) -> DataFrame:
+    """Each row with the newest version of its key at or before its time, both sides as streams with watermarks (O-95).
 
+    Rows wait until the smaller watermark has passed them, so versions that come late by less than the delay are met. State
+    keeps the versions after the watermark and one before it.
+    """
+    return keyed_features(stream, on, ts, id_col, None, {}, (), "ordered", versions, version_ts, seq)
 
-def read_sink(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.parquet(f"{table}/v={_version_before(spark, table)}")
 
+def asof_table(stream: DataFrame, dim: Callable[[], DataFrame], on: list[str], ts: str, dim_ts: str, seq: str, path: str, checkpoint: str, finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
+    """Joins each micro-batch with a dimension table as it is then; batches are written under their id (idempotent)."""
 
-class _Rolling(StatefulProcessor):
-    """State per key: rows of the longest window (and expired ones until they are the most); rows held back, if ordered."""
+    def enrich(batch: DataFrame, batch_id: int) -> None:
+        out = finish(asof_join(batch, dim(), on, ts, dim_ts, seq=seq))
+        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    def __init__(self, key: str, ts: str, id_col: str, value: str, lags: list[str], windows: dict[str, int], emit: str, columns: list[str], row_schema: StructType):
-        self.key, self.ts, self.id, self.value, self.lags = key, ts, id_col, value, lags
-        self.windows, self.emit, self.columns, self.row_schema = windows, emit, columns, row_schema
-        self.longest = max(windows.values(), default=0) * 1_000_000
+    return stream.writeStream.foreachBatch(enrich).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        mark = StructType([StructField("us", LongType()), StructField("id", LongType())])
-        self.seen = handle.getListState("seen", StructType([*mark.fields, StructField("v", DoubleType())]))
-        self.held = handle.getMapState("held", mark, self.row_schema)
-        self.last = handle.getValueState("last", self.row_schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(list(rows), ignore_index=True)
-        if self.emit == "immediate":
-            yield self._emit(pdf)
-            return
-        for row in pdf.itertuples(index=False):
-            self.held.updateValue((self._us(getattr(row, self.ts)), int(getattr(row, self.id))), self._plain(row))
-        self.handle.registerTimer(int(pdf[self.ts].max().value // 1_000_000) + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        ready = sorted((k, v) for k, v in self.held.iterator() if k[0] < until)
-        for k, _ in ready:
-            self.held.removeKey(k)
-        if ready:
-            pdf = pd.DataFrame([tuple(v) for _, v in ready], columns=[f.name for f in self.row_schema])
-            pdf[self.ts] = pd.to_datetime(pdf[self.ts])
-            yield self._emit(pdf)
-
-    @staticmethod
-    def _us(t) -> int:
-        return int(pd.Timestamp(t).value // 1000)
-
-    def _plain(self, row) -> tuple:
-        out = []
-        for f in self.row_schema:
-            v = getattr(row, f.name)
-            missing = v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v))
-            if missing:
-                out.append(None)
-            elif isinstance(f.dataType, TimestampType):
-                out.append(pd.Timestamp(v).to_pydatetime())
-            else:
-                out.append(v.item() if hasattr(v, "item") else v)
-        return tuple(out)
-
-    def _emit(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([self.ts, self.id], ignore_index=True)
-        out = pdf.copy()
-        us = pdf[self.ts].map(self._us).to_numpy(np.int64)
-        ids = pdf[self.id].to_numpy(np.int64)
-        if self.windows:
-            old = [tuple(x) for x in self.seen.get()]
-            new = [(int(u), int(i), None if pd.isna(v) else float(v)) for u, i, v in zip(us, ids, pdf[self.value], strict=True)]
-            rows = sorted(old + new, key=lambda x: x[:2])
-            times = np.array([r[0] for r in rows], np.int64)
-            sums = np.concatenate([[0.0], np.cumsum([r[2] or 0.0 for r in rows])])
-            counts = np.concatenate([[0], np.cumsum([r[2] is not None for r in rows])])
-            end = np.searchsorted(times, us, "right")  # rows of the same time see each other
-            for name, seconds in self.windows.items():
-                start = np.searchsorted(times, us - seconds * 1_000_000, "left")
-                out[f"sum_{name}"] = sums[end] - sums[start]
-                out[f"num_{name}"] = (counts[end] - counts[start]).astype(np.int64)
-            cut = int(times[-1]) - self.longest
-            kept = [r for r in old if r[0] >= cut]
-            if len(kept) < len(old) / 2:  # mostly expired: write the list anew, else add to it
-                self.seen.put(kept + [r for r in new if r[0] >= cut])
-            elif fresh := [r for r in new if r[0] >= cut]:
-                self.seen.appendList(fresh)
-        if self.lags:
-            names = [f.name for f in self.row_schema]
-            before = dict(zip(names, self.last.get(), strict=True)) if self.last.exists() else dict.fromkeys(names)
-            for c in self.lags:
-                out[f"prev_{c}"] = pd.Series([before[c], *pdf[c].tolist()[:-1]], dtype=object)
-                if c == self.ts:
-                    out[f"prev_{c}"] = pd.to_datetime(out[f"prev_{c}"])
-            self.last.update(self._plain(list(pdf.itertuples(index=False))[-1]))
-        return out[self.columns]
 
-    def close(self) -> None:
-        pass
+#: The year 9000, in microseconds.
+END_OF_TIME = 221_845_392_000_000_000
 
 
-def rolling_stream(
-    stream: DataFrame, key: str, ts: str, id_col: str, value: str, windows: dict[str, int], lags: list[str] = (), emit: str = "immediate"
-) -> DataFrame:
-    """Each row with sum_<name>, num_<name> over trailing windows and prev_<col> of its key (O-93, O-94).
+def closed(stream: DataFrame, ts: str, path: str) -> DataFrame:
+    """stream and one row at the end of time, whose watermark lets all others out; for input that is all there.
 
-    ``immediate`` gives rows out in the batch that brings them: right for input in order of time. ``ordered`` holds rows
-    until the watermark has passed them, so that rows out of order by less than the watermark's delay come out right.
+    ``path`` is a new folder for that row's file. The row itself stays in state and never comes out of ``ordered`` forms.
     """
-    ship(stream.sparkSession)
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    fields = list(stream.schema.fields)
-    made = [StructField(f"{p}_{n}", t) for n in windows for p, t in (("sum", DoubleType()), ("num", LongType()))]
-    made += [StructField(f"prev_{c}", stream.schema[c].dataType) for c in lags]
-    schema = StructType(fields + made)
-    processor = _Rolling(key, ts, id_col, value, list(lags), dict(windows), emit, [f.name for f in schema], StructType(fields))
-    return stream.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime" if emit == "ordered" else "None")
-
+    spark = stream.sparkSession
+    end = spark.range(1).select(*[(F.timestamp_micros(F.lit(END_OF_TIME)) if c == ts else F.lit(None)).cast(stream.schema[c].dataType).alias(c) for c in stream.columns])
+    end.write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(end.schema).parquet(path))
 
-def lag_stream(stream: DataFrame, key: str, ts: str, id_col: str, cols: list[str], emit: str = "immediate") -> DataFrame:
-    """Each row with prev_<col> of its key."""
-    return rolling_stream(stream, key, ts, id_col, ts, {}, cols, emit)
 
+def fraud_features_stream(stream: DataFrame, cards: DataFrame, windows: dict[str, int], lags: list[str], table: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Rolling sums, lags and the card version as of the time, from two streams with watermarks into a keyed table (O-96).
 
-def asof_stream(stream: DataFrame, dim: Callable[[], DataFrame], on: list[str], ts: str, dim_ts: str, seq: str, path: str, checkpoint: str, finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
-    """Joins each micro-batch with the dimension table as it is then; batches are written under their id (idempotent)."""
-
-    def enrich(batch: DataFrame, batch_id: int) -> None:
-        out = finish(asof_join(batch, dim(), on, ts, dim_ts, seq=seq))
-        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return stream.writeStream.foreachBatch(enrich).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def fraud_features_stream(stream: DataFrame, cards: Callable[[], DataFrame], windows: dict[str, int], path: str, checkpoint: str, lags: list[str], emit: str = "immediate") -> StreamingQuery:
-    """Rolling sums and lags, then the card version as of the time, into a Parquet table (O-96)."""
-    rolled = rolling_stream(stream, "cc_num", "ts", "t_id", "amount", windows, lags, emit)
-    return asof_stream(rolled, cards, ["cc_num"], "ts", "last_modified", "version", path, checkpoint)
+    One processor does all three in order of time, behind the watermark; the table's manifest of a batch is its commit, so
+    a repeated batch leaves the table as it was.
+    """
+    rows = keyed_features(stream, ["cc_num"], "ts", "t_id", "amount", windows, lags, "ordered", cards, "last_modified", "version")
+    return keyed_sink(rows, table, checkpoint)
 
 
 def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
@@ -207,23 +108,46 @@ def dedup_stream(stream: DataFrame, id_col: str, ts: str, delay: str) -> DataFra
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id_col])
 
 
-def late_split(stream: DataFrame, ts: str, delay_s: int, good: str, rejects: str, marks: str, checkpoint: str) -> StreamingQuery:
-    """Sends rows more than the delay older than the newest row of earlier batches to the rejects.
+class _Late(StatefulProcessor):
+    """Marks rows older than the watermark of the batch; keeps nothing."""
 
-    The newest time so far is a row per batch in ``marks``; all three outputs are keyed by batch id.
-    """
+    def __init__(self, names: list[str]):
+        self.names = names
 
-    def split(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        newest = None
-        if batch_id > 0:
-            newest = spark.read.schema("newest timestamp, batch_id long").parquet(marks).filter(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
-        limit = F.lit(newest) - F.make_dt_interval(secs=F.lit(delay_s)) if newest is not None else F.lit(None).cast("timestamp")
-        late = F.coalesce(F.col(ts) < limit, F.lit(False))
-        batch.filter(~late).write.mode("overwrite").parquet(f"{good}/batch_id={batch_id}")
-        batch.filter(late).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
-        batch.agg(F.max(F.col(ts).cast("timestamp")).alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
-        batch.unpersist()
-
-    return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        for r in rows:
+            _, us, *values = tuple(r)
+            yield Row(**dict(zip(self.names, [*values, us is not None and us < mark], strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+def mark_late(stream: DataFrame, ts: str, delay: str, groups: int | None = None) -> DataFrame:
+    """stream with ``late``: true for rows older than the query's own watermark as their batch begins.
+
+    The watermark is the newest time of earlier batches less the delay, in whole milliseconds, and survives restarts with
+    the query. Rows without a time are not late. Rows are dealt to groups by a hash of all columns.
+    """
+    spark = stream.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    groups = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marked = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    times = [c for c in stream.columns if isinstance(stream.schema[c].dataType, TimestampType)]
+    # numbers instead of the time column: Spark itself drops late rows where it sees that column
+    values = [F.unix_micros(c).alias(c) if c in times else F.col(c) for c in stream.columns]
+    dealt = marked.select(F.pmod(F.xxhash64(*stream.columns), F.lit(groups)).alias("_g"), F.unix_micros("_ts").alias("_us"), *values)
+    schema = StructType([*[dealt.schema[c] for c in stream.columns], StructField("late", BooleanType())])
+    out = dealt.groupBy("_g").transformWithState(_Late(schema.names), schema, "Append", "EventTime")
+    return out.withColumns({c: F.timestamp_micros(c) for c in times})
+
+
+def late_split(stream: DataFrame, ts: str, delay: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes rows in time to ``<path>/late=false`` and late ones to ``<path>/late=true``: two outputs of one sink (O-97)."""
+    out = mark_late(stream, ts, delay)
+    return out.writeStream.partitionBy("late").format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)

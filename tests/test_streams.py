@@ -1,11 +1,16 @@
 """Streams equal their batch twins when the input comes in several files, with a restart in between."""
 
 import datetime as dt
+import random
+from pathlib import Path
 
-from pyspark.sql import functions as F
-
+from featurespark.operators.joins import asof_join
+from featurespark.operators.quality import validate
 from featurespark.operators.windows import lag_features, rolling
 from featurespark.streaming import features as S
+from featurespark.streaming.expectations import expect, read_expectations
+from featurespark.streaming.keyed import Keyed
+from featurespark.streaming.sinks import KeyedTable
 
 WINDOWS = {"hour": 3600, "day": 86400}
 SCHEMA = "t_id long, cc_num long, amount double, ts timestamp_ntz"
@@ -62,18 +67,189 @@ def test_ordered_waits_for_the_watermark(spark, tmp_path):
     same(got, wanted(spark, rows))
 
 
-def test_late_rows_duplicates_and_sink(spark, tmp_path):
-    t = dt.datetime(2024, 1, 1)
-    parts = [[(1, 1, 1.0, t), (2, 1, 2.0, t + dt.timedelta(days=5))], [(3, 1, 3.0, t + dt.timedelta(days=1)), (4, 1, 4.0, t + dt.timedelta(days=6))]]
+def add(spark, path, i, rows, schema=SCHEMA):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/b={i}")
+
+
+def files(path):
+    return {p: p.stat().st_size for p in Path(path).rglob("*.parquet")}
+
+
+def test_late_rows_and_duplicates(spark, tmp_path):
+    """The split by the query's own watermark is the same over restarts; the last batch is late against the first two."""
+    day = lambda d, h=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h)
+    parts = [[(1, 1, 1.0, day(0)), (2, 1, 2.0, day(5))], [(3, 1, 3.0, day(1)), (4, 1, 4.0, day(6))], [(5, 1, 5.0, day(4, 23)), (6, 1, 6.0, day(5)), (7, 1, 7.0, None), (8, 1, 8.0, day(9))], [(9, 1, None, day(7))]]
     for i, part in enumerate(parts):
-        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/b={i}")
-        stream = S.event_stream(spark, "parquet", SCHEMA, f"{tmp_path}/in/b=*", "ts")
-        S.late_split(stream, "ts", 86400, f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/marks", f"{tmp_path}/c1").awaitTermination()
-        S.upsert_sink(stream, f"{tmp_path}/table", f"{tmp_path}/c2", ["cc_num"], "ts", "t_id").awaitTermination()
-    assert [r.t_id for r in spark.read.parquet(f"{tmp_path}/bad").collect()] == [3]
-    assert sorted(r.t_id for r in spark.read.parquet(f"{tmp_path}/good").collect()) == [1, 2, 4]
-    assert S.read_sink(spark, f"{tmp_path}/table").count() == 4
+        add(spark, f"{tmp_path}/in", i, part)
+        S.late_split(S.event_stream(spark, "parquet", SCHEMA, f"{tmp_path}/in/b=*", "ts"), "ts", "1 day", f"{tmp_path}/split", f"{tmp_path}/c1").awaitTermination()
+    split = {r.t_id: (r.late, r.ts) for r in spark.read.parquet(f"{tmp_path}/split").collect()}
+    assert {k for k, v in split.items() if str(v[0]).lower() == "true"} == {3, 5, 9} and len(split) == 9
+    assert split[5][1] == day(4, 23) and split[7][1] is None
     stream = S.event_stream(spark, "parquet", SCHEMA, f"{tmp_path}/in/b=*", "ts")
     S.write_stream(S.dedup_stream(stream.unionByName(stream), "t_id", "ts", "10 days"), f"{tmp_path}/once", f"{tmp_path}/c3").awaitTermination()
-    assert sorted(r.t_id for r in spark.read.parquet(f"{tmp_path}/once").collect()) == [1, 2, 3, 4]
-    assert spark.read.parquet(f"{tmp_path}/once").agg(F.count("*")).first()[0] == 4
+    assert spark.read.parquet(f"{tmp_path}/once").filter("ts is not null").count() == 8
+
+
+def test_sink_writes_what_a_batch_touches(spark, tmp_path):
+    table = KeyedTable(f"{tmp_path}/table", ["cc_num"], "ts", "t_id", slots=4, compact=3)
+    t = dt.datetime(2024, 1, 1)
+    want, sizes = {}, []
+    parts = [[(i, i % 50, float(i), t + dt.timedelta(days=i // 50)) for i in range(2000)]]  # forty days
+    parts += [[(5000 + b, 7, float(b), t), (6000 + b, 7, -1.0, t), (7000 + b, 100 + b, None, t + dt.timedelta(days=60))] for b in range(8)]
+    for b, part in enumerate(parts):
+        before = files(f"{tmp_path}/table/data") if b else {}
+        df = spark.createDataFrame(part, SCHEMA)
+        table.merge(df, b)
+        if b in (1, 4):
+            table.merge(df, b)  # a repeated batch
+        for r in sorted(part):
+            want[r[1], r[3]] = r
+        got = [tuple(r) for r in table.read(spark).collect()]
+        assert sorted(got) == sorted(want.values(), key=lambda r: r[0]) or sorted(got, key=repr) == sorted(want.values(), key=repr)
+        sizes.append(sum(v for p, v in files(f"{tmp_path}/table/data").items() if p not in before))
+    assert max(sizes[1:]) < sizes[0] / 10
+    left = {int(p.name[2:]) for p in Path(f"{tmp_path}/table/manifest").glob("n=*")}
+    assert left == {3, 4, 5, 6, 7, 8}  # the whole ones are 0, 3 and 6
+    cells = len(list(Path(f"{tmp_path}/table/data").glob("*/*/*/")))
+    assert cells <= table.cells(spark).count() + 2 * 6  # replaced ones of the last batches only
+    table.merge(df.limit(0), 9)  # a batch without rows
+    assert table.read(spark).count() == len(want)
+
+
+def test_sums_are_exact_after_a_large_value(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, 1, 1e17, t), (2, 1, 0.5, t + dt.timedelta(minutes=10)), (3, 1, 0.25, t + dt.timedelta(minutes=61)), (4, 1, None, t + dt.timedelta(hours=2)), (5, None, 2.0, t), (6, 1, 3.0, None)]
+    for i, r in enumerate(rows):
+        add(spark, f"{tmp_path}/in", i, [r])
+        run(spark, tmp_path, f"{tmp_path}/in", f"{tmp_path}/out", "immediate")
+    got = {r.t_id: (r.sum_hour, r.num_hour) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {1: (1e17, 1), 2: (1e17, 2), 3: (0.75, 2), 4: (0.25, 1), 5: (2.0, 1), 6: (None, None)}
+
+
+class Store:
+    """State of one key in memory that counts calls and bytes."""
+
+    def __init__(self):
+        self.data, self.calls, self.bytes = {}, 0, 0
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.data[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls, self.bytes = self.calls + 1, self.bytes + len(value[0])
+        self.data[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        del self.data[key]
+
+
+def test_a_batch_costs_the_same_however_long_the_history():
+    rng = random.Random(1)
+    k = Keyed(0, 0, [600, 3600, 7 * 86400], [], False, None, [])
+    k.rows, buckets, us, cost, seen = Store(), {}, 0, [], []
+    for _ in range(300):
+        facts = []
+        for _ in range(20):
+            us += rng.randrange(3600 * 10**6)
+            facts.append((us, 0, rng.choice([None, 1.0, 2.5])))
+        calls = k.rows.calls
+        sums, buckets = k._sums(facts, buckets)
+        cost.append(k.rows.calls - calls)
+        seen += facts
+        for r, s in zip(facts, sums):
+            for i, w in enumerate(k.windows):
+                inside = [x[2] for x in seen if r[0] - w <= x[0] <= r[0] and x[2] is not None]
+                assert s[2 * i : 2 * i + 2] == [sum(inside), len(inside)]
+        seen = [x for x in seen if x[0] >= us - k.longest]
+    assert max(cost[250:]) < 1.5 * max(cost[30:80]) and len(buckets) <= 520 and len(k.rows.data) < 700
+    for _ in range(50):  # one bucket again and again: parts are put together
+        us += 10**6
+        sums, buckets = k._sums([(us, 0, 1.0)], buckets)
+    assert max(p for _, p in k.rows.data) <= 16
+
+
+FACTS, CARDS = "t_id long, cc_num long, amount double, ts timestamp_ntz", "cc_num long, last_modified timestamp_ntz, version long, limit_ double"
+
+
+def chain_input():
+    """Facts and versions in batches; both come out of order, versions up to a day after facts they hold for."""
+    rng, t = random.Random(4), dt.datetime(2024, 1, 1)
+    facts = [(i, rng.choice([1, 2, 3, None]), rng.choice([None, 1.5, 2.0]), t + dt.timedelta(minutes=rng.randrange(8 * 1440))) for i in range(160)]
+    cards = [(rng.choice([1, 2, None]), t + dt.timedelta(minutes=rng.randrange(8 * 1440)), i, i / 2) for i in range(60)]
+    cards += [(1, cards[0][1], 900, 9.5), (1, cards[0][1], 901, None)]  # equal times
+    facts.sort(key=lambda r: r[3] + dt.timedelta(minutes=rng.randrange(700)))
+    cards.sort(key=lambda r: r[1] + dt.timedelta(minutes=rng.randrange(700)))
+    end = dt.datetime(2025, 1, 1)
+    cut = [t + dt.timedelta(days=d) for d in (0, 2, 3, 5, 30)]
+    parts = []
+    for a, b in zip(cut, cut[1:]):
+        parts.append(([r for r in facts if a <= r[3] < b], [r for r in cards if a <= r[1] < b]))
+    # rows change batches by less than the delay
+    for i in range(len(parts) - 1):
+        for j in (0, 1):
+            late = parts[i][j][::5]
+            for r in late:
+                at = r[3] if j == 0 else r[1]
+                if cut[i + 1] - at < dt.timedelta(hours=20):
+                    parts[i][j].remove(r)
+                    parts[i + 1][j].append(r)
+    return facts, cards, [*parts, ([(9000, 9, 0.0, end)], [(9, end, 0, 0.0)])]
+
+
+def test_chain_of_two_streams_over_restarts(spark, tmp_path):
+    facts, cards, parts = chain_input()
+    table = KeyedTable(f"{tmp_path}/table", ["cc_num", "t_id"], "ts", "t_id", slots=2, compact=2)
+    for i, (f, c) in enumerate(parts):
+        add(spark, f"{tmp_path}/facts", i, f, FACTS)
+        add(spark, f"{tmp_path}/cards", i, c, CARDS)
+        left = S.event_stream(spark, "parquet", FACTS, f"{tmp_path}/facts/b=*", "ts", "2 days")
+        right = S.event_stream(spark, "parquet", CARDS, f"{tmp_path}/cards/b=*", "last_modified", "2 days")
+        S.fraud_features_stream(left, right, WINDOWS, ["ts", "amount"], table, f"{tmp_path}/check").awaitTermination()
+    one, two = spark.createDataFrame(facts, FACTS), spark.createDataFrame(cards, CARDS)
+    df = lag_features(rolling(one, ["cc_num"], "ts", "amount", WINDOWS), "cc_num", "ts", ["ts", "amount"], "t_id")
+    want = {r.t_id: r for r in asof_join(df, two, ["cc_num"], "ts", "last_modified", seq="version").collect()}
+    got = {r.t_id: r for r in table.read(spark).filter("t_id < 9000").collect()}
+    assert set(got) == set(want)
+    for k, r in got.items():
+        assert (r.version, r.limit_, r.last_modified) == (want[k].version, want[k].limit_, want[k].last_modified)
+        assert (r.prev_ts, r.prev_amount, r.num_hour, r.num_day) == (want[k].prev_ts, want[k].prev_amount, want[k].num_hour, want[k].num_day)
+        assert abs(r.sum_hour - want[k].sum_hour) < 1e-9 and abs(r.sum_day - want[k].sum_day) < 1e-9
+    # the last commit is lost: the batch is made again from state and gives the same table
+    before = sorted(map(str, table.read(spark).collect()))
+    log = sorted(Path(f"{tmp_path}/check/commits").glob("[0-9]*"), key=lambda p: int(p.name))[-1]
+    for p in (log, log.with_name(f".{log.name}.crc")):
+        p.unlink(missing_ok=True)
+    S.fraud_features_stream(left, right, WINDOWS, ["ts", "amount"], table, f"{tmp_path}/check").awaitTermination()
+    assert sorted(map(str, table.read(spark).collect())) == before
+
+
+def test_asof_streams_equal_the_batch_join(spark, tmp_path):
+    facts, cards, parts = chain_input()
+    for i, (f, c) in enumerate(parts):
+        add(spark, f"{tmp_path}/facts", i, f, FACTS)
+        add(spark, f"{tmp_path}/cards", i, c, CARDS)
+        left = S.event_stream(spark, "parquet", FACTS, f"{tmp_path}/facts/b=*", "ts", "2 days")
+        right = S.event_stream(spark, "parquet", CARDS, f"{tmp_path}/cards/b=*", "last_modified", "2 days")
+        S.write_stream(S.asof_streams(left, right, ["cc_num"], "ts", "last_modified", "version", "t_id"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    want = asof_join(spark.createDataFrame(facts, FACTS), spark.createDataFrame(cards, CARDS), ["cc_num"], "ts", "last_modified", seq="version")
+    got = spark.read.parquet(f"{tmp_path}/out").filter("t_id < 9000")
+    assert sorted((r.t_id, repr(r.version), repr(r.limit_)) for r in got.collect()) == sorted((r.t_id, repr(r.version), repr(r.limit_)) for r in want.collect())
+
+
+def test_expectations_per_batch(spark, tmp_path):
+    rules = [("amount", "min", 0.0, None, False), ("amount", "mean", None, 3.0, True), ("t_id", "count", 5.0, None, False), ("amount", "max", 1.0, 6.0, False)]
+    parts = [made(30), [(500, 1, None, dt.datetime(2024, 2, 1))], [(600 + i, 1, -1.0 * i, dt.datetime(2024, 2, 2)) for i in range(8)]]
+    for i, part in enumerate(parts):
+        add(spark, f"{tmp_path}/in", i, part)
+        stream, log = expect(S.event_stream(spark, "parquet", SCHEMA, f"{tmp_path}/in/b=*", "ts"), rules, f"{tmp_path}/log")
+        S.write_stream(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+        log.wait()
+        spark.streams.removeListener(log)
+    got = {(r.batch_id, r.column_name, r.statistic): (r.observed, r.success) for r in read_expectations(spark, f"{tmp_path}/log").collect()}
+    want = {}
+    for i, part in enumerate(parts):
+        for r in validate(spark.createDataFrame(part, SCHEMA), rules).collect():
+            want[i, r.column_name, r.statistic] = (r.observed, r.success)
+    assert got == want and spark.read.parquet(f"{tmp_path}/out").count() == sum(map(len, parts))
