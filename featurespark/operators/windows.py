@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,46 +28,84 @@ def over_time(aggregate: str, keys: list[str], ts: str, seconds: int, closed: st
     return F.expr(f"{aggregate} OVER (PARTITION BY {by} ORDER BY `{ts}` RANGE BETWEEN {back} PRECEDING AND CURRENT ROW)")
 
 
+RADIX = 32
+
+
+def _floor(at: str, width: int) -> Column:
+    """Whole-number division that rounds down; exact where doubles are not."""
+    return F.expr(f"({at} - pmod({at}, {width}L)) div {width}L")
+
+
+def _range_sums(rows: DataFrame, names: list[str], v: list[str], spans: list[int], width: int, own: bool) -> DataFrame:
+    """rows with _s<i><c>: the sum of c over rows of the same names with _at in [_at - spans[i], _at], or before _at.
+
+    The line is cut into buckets of ``width``, at most the shortest span. A row's range is the end of a bucket, whole
+    buckets, and the beginning of the row's own. The end comes from rows moved on by the span and added up backwards within
+    the bucket in which they land. What lies before the own bucket after that begins at the same offset in every bucket, so
+    it is the same for all rows of a bucket: a part of one bucket and a range of whole ones. Ranges of many buckets are the
+    same problem on the table of buckets, RADIX times as wide.
+    """
+    keys, payload = [*names, "_b"], [c for c in rows.columns if c not in (*names, "_at", *v)]
+    rows = rows.select(*names, "_at", *v, F.struct(F.lit(1).alias("_is"), *payload).alias("_row")).withColumn("_b", _floor("_at", width))
+    placed = rows.filter("_b is not null")
+    both, whole = rows, [F.sum(c).alias(c) for c in v]
+    n = [-(-span // width) - 1 for span in spans]  # buckets between the own one and the one in which the range begins
+    cut = [-span % width for span in spans]
+    for i, span in enumerate(spans):
+        left = placed.select(*names, (F.col("_at") + span).alias("_at"), *[F.col(c).alias(f"_end{i}{c}") for c in v])
+        both = both.unionByName(left.withColumn("_b", _floor("_at", width)), allowMissingColumns=True)
+        if n[i] and cut[i]:
+            whole += [F.sum(F.when(F.col("_at") - F.col("_b") * width >= cut[i], F.col(c))).alias(f"_cut{i}{c}") for c in v]
+    steps = {i: n[i] - (cut[i] > 0) for i in range(len(spans)) if n[i]}
+    if steps:
+        table = placed.groupBy(*keys).agg(*whole).withColumnRenamed("_b", "_at")
+        far = [i for i, m in steps.items() if m > RADIX]
+        if far:
+            table = _range_sums(table, names, v, [steps[i] for i in far], RADIX, False)
+        by = Window.partitionBy(*names).orderBy("_at")
+        middle = {}
+        for i, m in steps.items():
+            for c in v:
+                parts = [F.col(f"_s{far.index(i)}{c}")] if i in far else [F.sum(c).over(by.rangeBetween(-m, -1))] if m else []
+                parts += [F.sum(f"_cut{i}{c}").over(by.rangeBetween(-n[i], -n[i]))] if cut[i] else []
+                middle[f"_mid{i}{c}"] = _total(parts, rows.schema[c].dataType)
+        table = table.select(*names, F.col("_at").alias("_b"), *[x.alias(k) for k, x in middle.items()])
+        both = both.unionByName(table, allowMissingColumns=True)
+    cell = Window.partitionBy(*keys)
+    upto = cell.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0 if own else -1)
+    from_here = cell.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
+    made = {f"_own{c}": F.sum(c).over(upto) for c in v}
+    made |= {f"_to{i}{c}": F.sum(f"_end{i}{c}").over(from_here) for i in range(len(spans)) for c in v}
+    made |= {f"_all{i}{c}": F.max(f"_mid{i}{c}").over(cell) for i in steps for c in v}
+    both = both.withColumns(made).filter("_row is not null")
+    out = []
+    for i in range(len(spans)):
+        for c in v:
+            parts = [F.col(f"_own{c}"), F.col(f"_to{i}{c}")] + ([F.col(f"_all{i}{c}")] if i in steps else [])
+            out.append(_total(parts, rows.schema[c].dataType).alias(f"_s{i}{c}"))
+    return both.select(*names, "_at", *v, *[F.col(f"_row.`{c}`").alias(c) for c in payload], *out)
+
+
+def _total(parts: list[Column], kind) -> Column:
+    return reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0).cast(kind)) for x in parts]).cast(kind)
+
+
 def bucketed_sums(
     df: DataFrame, keys: list[str], ts: str, values: dict[str, Column], windows: dict[str, int], closed: str = "both"
 ) -> DataFrame:
     """df with the sum of each value over each trailing window, as <value>_<window>, in time that does not grow with a frame.
 
-    A key's time line is cut into buckets that divide all windows. A row's window is the end of one bucket, some whole
-    buckets, and the beginning of the row's own. The end comes from rows moved on by the window's length and added up
-    backwards, the whole ones from a table of a row per key and bucket, the beginning from a running sum. So all are sums
-    of what is inside the window, and a key of any size is spread over tasks by bucket.
+    See _range_sums: buckets are as long as the shortest window, whatever the other lengths. All sums are sums of what is
+    inside the window, and a key of any size is spread over tasks by bucket; only a row a key and bucket comes together for
+    a whole key. Rows without a time see each other.
     """
-    width = gcd(*windows.values()) * SECOND
+    spans = [seconds * SECOND - (closed == "right") for seconds in windows.values()]
     at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(df.schema[ts].dataType), F.col(ts))
-    rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], at.alias("_at"), F.struct(*df.columns).alias("_row"), *[v.alias(f"_v{j}") for j, v in enumerate(values.values())])
-    rows = rows.withColumn("_b", F.floor(F.col("_at") / width))
     names, v = [f"_k{i}" for i in range(len(keys))], [f"_v{j}" for j in range(len(values))]
-    both = rows
-    whole = rows.filter("_b is not null").groupBy(*names, "_b").agg(*[F.sum(c).alias(c) for c in v])
-    by_bucket, middle = Window.partitionBy(*names).orderBy("_b"), {}
-    for i, seconds in enumerate(windows.values()):
-        n, back = seconds * SECOND // width, seconds * SECOND - (closed == "right")
-        left = rows.filter("_b is not null").select(*names, (F.col("_at") + back).alias("_at"), (F.col("_b") + n).alias("_b"), *[F.col(c).alias(f"_end{i}{c}") for c in v])
-        both = both.unionByName(left, allowMissingColumns=True)
-        if n > 1:
-            middle |= {f"_mid{i}{c}": F.sum(c).over(by_bucket.rangeBetween(1 - n, -1)) for c in v}
-    if middle:
-        both = both.unionByName(whole.select(*names, "_b", *[c.alias(k) for k, c in middle.items()]), allowMissingColumns=True)
-    cell = Window.partitionBy(*names, "_b")
-    upto = cell.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
-    from_here = cell.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
-    made = {f"_own{c}": F.sum(c).over(upto) for c in v}
-    made |= {f"_end{i}{c}": F.sum(f"_end{i}{c}").over(from_here) for i in range(len(windows)) for c in v}
-    made |= {k: F.max(k).over(cell) for k in middle}
-    both = both.withColumns(made).filter("_row is not null")
-    out = []
-    for i, window in enumerate(windows):
-        for c, name in zip(v, values, strict=True):
-            parts = [f"_own{c}", f"_end{i}{c}"] + ([f"_mid{i}{c}"] if f"_mid{i}{c}" in middle else [])
-            zero = F.lit(0).cast(rows.schema[c].dataType)
-            out.append(reduce(lambda a, b: a + b, [F.coalesce(F.col(x), zero) for x in parts]).alias(f"{name}_{window}"))
-    return both.select("_row.*", *out)
+    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], at.alias("_at"), F.struct(*df.columns).alias("_df"), *[x.alias(c) for x, c in zip(values.values(), v, strict=True)])
+    out = _range_sums(rows, names, v, spans, min(spans), True)
+    made = [F.col(f"_s{i}{c}").alias(f"{name}_{window}") for i, window in enumerate(windows) for c, name in zip(v, values, strict=True)]
+    return out.select("_df.*", *made)
 
 
 def rolling(

@@ -17,9 +17,13 @@ def placed(spark, sf):
     return J.ip_lookup(transactions(spark, sf), "ip", places(spark, sf))
 
 
-def _rolling_sql(cte: str, source: str, key: str, value: str, keep: str, shorter: str = "") -> str:
+#: Lengths without a common divisor worth the name.
+ODD_WINDOWS = {"hour": 3600, "hour_and_7": 3607, "day_and_1": 86401, "fortnight": 14 * 86400 - 59}
+
+
+def _rolling_sql(cte: str, source: str, key: str, value: str, keep: str, shorter: str = "", windows: dict[str, int] = WINDOWS) -> str:
     out = []
-    for name, seconds in WINDOWS.items():
+    for name, seconds in windows.items():
         w = f"(partition by {key} order by ts range between interval {seconds} seconds {shorter} preceding and current row)"
         out.append(f"round(sum(coalesce({value}, 0)) over {w}, 6) as sum_{name}, count({value}) over {w} as num_{name}")
     return f"with {cte} select {keep}, {', '.join(out)} from {source}"
@@ -150,9 +154,9 @@ def o41b(spark, sf):
     return J.recent_backfill(forecast(spark, sf), "date", 10).select("date", "predicted")
 
 
-def _rolling(closed="both", strategy="frame"):
+def _rolling(closed="both", strategy="frame", windows=WINDOWS):
     def run(spark, sf):
-        out = W.rolling(transactions(spark, sf), ["cc_num"], "ts", "amount", WINDOWS, closed, strategy)
+        out = W.rolling(transactions(spark, sf), ["cc_num"], "ts", "amount", windows, closed, strategy)
         return out.drop("card_present", "ip", "ts", "amount")
 
     return run
@@ -160,6 +164,7 @@ def _rolling(closed="both", strategy="frame"):
 
 query("o42_rolling", _rolling_sql(TX, "tx", "cc_num", "amount", "t_id, cc_num"))(_rolling())
 query("o43_rolling_prefix", _rolling_sql(TX, "tx", "cc_num", "amount", "t_id, cc_num"))(_rolling(strategy="bucketed"))
+query("o43_rolling_odd", _rolling_sql(TX, "tx", "cc_num", "amount", "t_id, cc_num", windows=ODD_WINDOWS))(_rolling(strategy="bucketed", windows=ODD_WINDOWS))
 query("o44_rolling_open", _rolling_sql(TX, "tx", "cc_num", "amount", "t_id, cc_num", "- interval 1 microsecond"))(_rolling("right"))
 
 

@@ -294,6 +294,19 @@ def test_models_learn_and_repeat(spark):
     assert double.columns == ["id", "twice"] and sorted(r.twice for r in double.collect()) == sorted(2 * r[2] for r in rows)
 
 
+@pytest.mark.parametrize("closed", ["both", "right"])
+def test_windows_of_any_lengths(spark, closed):
+    """Lengths without a common divisor, ranges of many buckets of buckets, times before 1970, null keys, times and values."""
+    rng = random.Random(8)
+    t = dt.datetime(1970, 1, 3)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), t + dt.timedelta(seconds=rng.choice([0, 0.000001, 0.5]) + rng.randrange(-400_000, 400_000)), rng.choice([None, 1.0, 2.5, -4.0])) for i in range(1500)]
+    rows += [(9000 + i, 1, None, 1.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz, v double")
+    windows = {"a": 7, "b": 10, "c": 224, "d": 225, "e": 3607, "f": 100_003, "g": 700_001}
+    frame, bucketed = (sorted(map(tuple, W.rolling(df, ["k"], "ts", "v", windows, closed, s).select("id", *[f"{p}_{n}" for n in windows for p in ("sum", "num")]).collect())) for s in ("frame", "bucketed"))
+    assert frame == bucketed
+
+
 def test_intermediate_tables_go(spark):
     """A result leaves the table that it reads, no other; inside a scope none is left."""
     from featurespark.sources.shared import scratch, shared_path
