@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from featurespark.sources.avro import encode
 from featurespark.sources.shared import shared_path
 from featurespark.sources.tables import read_table
 from featurespark.streaming import features as S
@@ -44,6 +45,20 @@ def o10(spark, sf):
     return _ntz(_done(spark, parsed.select("event_id", "user_id", "ts", F.col("p.k").alias("k"))), "ts")
 
 
+AVRO = """{"type": "record", "name": "event", "fields": [{"name": "event_id", "type": "long"}, {"name": "user_id", "type": ["null", "long"]},
+  {"name": "ts", "type": {"type": "long", "logicalType": "local-timestamp-micros"}}, {"name": "event_type", "type": ["string", "null"]},
+  {"name": "value", "type": ["null", "double"]}]}"""
+
+
+@query("o10_avro_stream", "select event_id, user_id, ts, event_type, round(value, 6) as value from events")
+def o10_avro(spark, sf):
+    """The events table as Avro values, five bytes of a registry before each, read back as a stream."""
+    path = shared_path(spark)
+    names = ["event_id", "user_id", "ts", "event_type", "value"]
+    table(spark, sf, "events").select(encode(F.struct(*names), AVRO, b"\x00\x00\x00\x00\x07").alias("value")).write.parquet(path)
+    return _done(spark, S.event_stream(spark, "parquet", None, path, avro=AVRO, header=5))
+
+
 @query("o11_upsert_sink", "select user_id, ts, event_id, value from (select *, row_number() over (partition by user_id, ts order by event_id desc) as rn from events) where rn = 1")
 def o11(spark, sf):
     out = KeyedTable(shared_path(spark), ["user_id"], "ts", "event_id", slots=4)

@@ -15,22 +15,31 @@ from pyspark.sql.types import BooleanType, StructField, StructType, TimestampTyp
 
 from featurespark.operators.joins import asof_join
 from featurespark.ship import ship
+from featurespark.sources.avro import decode
 
 from .keyed import ROCKSDB, keyed_features
 from .sinks import KeyedTable, keyed_sink
 
 
-def event_stream(spark: SparkSession, fmt: str, schema: StructType | str, path: str | None = None, ts: str | None = None, delay: str | None = None, **options) -> DataFrame:
+def event_stream(spark: SparkSession, fmt: str, schema: StructType | str, path: str | None = None, ts: str | None = None, delay: str | None = None, avro: str | None = None, header: int = 0, **options) -> DataFrame:
     """A stream of events of a declared schema from the earliest offset.
 
-    ``kafka`` parses the value as JSON; file formats read a folder. NTZ times become timestamps (UTC sessions), which
-    watermarks need.
+    ``kafka`` parses the value as JSON, or as Avro by its schema ``avro`` (JSON), of which ``header`` bytes are skipped;
+    values that don't parse give null columns. File formats read a folder; with ``avro`` one of files that hold a binary
+    column ``value``. NTZ times become timestamps (UTC sessions), which watermarks need.
     """
     if fmt == "kafka":
         raw = spark.readStream.format("kafka").options(startingOffsets="earliest", **options).load()
-        df = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("v")).select("v.*")
+    elif avro is not None:
+        raw = spark.readStream.format(fmt).schema("value binary").options(**options).load(path)
     else:
+        raw = None
+    if raw is None:
         df = spark.readStream.format(fmt).schema(schema).options(**options).load(path)
+    elif avro is not None:
+        df = raw.select(decode(F.col("value"), avro, header).alias("v")).select("v.*")
+    else:
+        df = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("v")).select("v.*")
     if ts:
         df = df.withColumn(ts, F.col(ts).cast("timestamp"))
         df = df.withWatermark(ts, delay) if delay else df
