@@ -1,7 +1,8 @@
 """A corpus pipeline over the documents table: each stage applies an operator of featurespark.llm to what is left.
 
 All stages handle every row by itself, whatever other columns hold; columns that the input has beside those of documents
-pass all stages but the last. Empty tables give empty tables. Texts of any length count as a whole.
+pass all stages but the last, whatever their names: they are set aside under names of their own while an operator works.
+Empty tables give empty tables. Texts of any length count as a whole.
 """
 
 from __future__ import annotations
@@ -17,14 +18,24 @@ from featurespark.llm.pii import redact
 from featurespark.llm.toxicity import score_toxicity
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """docs with all columns but id and text under names that no operator uses."""
+    return docs.withColumnsRenamed({c: f"_own{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")})
+
+
+def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, as they were named."""
+    return out.select([F.col(c) if c in ("doc_id", "text") else F.col(f"_own{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents predicted toxic by a model learned from the labels of these documents.
 
     Null and empty texts are scored as texts without terms; rows without an id or a label are scored as all others;
     repeated rows have one fate.
     """
-    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.filter("predicted = 0").select(docs.columns)
+    scored = score_toxicity(_aside(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _back(scored.filter("predicted = 0"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     All documents without words are kept. Repeated rows are copies. Rows without an id, or of one id with different texts,
     are documents of their own.
     """
-    return drop_near_duplicates(docs, k=5, percent=80)
+    return _back(drop_near_duplicates(_aside(docs), k=5, percent=80), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +52,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts have no words and are kept; repeated rows have one fate.
     """
-    judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return judged.filter(~F.col("contaminated")).select(docs.columns)
+    judged = decontaminate(_aside(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _back(judged.filter(~F.col("contaminated")), docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +61,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null text stays null, and so does its n_chars; all rows are kept.
     """
-    clean = redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    clean = _back(redact(_aside(docs)), docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
