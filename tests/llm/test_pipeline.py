@@ -52,11 +52,14 @@ def test_stages_on_odd_rows(spark, sf, tmp_path):
     long = "long " + " ".join(f"w{i}" for i in range(60_000))
     odd = [(None, "a text of its own without an id", None, None, None), (70001, None, "en", "s", None), (70002, "", "en", "s", 0), (70003, long, "en", "s", len(long)),
            (70004, "one of two texts", "en", "s", 16), (70004, "the other text here", "en", "s", 19), (70005, "same row", "en", "s", 8), (70005, "same row", "en", "s", 8)]
-    df = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("score", F.lit("x"))
+    df = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    extra = ["score", "predicted", "n_words", "n_hit", "contaminated", "_m_email", "_found", "_pii", "_row", "_doc", "_words", "_own0", "kept"]
+    df = df.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in extra})
     texts = {"a text of its own without an id", None, "", long, "one of two texts", "the other text here", "same row"}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, df, sf)
-        assert out.columns == [*names, "score"]
+        assert out.columns == [*names, *extra] and dict(out.dtypes) == dict(df.dtypes)
+        assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in out.collect() for c in extra)
         rows = [r for r in out.collect() if r.doc_id is None or r.doc_id > 70000]
         assert {r.text for r in rows} == texts and len(rows) == (7 if name == "near_dedup" else 8)
         assert stage(spark, df.limit(0), sf).count() == 0
