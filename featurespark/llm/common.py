@@ -42,6 +42,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Rows of an Arrow batch: texts may be long, and a batch is held on both sides.
+BATCH_ROWS = 1000
+
+
+def _bounded(df: DataFrame) -> None:
+    ship(df.sparkSession)
+    if int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def map_rows(df: DataFrame, fn: Callable[[list[list]], dict], schema: str, rows: int = 256) -> DataFrame:
     """Maps lists of column values to lists of output columns, some rows at a time, on Arrow data.
 
@@ -50,7 +60,7 @@ def map_rows(df: DataFrame, fn: Callable[[list[list]], dict], schema: str, rows:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    ship(df.sparkSession)
+    _bounded(df)
     kind = to_arrow_schema(StructType.fromDDL(schema))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +94,7 @@ def add_columns(
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    ship(df.sparkSession)
+    _bounded(df)
     keep = [c for c in df.columns if c not in names(result) and c not in drop]
     kind = to_arrow_schema(StructType.fromDDL(result))
     n = len(keep)

@@ -8,6 +8,7 @@ are candidates. Rows per band are the most for which a pair at the threshold is
 1. Documents with the same set are one class, represented by the smallest doc_id: copies never meet in pairs.
 2. Each bucket has one hub, drawn by hash. Of all its hubs a representative is compared with the one of most like
    signature (a star, not all pairs), on full sets rebuilt from the texts, so links are exact. Components join the stars.
+   Texts are dealt once to their ids' parts in the stars and once to hubs, of which large ones have copies.
 3. In buckets that still hold more than one component, members outside the largest are compared with a hub of that.
 4. What is still split is searched in blocks. Members get a longer signature (``LONG`` values) and are dealt, without
    texts, into cells of about ``BLOCK`` members on either side: those outside the largest component by all. A cell lists
@@ -17,7 +18,10 @@ are candidates. Rows per band are the most for which a pair at the threshold is
    components have been linked meanwhile. Cells are cut finer where shingles weigh over ``HEAVY``, which bounds the texts
    that meet in one task. Pairs never leave a cell, only links do.
 
-A pair at the threshold is lost with a chance of at most twice ``miss``: bands and long signatures together.
+A pair at the threshold is lost with a chance of at most twice ``miss``: bands and long signatures together. The first
+band that a pair shares is told by 64 bits of its key.
+
+Sets of ids are met by Bloom filters of bounded size and an exact join of what they leave in doubt (``bloom``), at any size.
 
 Defined results: null and wordless text has an empty set (n_shingles 0), is linked with nothing and is kept; rows of one
 doc_id are one document, which is linked if one of its texts is; a null doc_id takes its class's component, or null, and
@@ -28,13 +32,18 @@ lost; other input columns pass through it, clashing names included.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from .bloom import perhaps, rows_among, rows_not_among
 from .common import map_rows, mix64, scratch, space_words, written
 from .decontaminate import gram_hashes, word_hashes
 from .graph import components
@@ -42,8 +51,8 @@ from .graph import components
 BLOCK = 1024
 HEAVY = 1 << 21
 LONG = 256
-#: Bytes of ids up to which a set of them is broadcast (some 2.8 million integers); beyond, texts are shuffled to them.
-SMALL = 1 << 26
+#: Members that are compared with one copy of their hub's set; a hub of more has copies.
+FOLLOWERS = 256
 
 
 def shape(threshold: float, values: int, miss: float) -> tuple[int, int]:
@@ -115,35 +124,37 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return map_rows(docs.select("doc_id", F.col("text").cast("binary")), fn, schema)
 
 
-def _by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of df whose key is among ids (left_semi) or not (left_anti); texts stay where they are while ids are few."""
-    (key,) = ids.columns
-    size = ids.agg(F.sum(F.octet_length(F.col(key).cast("string")) + 16)).first()[0] or 0
-    return df.join(F.broadcast(ids) if size <= SMALL else ids, key, how)
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sets have 100 * intersection >= percent * union."""
+    """Of the pairs (a, b), one for each a, those whose sets have 100 * intersection >= percent * union.
 
-    def fn(columns: list[list]) -> dict:
-        out: dict = {"a": [], "b": []}
-        last: list = [None, None]
-        for a, b, x, y in zip(*columns, strict=True):
-            if last[0] is not y:
-                last = [y, shingle_set(y, k)] if last[0] != y else last
-            s, t = shingle_set(x, k), last[1]
-            least, most = sorted((len(s), len(t)))
-            if 100 * least < percent * most:
-                continue
-            if _alike(s, t, percent):
-                out["a"].append(a)
-                out["b"].append(b)
-        return out
-
-    with_text = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    with_text = with_text.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    Texts are read by a filter of the ids in pairs, joined with their parts in the comparison, and dealt once more by hub:
+    a hub's text comes first, then up to about FOLLOWERS others, streamed past its set. So a hub of any number of followers
+    is spread over tasks, and a task holds the set of one hub.
+    """
+    hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("copies"))
+    parts = pairs.join(hubs, "b").select(F.col("a").alias("node"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), "copies").cast("int").alias("copy"), F.lit(1).alias("follows"))
+    copies = hubs.select(F.col("b").alias("node"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("follows"))
+    parts = written(parts.unionByName(copies))
+    near = texts.filter(perhaps(parts.select("node").distinct())(F.col("node"))).join(parts, "node")
+    dealt = near.select("hub", "copy", "follows", "node", "text").repartition("hub", "copy").sortWithinPartitions("hub", "copy", "follows")
     kind = pairs.schema["a"].dataType.simpleString()
-    return map_rows(with_text.select("a", "b", "x", "y"), fn, f"a {kind}, b {kind}", rows=64)
+    schema = to_arrow_schema(StructType.fromDDL(f"a {kind}, b {kind}"))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, sets = None, []
+        for batch in batches:
+            out: dict = {"a": [], "b": []}
+            for at in range(0, batch.num_rows, 64):
+                for b, copy, follows, node, text in zip(*[c.to_pylist() for c in batch.slice(at, 64).columns], strict=True):
+                    s = shingle_set(text, k)
+                    if not follows:
+                        hub, sets = (hub, [*sets, s]) if hub == (b, copy) else ((b, copy), [s])
+                    elif any(100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) and _alike(s, t, percent) for t in sets):
+                        out["a"].append(node)
+                        out["b"].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+
+    return dealt.mapInArrow(over, f"a {kind}, b {kind}").distinct()
 
 
 def _best_hub(pairs: DataFrame, sketches: DataFrame, percent: int, least: int) -> DataFrame:
@@ -190,14 +201,13 @@ def _alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 
 
 def _long_sketches(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """node, a byte of each of LONG signature values (other permutations than those of the bands), and 32 bits of each
-    band's key."""
+    """node, a byte of each of LONG signature values (other permutations than those of the bands), and the bands' keys."""
     minmax = MinMax(LONG, seed=2)
 
     def fn(columns: list[list]) -> dict:
         nodes, texts, keys = columns
         values = [mix64(minmax(shingle_set(t, k))) >> np.uint64(56) for t in texts]
-        return {"node": nodes, "long": [v.astype(np.uint8).tobytes() for v in values], "first": [np.array(x, np.int64).astype(np.int32).tobytes() for x in keys]}
+        return {"node": nodes, "long": [v.astype(np.uint8).tobytes() for v in values], "first": [np.array(x, np.int64).tobytes() for x in keys]}
 
     kind = texts.schema["node"].dataType.simpleString()
     return map_rows(texts.select("node", "text", "bands"), fn, f"node {kind}, long binary, first binary")
@@ -231,10 +241,10 @@ def _listed(cells: DataFrame, percent: int, least: int) -> DataFrame:
             if not xs or not ys:
                 continue
             stacked = lambda name, kind: np.frombuffer(b"".join(g[name] for g in ys), kind).reshape(len(ys), -1)
-            bits, first = stacked("long", np.uint8), stacked("first", np.int32)
+            bits, first = stacked("long", np.uint8), stacked("first", np.int64)
             sizes, number = np.array([g["n"] for g in ys]), {g["component"]: i for i, g in enumerate(group)}
             comps = np.array([number[g["component"]] for g in ys])
-            here = np.int64(key).astype(np.int32)
+            here = np.int64(key)
             met: dict = {}
             for g in xs:
                 n = g["n"]
@@ -242,7 +252,7 @@ def _listed(cells: DataFrame, percent: int, least: int) -> DataFrame:
                 at = np.flatnonzero(fits)
                 like = (bits[at] == np.frombuffer(g["long"], np.uint8)).sum(axis=1)
                 at, like = at[like >= least], like[like >= least]
-                own = np.frombuffer(g["first"], np.int32)
+                own = np.frombuffer(g["first"], np.int64)
                 at = at[np.argsort(-like, kind="stable")]
                 at = at[(first[at] == own).argmax(axis=1) == (own == here).argmax()]
                 # of two members outside the main component each would list the other
@@ -318,21 +328,22 @@ def near_duplicates(
         hubs = buckets.groupBy("key").agg(hub, F.min("node").alias("c"), F.max("node").alias("d")).filter("c < d")
         members = written(buckets.join(written(hubs.select("key", "hub")), "key"))
         wanted = written(members.select("node").distinct())
-        chosen = written(_by_ids(classes, wanted, "left_semi"))
+        chosen = written(rows_among(classes, wanted))
         sketches = chosen.select("node", "sketch", "n_shingles")
-        texts = docs.withColumnRenamed("doc_id", "node").withColumn("text", F.col("text").cast("binary"))
-        texts = written(_by_ids(texts, wanted, "left_semi"))
-        verify = lambda pairs: _verified(_best_hub(pairs, sketches, percent, least), texts, k, percent)
-        links = written(verify(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()))
+        texts = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text"))
+        verify = lambda pairs, texts: _verified(written(_best_hub(pairs, sketches, percent, least)), texts, k, percent)
+        links = written(verify(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), texts))
         found = components(links)
         for last in (False, True):
             split = _split_buckets(members.select("key", "node", "n"), found)
+            if not last:  # only what is still split needs texts from here on
+                texts = written(rows_among(texts, split.select("node").distinct()))
             if last:
                 own = texts.join(split.select("node").distinct(), "node", "left_semi")
                 long = written(_long_sketches(own.join(chosen.select("node", "bands"), "node"), k, bands, rows))
                 more = written(_confirmed(written(_listed(_cells(split, long), percent, least_long)), texts, k, percent))
             else:
-                more = written(verify(_to_main(split)))
+                more = written(verify(_to_main(split), texts))
             if not more.isEmpty():
                 links = links.unionByName(more)
                 found = components(links)
@@ -350,15 +361,17 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one row of each group of near duplicates."""
     odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     if odd.isEmpty():
-        copies = near_duplicates(docs, **options).filter("not kept").select("doc_id")
-        return _by_ids(docs, copies, "left_anti").select(docs.columns)
+        found = near_duplicates(docs, **options)
+        copies, rest = (found.filter(c).select("doc_id") for c in ("not kept", "kept"))
+        return rows_not_among(docs, copies, rest).select(docs.columns)
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **options)
     found = rows.select("_row", "doc_id").join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     kept = found.groupBy("component_id").agg(least.alias("r")).select("r._row")
+    kept = written(kept)
     copies = written(found.select("_row").join(kept, "_row", "left_anti"))
-    return _by_ids(rows, copies, "left_anti").select(docs.columns)
+    return rows_not_among(rows, copies, kept).select(docs.columns)
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

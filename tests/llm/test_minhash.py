@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 
-from featurespark.llm import minhash
+from featurespark.llm import bloom, minhash
 from featurespark.llm.graph import components
 from featurespark.llm.minhash import MinMax, drop_near_duplicates, least_agreeing, near_duplicates, op3_minhash_dedup, shape
 
@@ -92,7 +92,8 @@ def test_empty_and_null_ids(spark):
 def test_ids_too_many_to_broadcast_give_the_same_rows(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     few = sorted(r.doc_id for r in drop_near_duplicates(docs).collect())
-    monkeypatch.setattr(minhash, "SMALL", 0)
+    monkeypatch.setattr(minhash, "FOLLOWERS", 2)
+    monkeypatch.setattr(bloom, "MOST_WORDS", 64)  # full of bits: nearly all rows are in doubt
     assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == few
     assert few == [i for i, _, _, kept in brute([(r.doc_id, r.text) for r in docs.collect()], 5, 80) if kept]
 
