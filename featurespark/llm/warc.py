@@ -13,17 +13,19 @@ are decoded where they are read. Only segmented ones are shuffled: grouped by or
 gaps and for the total length, joined and decoded. Revisits get their payload's size from the record they refer to.
 
 A group of equal payloads may hold any share of all pages: only (page_id, digest) meets in the group's aggregate, which
-combines before the shuffle, and joins on it can be split where one key is large.
+combines before the shuffle, and joins on it can be split where one key is large. Only repeated payloads (and the few that
+a Bloom filter takes for such) are shuffled.
 
 Defined results: null html is an empty payload; pages of one page_id are separate records, equal ones included, and a
 revisit refers to the largest page_id; equal rows of that page_id are all responses; a null page_id is read back as null; an empty table gives no archives and no
-rows; bad framing, gaps or lengths are listed in ``problem`` instead of being dropped.
+rows. Bad framing, gaps, lengths or segment numbers, records and gzip members cut short, and bytes outside members are
+listed in ``problem`` instead of being dropped or ending the job: what is known of the record stands in the row's other
+columns, and reading goes on with the next record or member.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
 import zlib
@@ -36,7 +38,8 @@ from pyspark.sql import functions as F
 
 from featurespark.ship import ship
 
-from .common import map_rows, names, shared_dir, written
+from .bloom import perhaps
+from .common import drop_written, map_rows, names, shared_dir, written
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -125,8 +128,9 @@ def write_archives(
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
     pages = pages.withColumn("digest", F.sha1("html"))
     largest = pages.filter(F.octet_length("html") >= least_bytes).groupBy("digest")
-    largest = largest.agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pages = pages.join(largest, "digest", "left")
+    largest = written(largest.agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    repeated = perhaps(largest.select("digest"))(F.col("digest"))  # payloads that occur once stay where they are
+    pages = pages.filter(repeated).join(largest, "digest", "left").unionByName(pages.filter(~repeated).withColumn("first", F.lit(None).cast("long")))
     other = (F.octet_length("html") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
     pages = pages.withColumn("refers_to", F.when(other, F.col("first")))
     pages = pages.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
@@ -152,20 +156,71 @@ def write_archives(
 
     out = pages.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(files, "value binary")
     out.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+    drop_written(largest)
 
 
-def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an archive file, plain or in gzip members."""
-    raw = io.BytesIO(content)
-    f = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
-    while line := f.readline():
-        if not line.startswith(b"WARC/"):
-            continue  # the empty lines after a record
-        head = {}
-        while (line := f.readline().strip()) != b"":
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            head[name.lower()] = value.strip()
-        yield head, f.read(int(head["content-length"]))
+def members(content: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """Parts of an archive file that are whole by themselves: its gzip members, or all of a plain one; and what is wrong.
+
+    After a broken member reading goes on where the next one seems to begin.
+    """
+    if content[:2] != b"\x1f\x8b":
+        yield content, None
+        return
+    view, at = memoryview(content), 0
+    while at < len(content):
+        begun = content.find(MAGIC, at)
+        between = content[at : begun if begun >= 0 else len(content)]
+        if between.strip(b"\0"):
+            yield b"", "bytes outside members"
+        if begun < 0:
+            return
+        unpack, out, problem, at = zlib.decompressobj(31), [], None, begun
+        try:
+            while not unpack.eof and at < len(content):
+                out.append(unpack.decompress(view[at : at + (1 << 16)]))
+                at = min(at + (1 << 16), len(content))
+            at -= len(unpack.unused_data)
+            if not unpack.eof:
+                problem = "member cut short"
+        except zlib.error as e:
+            problem = f"member: {e}"
+        if problem:
+            at = content.find(MAGIC, begun + 1)
+            at = at if at >= 0 else len(content)
+        yield b"".join(out), problem
+
+
+MAGIC = b"\x1f\x8b\x08"
+
+
+def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Headers (lower-case names), block, and what is wrong, of each record of an archive file, plain or in gzip members.
+
+    A record of broken length has an empty block; bytes in which no record begins are one without headers.
+    """
+    for data, broken in members(content):
+        f, some = io.BytesIO(data), False
+        while line := f.readline():
+            if not line.startswith(b"WARC/"):
+                continue  # the empty lines after a record
+            head, some, problem = {}, True, broken
+            while (line := f.readline()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                head[name.strip().lower()] = value.strip()
+            length = head.get("content-length", "")
+            block = b""
+            if not line:
+                problem = problem or "header cut short"
+            elif not (length.isascii() and length.isdigit()):
+                problem = problem or "no length"
+            else:
+                block = f.read(int(length))
+                if len(block) < int(length):
+                    problem = problem or "block cut short"
+            yield head, block, problem
+        if broken and not some:
+            yield {}, b"", broken
 
 
 def _number(text: str | None) -> int | None:
@@ -190,9 +245,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per page of the archives below path: the columns of PAGE."""
     ship(spark)
     content = spark.read.format("binaryFile").load(path).select("content")
-    kept = f"{PAGE}, origin string, segment int, total long, block binary"
+    kept = f"{PAGE}, origin string, segment int, total long, block binary, broken boolean"
     kind = pa.schema(
-        [(n, {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in
+        [(n, {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}[t]) for n, t in
          (x.split() for x in kept.split(", "))]
     )
 
@@ -200,20 +255,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         rows, size = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                for head, block in parsed(batch.column(0)[i].as_py()):
+                for head, block, broken in parsed(batch.column(0)[i].as_py()):
                     kind_of, segment = head.get("warc-type"), head.get("warc-segment-number")
-                    if kind_of not in ("response", "revisit", "continuation"):
+                    if kind_of not in ("response", "revisit", "continuation") and not broken:
                         continue
                     page, digest = _number(head.get("x-page-id")), head.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    if kind_of == "revisit":
-                        row = (page, None, digest, kind_of, _number(head.get("warc-refers-to")), None, None, None, None, None)
+                    origin = head.get("warc-segment-origin-id") or head.get("warc-record-id")
+                    if segment is not None and not broken:
+                        broken = "no segment number" if not (segment.isascii() and segment.isdigit()) else "no origin" if not origin else None
+                    if broken:  # a part of a segmented record is missed where its other parts are put together
+                        row = (page, None, digest, kind_of, None, broken, None, None, None, None, True)
+                    elif kind_of == "revisit":
+                        row = (page, None, digest, kind_of, _number(head.get("warc-refers-to")), None, None, None, None, None, False)
                     elif segment is None:
                         n, own, problem = _decoded(block, digest)
-                        row = (page, n, own, "response", None, problem, None, None, None, None)
+                        row = (page, n, own, "response", None, problem, None, None, None, None, False)
                     else:
-                        origin = head.get("warc-segment-origin-id", head["warc-record-id"])
                         total = _number(head.get("warc-segment-total-length"))
-                        row = (page, None, digest, "response", None, None, origin, int(segment), total, block)
+                        row = (page, None, digest, "response", None, None, origin, int(segment), total, block, False)
                         size += len(block)
                     rows.append(row)
                     if len(rows) >= 4096 or size >= 8 << 20:
@@ -239,12 +298,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     part = F.struct("segment", "total", "page_id", "payload_digest", "block")
     grouped = rows.filter("segment is not null").groupBy("origin").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     joined = map_rows(grouped.select("parts"), assemble, PAGE, rows=16)
-    whole = rows.filter("segment is null and record_type = 'response'").select(names(PAGE)).unionByName(joined)
-    again = rows.filter("record_type = 'revisit'").select("page_id", "payload_digest", "record_type", "refers_to")
+    wrong = rows.filter("broken").select(names(PAGE))
+    whole = rows.filter("not broken and segment is null and record_type = 'response'").select(names(PAGE)).unionByName(joined)
+    again = rows.filter("not broken and record_type = 'revisit'").select("page_id", "payload_digest", "record_type", "refers_to")
     source = whole.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
     again = again.join(source, ["refers_to", "payload_digest"], "left")
     again = again.withColumn("problem", F.when(F.col("payload_bytes").isNull(), "no response with this digest"))
-    return whole.unionByName(again)
+    return whole.unionByName(again).unionByName(wrong)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ def test_round_trip(spark, tmp_path, rng, least):
         assert rows_of(read_archives(spark, path)) == brute(pages, least)
     files = list((tmp_path / "300").glob("part-*"))
     assert len(files) > 3
-    heads = [h for f in files for h, _ in parsed(f.read_bytes())]
+    heads = [h for f in files for h, _, _ in parsed(f.read_bytes())]
     assert {"response", "revisit", "continuation"} == {h["warc-type"] for h in heads}
     assert b"WARC/1.1" in gzip.decompress(files[0].read_bytes())
 
@@ -61,6 +61,34 @@ def test_broken_archives_are_reported(spark, tmp_path):
     assert got[3].problem is None and got[3].payload_bytes == 3 and len(got) == 4
 
 
+def test_broken_records_and_members_end_no_job(spark, tmp_path):
+    def raw(n, head=(), length="x"):
+        lines = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <r:{n}>", f"X-Page-ID: {n}", *head]
+        return "\r\n".join([*lines, f"Content-Length: {length}"] if length is not None else lines).encode()
+
+    body = b"HTTP/1.1 200 OK\r\n\r\nabc"
+    good = lambda n: raw(n, length=len(body)) + b"\r\n\r\n" + body + b"\r\n\r\n"
+    end = b"\r\n\r\n"
+    plain = good(1) + raw(2, length=None) + end + good(3) + raw(4) + end + good(5) + raw(6, ["WARC-Segment-Number: two"], 3) + end + b"abc" + end
+    plain += raw(7, ["WARC-Segment-Number: 1"], 3).replace(b"WARC-Record-ID: <r:7>\r\n", b"") + end + b"abc" + end + raw(8, length=10**6) + end + b"short"
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.warc").write_bytes(plain)
+    (tmp_path / "a" / "y.warc").write_bytes(good(11) + b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: 12")
+    zipped = [gzip.compress(good(n)) for n in range(20, 25)]
+    zipped[1] = zipped[1][:30] + b"\xff\xff\xff" + zipped[1][33:]
+    (tmp_path / "a" / "z.warc.gz").write_bytes(b"".join(zipped)[:-20])
+    (tmp_path / "a" / "w.warc.gz").write_bytes(gzip.compress(good(30)) + b"rubbish" + gzip.compress(good(31) + good(32)))
+    (tmp_path / "a" / "empty.warc.gz").write_bytes(b"")
+    rows = read_archives(spark, str(tmp_path / "a")).collect()
+    fine = {r.page_id for r in rows if r.problem is None}
+    assert fine == {1, 3, 5, 11, 20, 22, 23, 30, 31, 32} and all(r.payload_bytes == 3 for r in rows if r.problem is None)
+    wrong = {r.page_id: r.problem for r in rows if r.problem is not None and r.page_id is not None}
+    assert wrong[2] == wrong[4] == "no length" and wrong[6] == "no segment number" and wrong[7] == "no origin" and wrong[8] == "block cut short"
+    assert wrong[12] == "header cut short"
+    others = [r.problem for r in rows if r.page_id is None or r.page_id in (21, 24)]
+    assert "bytes outside members" in others and "member cut short" in others and any(p.startswith("member: ") or p == "member cut short" for p in others)
+
+
 def test_chunk_framing():
     for n in (0, 1, 4095, 4096, 4097, 10000):
         assert unchunked(chunked(b"a" * n)) == b"a" * n
