@@ -4,9 +4,10 @@
    are so many, before any text is touched. The ids are broadcast, so texts are neither shuffled nor written. What the
    draw leaves out of each label enters as its weight.
 2. Voters. Tasks count, per term, in how many drawn documents of each label it occurs. Terms are words, word beginnings
-   of 4 to 7 letters, and ``PATTERNS`` on the text as it stands. The seed lexicon and all terms indicative of label 1 say
-   1 where they occur, terms indicative of label 0 say 0; beginnings counted as often as a longer form of theirs are left
-   out. One voter says 0 on texts that no voter of label 1 touches. All others abstain.
+   of 4 to 7 letters, and ``PATTERNS`` on the text as it stands. The seed lexicon and all terms and patterns
+   indicative of label 1 say 1 where they occur, all terms with clearly less than the usual share of label 1 say 0. No term that
+   passes its bound is dropped: beyond the strongest, terms of like strength are one voter. One voter says 0 on texts
+   that no voter of label 1 touches. All others abstain.
 3. Label model. A generative model with a class prior, the chances of each voter to vote in either class, and those of
    the given label to be 1, is fitted by expectation maximisation. In each round the correlations of the voters inside
    the classes are estimated too; a voter's evidence is divided by the sum of its correlations with all voters, so
@@ -14,8 +15,8 @@
 4. Classifier. Logistic regression on the voters' presence, the number of words with a voter and their share, trained on
    the posteriors. It scores every whole text in one pass without a shuffle.
 
-What reaches the driver is bounded by ``max_voters`` terms of either kind and about ``max_labelled`` sparse rows of
-votes. Labels, lang, source and doc_id are never inputs of a score. With no labels, the seed lexicon alone votes.
+What reaches the driver are the terms that pass their bounds among about ``max_labelled`` texts, and as many sparse rows
+of votes. Labels, lang, source and doc_id are never inputs of a score. With no labels, the seed lexicon alone votes.
 
 Defined results: null and empty text is scored as a text without terms; duplicate label rows of a document count once,
 toxic if any is; labels of unknown documents, null labels and null ids are ignored; of rows that repeat a labelled id
@@ -100,41 +101,66 @@ def term_counts(train: DataFrame) -> DataFrame:
     return made.groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def choose_voters(train: DataFrame, weights: tuple[float, float], max_voters: int, least_docs: int) -> tuple[list[str], list[str]]:
-    """Terms that say 1 (the seed first) and terms that say 0: those more often right than wrong, by a lower bound.
+def choose_voters(train: DataFrame, weights: tuple[float, float], max_single: int, least_docs: int) -> tuple[dict[str, int], int, int]:
+    """Voter of each term, how many voters say 1 (they come first), and how many there are, the one for untouched texts included.
 
-    The bound on the log odds must exceed those of the label against it (by weight), and 1.2 at least.
-
-    Of forms that begin alike and are counted alike only the longest is kept; max_voters bounds each list.
+    The seed votes 1 whatever its counts. A term or pattern votes 1 if a lower bound of its log odds exceeds those of
+    the label against it (by weight), and 1.2 at least; it votes 0 if an upper bound of the share of label 1 among its
+    documents is under half of that share among all. Of forms that begin alike and are counted alike only the longest is
+    kept, as they are the same vote. The max_single strongest terms for 1 are voters of their own; all others vote too, those
+    of about the same strength as one voter.
     """
     counts = written(term_counts(train))
     n1, n0 = (counts.filter("term = ''").select("n1", "n0").first() or (0, 0))[:2]
-    chosen = []
-    for own, other, n, m in (("n1", "n0", n1, n0), ("n0", "n1", n0, n1)):
-        if not n1 or not n0:
-            chosen.append([])
-            continue
-        found = counts.filter((F.col(own) >= least_docs) & (F.col("term") != ""))
-        odds = F.log((F.col(own) + 0.5) / (n + 1.0)) - F.log((F.col(other) + 0.5) / (m + 1.0))
-        odds = odds - 2.33 * F.sqrt(1 / (F.col(own) + 0.5) + 1 / (F.col(other) + 0.5))
-        against = np.log(m * weights[own == "n0"] / (n * weights[own == "n1"]))
-        found = found.withColumn("odds", odds).filter(F.col("odds") > max(1.2, float(against)))
-        longest = F.max_by("term", F.struct(F.length("term"), "term")).alias("term")
-        found = found.groupBy(F.substring("term", 1, STEMS[0]).alias("start"), "n1", "n0").agg(longest, F.max("odds").alias("odds"))
-        chosen.append([r.term for r in found.orderBy(F.desc("odds"), "term").limit(max_voters).collect()])
+    ones = {t: i for i, t in enumerate(SEED)}
+    zeros: dict[str, int] = {}
+    n_ones = len(ones)
+    if n1 and n0:
+        z, (w0, w1) = 2.33, weights
+        terms = counts.filter("term <> ''")
+        odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
+        odds = odds - z * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
+        found = terms.filter(F.col("n1") >= least_docs).withColumn("odds", odds).filter(F.col("odds") > max(1.2, float(np.log(n0 * w0 / (n1 * w1)))))
+        rows = _longest(found)
+        for r in rows[:max_single]:
+            if r.term not in ones:
+                ones[r.term], n_ones = n_ones, n_ones + 1
+        n_ones = _banded([r for r in rows[max_single:] if r.term not in ones], ones, n_ones)
+        n, base = F.col("n1") + F.col("n0"), n1 * w1 / (n1 * w1 + n0 * w0)
+        share = F.col("n1") * w1 / (F.col("n1") * w1 + F.col("n0") * w0)
+        upper = (share + z * z / (2 * n) + z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        found = terms.filter(F.col("n0") >= least_docs).withColumn("odds", F.log(F.lit(float(base)) / upper)).filter(F.col("odds") > float(np.log(2.0)))
+        rows = [r for r in _longest(found) if r.term not in ones]
+    else:
+        rows = []
     drop_written(counts)
-    return list(dict.fromkeys([*SEED, *chosen[0]])), chosen[1]
+    n_all = _banded(rows, zeros, n_ones)
+    return ones | zeros, n_ones, n_all + 1
+
+
+def _longest(found: DataFrame) -> list:
+    """term, odds of the longest of forms that begin alike and are counted alike, the strongest first."""
+    longest = F.max_by("term", F.struct(F.length("term"), "term")).alias("term")
+    found = found.groupBy(F.substring("term", 1, STEMS[0]).alias("start"), "n1", "n0").agg(longest, F.max("odds").alias("odds"))
+    return sorted(found.select("term", "odds").collect(), key=lambda r: (-r.odds, r.term))
+
+
+def _banded(rows: list, voters: dict[str, int], first: int) -> int:
+    """Gives terms of the same half of log odds one voter, numbered from ``first``; returns the next number."""
+    bands: dict[int, int] = {}
+    for r in rows:
+        voters[r.term] = bands.setdefault(int(2 * r.odds), first + len(bands))
+    return first + len(bands)
 
 
 class Voting:
-    """Which voters a text has: terms for 1, terms for 0, and the one for untouched texts.
+    """Which voters a text has: those for 1, those for 0, and the one for untouched texts.
 
     A word's voters are looked up once and remembered, within a bound.
     """
 
-    def __init__(self, ones: list[str], zeros: list[str] = ()):
-        self.n_ones, self.n = len(ones), len(ones) + len(zeros) + 1
-        self.index = {t: i for i, t in enumerate([*ones, *zeros])}
+    def __init__(self, index: dict[str, int], n_ones: int, n: int):
+        self.index, self.n_ones, self.n = index, n_ones, n
         self.known: dict[bytes, tuple[int, ...]] = {}
 
     def __call__(self, text: str | None) -> tuple[list[int], int, int]:
@@ -146,7 +172,7 @@ class Voting:
         for w in words:
             got = known.get(w)
             if got is None:
-                got = known[w] = tuple(sorted(self.index[t] for t in terms_of(w) if t in self.index))
+                got = known[w] = tuple(sorted({self.index[t] for t in terms_of(w) if t in self.index}))
             if got:
                 found.update(got)
                 n += got[0] < self.n_ones
@@ -226,9 +252,9 @@ def logistic(x: np.ndarray, p: np.ndarray, count: np.ndarray, ridge: float = 1.0
     return w
 
 
-def fit(train: DataFrame, weights: tuple[float, float], max_voters: int, least_docs: int, noise: float) -> tuple[Voting, np.ndarray]:
+def fit(train: DataFrame, weights: tuple[float, float], max_single: int, least_docs: int, noise: float) -> tuple[Voting, np.ndarray]:
     """Voters and classifier weights from rows (doc_id, text, toxic)."""
-    voting = Voting(*choose_voters(train, weights, max_voters, least_docs))
+    voting = Voting(*choose_voters(train, weights, max_single, least_docs))
 
     def fn(columns: list[list]) -> dict:
         found = [voting(t) for t in columns[0]]
@@ -245,7 +271,7 @@ def fit(train: DataFrame, weights: tuple[float, float], max_voters: int, least_d
         return voting, w
     x = features([(list(k[0]), k[1], k[2]) for k in same], voting.n)
     count = np.array(list(same.values()), float)
-    p = posteriors(x[:, : voting.n], labels, count * np.where(labels == 1, weights[1], weights[0]))
+    p = posteriors(x[:, : voting.n], labels, count * np.where(labels == 1, weights[1], weights[0]), noise)
     return voting, logistic(x, p, count)
 
 
@@ -253,7 +279,7 @@ def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
     train_on=None,
-    max_voters: int = 500,
+    max_single: int = 500,
     least_docs: int = 3,
     max_labelled: int = 30_000,
     noise: float = 0.1,
@@ -266,7 +292,7 @@ def score_toxicity(
         known = known.filter(train_on)
     drawn, weights = draw(known, max_labelled)
     drawn = written(drawn)
-    voting, w = fit(rows.join(F.broadcast(drawn), "doc_id"), weights, max_voters, least_docs, noise)
+    voting, w = fit(rows.join(F.broadcast(drawn), "doc_id"), weights, max_single, least_docs, noise)
     drop_written(drawn)
 
     def fn(texts: list[str | None]) -> list[tuple]:
