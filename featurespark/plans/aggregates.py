@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from featurespark.operators import aggregates as A
@@ -134,6 +136,20 @@ def o73(spark, sf):
     return L.one_hot(t, "o_orderstatus", L.fit_one_hot(t, "o_orderstatus")).drop("o_orderstatus")
 
 
+@query(
+    "o73_one_hot_vectors",
+    """with c as (select case when o_orderkey % 11 > 0 then o_custkey::varchar end as cust from orders),
+    v as (select cust, row_number() over (order by cust) - 1 as place from (select distinct cust from c where cust < '5'))
+    select coalesce(place, (select count(*) from v))::bigint as place, count(*)::double as n from c left join v using (cust) group by 1""",
+)
+def o73_vectors(spark, sf):
+    """How many rows have each place of the sparse vectors; values that training did not have, and nulls, have the last one."""
+    t = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 11 > 0, F.col("o_custkey").cast("string")).alias("cust"))
+    out = L.fit_one_hot_vectors(t.filter("cust < '5'"), ["cust"]).transform(t)
+    total = out.agg(Summarizer.sum(F.col("cust_vector")).alias("n"))
+    return total.select(F.posexplode(vector_to_array("n")).alias("place", "n")).filter("n > 0").select(F.col("place").cast("long"), "n")
+
+
 @query("o74_min_max", "with e as (select min(value) as lo, max(value) as hi from events where ts < timestamp '2024-01-15') select event_id, round((value - lo) / (hi - lo), 6) as value_scaled from events cross join e")
 def o74(spark, sf):
     t = table(spark, sf, "events").select("event_id", "ts", "value")
@@ -298,6 +314,12 @@ def o90(spark, sf):
     return Q.feature_stats(table(spark, sf, "events"), "ts", "2024-01-28 00:00:00", "7 DAYS", "4 DAYS", ["value", "user_id"], 0.5, "event_id")
 
 
+@query("o90_feature_stats_short", _stats_sql("30 hours", "0 days"))
+def o90_short(spark, sf):
+    """Offset in the short form of intervals; without a length the window ends at now."""
+    return Q.feature_stats(table(spark, sf, "events"), "ts", "2024-01-28 00:00:00", "1d6h", None, ["value", "user_id"])
+
+
 _RULES = [("value", "mean", 0.5, False, True), ("value", "max", 0.01, True, False), ("user_id", "count", 0.2, True, True), ("user_id", "std", 1.0, False, True)]
 
 

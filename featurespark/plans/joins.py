@@ -154,6 +154,12 @@ def o41b(spark, sf):
     return J.recent_backfill(forecast(spark, sf), "date", 10).select("date", "predicted")
 
 
+@query("o41_hindcast_fallback", f"with {_FORECAST} select date, round(predicted, 6) as predicted, null::double as pm25 from f order by date desc limit 10")
+def o41c(spark, sf):
+    """No forecast was made a thousand days ahead, so the last ten predictions stand in, without outcomes."""
+    return J.hindcast_or_recent(forecast(spark, sf), daily_outcome(spark, sf), ["date"], "date", horizon=1000).select("date", "predicted", "pm25")
+
+
 def _rolling(closed="both", strategy="frame", windows=WINDOWS):
     def run(spark, sf):
         out = W.rolling(transactions(spark, sf), ["cc_num"], "ts", "amount", windows, closed, strategy)

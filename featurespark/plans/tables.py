@@ -103,6 +103,21 @@ def o12(spark, sf):
     return good.select("event_id", F.col("reply.k").alias("k"))
 
 
+_REPLY_SQL = "case when event_type = 'error' then 'error' else 'ok' end"
+
+
+@query("o12_nested_reply", f"select event_id, case when event_id % 7 > 0 then round(value, 6) end as pm25, true as good from events where {_REPLY_SQL} = 'ok' union all select event_id, null, false from events where {_REPLY_SQL} <> 'ok'")
+def o12_nested(spark, sf):
+    """Sensor replies made from events: the nested value, null where it is missing; bad ones hold text in place of data."""
+    t = table(spark, sf, "events")
+    value = F.when(F.col("event_id") % 7 > 0, F.concat(F.lit('{"v":'), F.col("value").cast("string"), F.lit("}"))).otherwise("{}")
+    good = F.concat(F.lit('{"status":"ok","data":{"iaqi":{"pm25":'), value, F.lit("}}}"))
+    reply = F.when(F.col("event_type") == "error", F.lit('{"status":"error","data":"Unknown station"}')).otherwise(good)
+    good, bad = T.parse_reading(t.select("event_id", reply.alias("j")), "j")
+    out = good.select("event_id", F.col("reply.data.iaqi.pm25.v").alias("pm25"), F.lit(True).alias("good"))
+    return out.unionByName(bad.select("event_id", F.lit(None).cast("double").alias("pm25"), F.lit(False).alias("good")))
+
+
 @query(
     "o13_first_valid",
     "select event_id, case when event_type = 'view' then user_id when value > 50 then event_id end as usable from events",
