@@ -124,3 +124,34 @@ LICENSE_TEXTS = [
     ("apache-2", APACHE_2_NOTICE),
     ("mpl-2", MPL_2_NOTICE),
 ]
+
+# The notice of the GNU family, and names and versions of its licences. Brackets: words that must stand unbroken.
+_GNU_NOTICE = """
+This program is free software; you can redistribute it and/or modify it under the terms of the [GNU {name} as published] by
+the Free Software Foundation; either [version {version} of the License], or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.
+"""
+_GNU = [
+    ("gpl", "General Public License", ["1", "2", "3"]),
+    ("lgpl", "Library General Public License", ["2"]),
+    ("lgpl", "Lesser General Public License", ["2.1", "3"]),
+    ("agpl", "Affero General Public License", ["3"]),
+]
+GNU_NOTICES = [(f"{label}-{v}-or-later", _GNU_NOTICE.format(name=name, version=v)) for label, name, versions in _GNU for v in versions]
+GNU_NOTICES += [(f"{label}-{v}-only", f"it under the terms of the [GNU {name} version {v} as published] by the Free Software Foundation") for label, name, versions in _GNU for v in versions]
+GNU_NOTICES += [(f"{label}-{v}", f"under the terms of the [GNU {name} version {v}]") for label, name, versions in _GNU for v in versions]
+GNU_NOTICES += [(f"{label}-{v}", f"licensed under the [GNU {name} version {v}]") for label, name, versions in _GNU for v in versions]
+GNU_NOTICES += [(label, f"it under the terms of the [GNU {name} as published] by the Free Software Foundation") for label, name, _ in _GNU]
+
+# Identifiers of one licence each, as SPDX lines name them.
+_SPDX = {
+    "MIT": "mit", "ISC": "isc", "Zlib": "zlib", "Unlicense": "unlicense", "BSL-1.0": "bsl-1", "Apache-2.0": "apache-2", "MPL-2.0": "mpl-2", "CC0-1.0": "cc0",
+    "BSD-2-Clause": "bsd-2-clause", "BSD-3-Clause": "bsd-3-clause", "CC-BY-4.0": "cc-by", "CC-BY-SA-4.0": "cc-by-sa", "CC-BY-NC-4.0": "cc-by-nc",
+}
+_SPDX |= {
+    f"{label.upper()}-{v if '.' in v else v + '.0'}{end}": f"{label}-{v}{end}"
+    for label, _, versions in _GNU for v in versions for end in ("", "-only", "-or-later")
+}
+SPDX_LINES = [(label, f"[SPDX-License-Identifier: {name}]") for name, label in _SPDX.items()]

@@ -5,7 +5,9 @@ statistics: for each word the longest suffix read so far that occurs in some tem
 suffixes that occur in further templates, so each match of ``least_match`` words or more that can't grow in its template
 on either side is an anchor. Per template, anchors in the same order in both texts and at most ``gap`` words apart are
 chained so that most words are covered; a chain that covers ``cover`` of its template is a finding with the template's
-label, unless it lies inside a finding that covers its own template better. Base phrases are templates too: the automaton marks the states that hold a whole phrase, so every place of a
+label, unless it lies inside a finding that covers its own template better or whose label goes on from its own (``gpl``
+inside ``gpl-2-or-later``). Words of a template in brackets must stand unbroken in the text: they tell licences apart that
+differ in few words. Base phrases are templates too: the automaton marks the states that hold a whole phrase, so every place of a
 phrase is seen in the same pass.
 
 The automaton depends on the templates alone and is sent to each task; documents are neither shuffled nor gathered.
@@ -23,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import add_columns, alnum_words, names
-from .license_texts import LICENSE_TEXTS
+from .license_texts import GNU_NOTICES, LICENSE_TEXTS, SPDX_LINES
 
 BASE_PHRASES = {
     "under the mit license": "mit",
@@ -42,17 +44,14 @@ TEMPLATES = [
     ("cc-by", "creative commons attribution 4 0 international license"),
     ("cc-by-sa", "creative commons attribution sharealike 4 0 international license"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "under the terms of the gnu general public license version 3"),
-    ("gpl", "it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "under the terms of the gnu lesser general public license"),
-    ("agpl-3", "gnu affero general public license version 3"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal"),
     *LICENSE_TEXTS,
+    *GNU_NOTICES,
+    *SPDX_LINES,
 ]
 RESULT = (
     "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
@@ -114,6 +113,7 @@ class Scanner:
         texts = [alnum_words(x.encode()) for x in [*phrases, *[t for _, t in templates]]]
         self.labels = [*phrases.values(), *[x for x, _ in templates]]
         self.sizes, self.n_phrases = [len(x) for x in texts], len(phrases)
+        self.musts = [_brackets(x) for x in [*phrases, *[t for _, t in templates]]]
         self.vocab: dict[bytes, int] = {}
         self.words = [[*(self.vocab.setdefault(w, len(self.vocab) + 1) for w in x), -1] for x in texts]  # -1: the end
         self.auto = Automaton([x[:-1] for x in self.words])
@@ -195,17 +195,30 @@ class Scanner:
                 found[first, start + n] = max(share, found.get((first, start + n), 0.0))
         out: list[tuple[str, int, int, float]] = []
         for (start, end), share in sorted(found.items(), key=lambda x: (-x[1], x[0])):  # the best of those that overlap
+            inside = [(i, i + n) for s, i, n in anchors if start <= s and s + n <= end] if self.musts[template] else []
+            if any(all(a > low or b < high for a, b in inside) for low, high in self.musts[template]):
+                continue
             if all(end <= s or start >= e for _, s, e, _ in out):
                 out.append((self.labels[template], start, end, share))
         return out
 
 
+def _brackets(template: str) -> list[tuple[int, int]]:
+    """Ranges of words in brackets."""
+    out, at = [], 0
+    for i, part in enumerate(template.replace("]", "[").split("[")):
+        n = len(alnum_words(part.encode()))
+        out += [(at, at + n)] * (i % 2)
+        at += n
+    return out
+
+
 def _outer(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
     """Findings but those inside another of a greater share; those of one template are apart, so few are open at once."""
     out, live = [], []
     for x in sorted(found, key=lambda x: (x[1], -x[2], -x[3])):
         live = [o for o in live if o[2] > x[1]]
-        if not any(o[2] >= x[2] and o[3] > x[3] for o in live):
+        if not any(o[2] >= x[2] and (o[3] > x[3] or o[0].startswith(f"{x[0]}-")) for o in live):
             out.append(x)
         live.append(x)
     return out

@@ -109,6 +109,28 @@ def test_whole_licences(spark):
     assert len(got) == 2 * len(LICENSE_TEXTS)
 
 
+def test_gnu_family_and_identifiers(spark):
+    """Notices that differ in few words have one label each."""
+    notice = (
+        "/* Copyright (C) 2004 Someone\n * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU {0} as published by\n"
+        " * the Free Software Foundation; either version {1} of the License, or\n * (at your option) any later version.\n *\n * This program is distributed in the hope that it will be useful,\n"
+        " * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n * GNU {0} for more details. */"
+    )
+    gpl, lgpl, agpl = "General Public License", "Lesser General Public License", "Affero General Public License"
+    want = {
+        notice.format(gpl, "2"): "gpl-2-or-later", notice.format(gpl, "3"): "gpl-3-or-later", notice.format(lgpl, "2.1"): "lgpl-2.1-or-later", notice.format(lgpl, "3"): "lgpl-3-or-later",
+        notice.format(agpl, "3"): "agpl-3-or-later", notice.format(gpl, "9"): "gpl", notice.format("Lesser  " + gpl, "2.1").replace("program", "library"): "lgpl-2.1-or-later",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": "gpl-2-only",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3", "under the terms of the GNU Lesser General Public License, version 3": "lgpl-3",
+        "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;": "gpl-2-or-later", "# SPDX-License-Identifier: GPL-2.0-only": "gpl-2-only", "# SPDX-License-Identifier: LGPL-2.1\n": "lgpl-2.1",
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "SPDX-License-Identifier: AGPL-3.0-or-later": "agpl-3-or-later",
+        "the GNU project and the general public": "", "SPDX license list": "", "under the terms of the GNU licence of the public": "",
+    }
+    rows = [(t, v) for t, v in want.items()] + [("filler words " * 5000 + t, v) for t, v in want.items()]
+    for r in scan_licenses(spark.createDataFrame(rows, "text string, want string")).collect():
+        assert r.labels == r.want, (r.text[-200:], r.labels, r.found)
+
+
 def test_query_equals_brute_force(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = op2_license_scan(spark, sf).collect()
