@@ -3,17 +3,18 @@
 1. Tasks count 4-grams of normalised characters (lower-case letters, any other run a space) of all training rows, by
    language, and combine them before the shuffle; Spark adds them up. The counts cover the whole training data.
 2. Per language a Kneser-Ney model of order 4 interpolates absolute-discounted counts with continuation counts of the
-   lower orders. For each order the n-grams of all languages are one array of 64-bit hashes in sorted order (the hash is
-   a bijection, so there are no collisions) beside a matrix of their interpolated probabilities, a column a language;
-   back-off weights of contexts likewise. One binary search per character serves all languages.
+   lower orders. For each language and order the n-grams are an array of 64-bit hashes in sorted order (the hash is a
+   bijection, so there are no collisions) beside their interpolated probabilities; back-off weights of contexts likewise.
+   Texts are scored in batches, each distinct n-gram of a batch by one binary search a language.
 3. Each text takes the language of the lowest cross-entropy per character.
 4. Rejection is calibrated on a tenth of the training rows, by a hash of the text, that is kept out of the counts: per
    language the mean of their cross-entropies and their deviation for unit length; a text whose standardised excess lies
    beyond the quantile ``1 - reject`` is marked ``rejected``. A language that has no other rows is learned from these.
 
 All n-grams are kept: discounts, continuation counts and totals are those of the whole counts. The model holds one row
-per n-gram and one number per language in it, so it grows with the distinct 4-grams of letters, which level off as a
-language's spellings are exhausted; nothing else reaches driver and tasks.
+per pair of n-gram and language that occurs, so it grows with each language's distinct 4-grams of letters, which level off
+as its spellings are exhausted, and not with the number of languages times those of all; nothing else reaches driver and
+tasks.
 
 Defined results: a text that is null or has no letter gets ``und`` with score 0; with no training rows all get ``und``;
 texts of any length are counted and scored as a whole; an empty table gives no rows; repeated rows repeat; rows are scored one by one; ties go to the language first in order; other columns pass through unless they bear a name
@@ -102,58 +103,62 @@ class Table:
         return np.where(self.hashes[at] == hashes, at, -1)
 
 
-class KneserNey:
-    """Interpolated Kneser-Ney models of several languages from their 4-gram counts."""
+class Language:
+    """The model of one language: probabilities of the n-grams that it has, and what their contexts leave to shorter ones."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counts)
-        own = [counts[x] for x in self.langs]
-        by_order = {ORDER: own}
-        for k in range(ORDER - 1, 0, -1):  # continuation counts: in how many longer n-grams it is the end
-            mask = np.uint64((1 << 16 * k) - 1)
-            by_order[k] = [np.unique(keys & mask, return_counts=True) for keys, _ in by_order[k + 1]]
-        self.floor = 1.0 / (1 + len(np.unique(np.concatenate([keys for keys, _ in by_order[1]]))))  # all units, one unknown
+    def __init__(self, orders: dict[int, tuple[np.ndarray, np.ndarray]], floor: float):
+        self.floor = np.float32(floor)
         self.probs: dict[int, Table] = {}
         self.backs: dict[int, Table] = {}
-        below: Table | None = None
+        below = np.empty(0)
         for k in range(1, ORDER + 1):
-            union = np.unique(np.concatenate([keys for keys, _ in by_order[k]]))
-            contexts = np.unique(union >> np.uint64(16)) if k > 1 else np.zeros(1, np.uint64)
-            probs, backs = np.zeros((len(union), len(own))), np.ones((len(contexts), len(own)))
-            base = np.full(probs.shape, self.floor)
-            if k > 1:
-                base = below.values[below.find(union & np.uint64((1 << 16 * (k - 1)) - 1))]
-            at_context = np.searchsorted(contexts, union >> np.uint64(16)) if k > 1 else np.zeros(len(union), int)
-            for i, (keys, n) in enumerate(by_order[k]):
-                n1, n2 = (n == 1).sum(), (n == 2).sum()
-                discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-                at = np.searchsorted(union, keys)
-                total = np.bincount(at_context[at], n, len(contexts))
-                kinds = np.bincount(at_context[at], minlength=len(contexts))
-                seen = total > 0
-                backs[seen, i] = discount * kinds[seen] / total[seen]
-                probs[at, i] = (n - discount) / total[at_context[at]]
-            probs += backs[at_context] * base
-            self.probs[k], self.backs[k] = Table(union, probs), Table(contexts, backs)
-            below = self.probs[k]
-
-    def log_probs(self, keys: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the last character's probability given the others, a column a language."""
-        return np.log(self._probs(keys, ORDER))
-
-    def _probs(self, keys: np.ndarray, k: int) -> np.ndarray:
+            keys, n = orders[k]
+            contexts, at = np.unique(keys >> np.uint64(16) if k > 1 else np.zeros(len(keys), np.uint64), return_inverse=True)
+            # the end of each n-gram is one itself
+            base = below[np.searchsorted(orders[k - 1][0], keys & np.uint64((1 << 16 * (k - 1)) - 1))] if k > 1 else floor
+            n1, n2 = (n == 1).sum(), (n == 2).sum()
+            discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
+            total = np.bincount(at, n, len(contexts))
+            backs = discount * np.bincount(at, minlength=len(contexts)) / total
+            below = (n - discount) / total[at] + backs[at] * base
+            self.probs[k], self.backs[k] = Table(keys, below), Table(contexts, backs)
+
+    def __call__(self, keys: np.ndarray, k: int = ORDER) -> np.ndarray:
+        """Probabilities of the last character of n-grams given the others."""
         if k == 0:
-            return np.full((len(keys), len(self.langs)), self.floor, np.float32)
+            return np.full(len(keys), self.floor, np.float32)
         at = self.probs[k].find(keys)
         out = self.probs[k].values[at]
         rest = np.flatnonzero(at < 0)
         if len(rest):
-            contexts = keys[rest] >> np.uint64(16)
-            back = self.backs[k].find(contexts)
-            weight = np.where((back >= 0)[:, None], self.backs[k].values[back], np.float32(1))
-            out[rest] = weight * self._probs(keys[rest] & np.uint64((1 << 16 * (k - 1)) - 1), k - 1)
+            back = self.backs[k].find(keys[rest] >> np.uint64(16))
+            weight = np.where(back >= 0, self.backs[k].values[back], np.float32(1))
+            out[rest] = weight * self(keys[rest] & np.uint64((1 << 16 * (k - 1)) - 1), k - 1)
         return out
 
+
+class KneserNey:
+    """Interpolated Kneser-Ney models of several languages from their 4-gram counts.
+
+    Each holds the n-grams of its own language only, so that the whole grows with the pairs of n-gram and language that
+    occur, not with their product.
+    """
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.langs, orders = sorted(counts), []
+        for lang in self.langs:
+            by_order = {ORDER: counts[lang]}
+            for k in range(ORDER - 1, 0, -1):  # continuation counts: in how many longer n-grams it is the end
+                by_order[k] = np.unique(by_order[k + 1][0] & np.uint64((1 << 16 * k) - 1), return_counts=True)
+            orders.append(by_order)
+        units = np.unique(np.concatenate([o[1][0] for o in orders]))
+        self.floor = 1.0 / (1 + len(units))  # all units, one unknown
+        self.models = [Language(o, self.floor) for o in orders]
+
+    def log_probs(self, keys: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the last character's probability given the others, a column a language."""
+        return np.stack([np.log(model(keys)) for model in self.models], axis=1)
+
     def score(self, texts: list[str | None]) -> list[tuple]:
         """(language, score, cross-entropy per character, characters) of each text."""
         out: list[tuple] = [("und", 0.0, None, 0)] * len(texts)
@@ -167,9 +172,10 @@ class KneserNey:
             owner = np.repeat(np.arange(len(some)), [len(u) - 3 for _, u in some])
             sums = np.zeros((len(some), len(self.langs)))
             for at in range(0, len(keys), 1 << 19):
-                logs, own = self.log_probs(keys[at : at + (1 << 19)]), owner[at : at + (1 << 19)]
+                distinct, place = np.unique(keys[at : at + (1 << 19)], return_inverse=True)  # most occur many times
+                logs, own = self.log_probs(distinct), owner[at : at + (1 << 19)]
                 for j in range(len(self.langs)):
-                    sums[:, j] += np.bincount(own, logs[:, j], len(some))
+                    sums[:, j] += np.bincount(own, logs[place, j], len(some))
             for (i, u), row in zip(some, sums, strict=True):
                 n = len(u) - 3
                 entropy = -row / n

@@ -101,6 +101,19 @@ def test_query_equals_plain_kneser_ney(spark, sf):
         assert got[d.doc_id].lang_pred == best and abs(got[d.doc_id].cross_entropy - entropy[best]) < 1e-4
 
 
+def test_models_grow_with_what_occurs():
+    """A language's tables hold its own n-grams only, whatever other languages have; a stranger gets the floor."""
+    own = {x: np.unique(grams(normal(t)), return_counts=True) for x, t in (("a", "abab abba baab"), ("b", "xyz zyx " * 30), ("c", "\u03b1\u03b2\u03b3 \u03b4\u03b5"))}
+    model = KneserNey(own)
+    for i, (x, (keys, n)) in enumerate(sorted(own.items())):
+        alone = KneserNey({x: (keys, n)})
+        sizes = [len(t.hashes) for t in model.models[i].probs.values()]
+        assert sizes == [len(t.hashes) for t in alone.models[0].probs.values()] and sizes[-1] == len(keys)
+    strange = grams(normal("\u05d0\u05d1\u05d2\u05d3\u05d4"))[3:4]
+    assert np.isfinite(model.log_probs(strange)).all()
+    assert [model.score([t])[0][0] for t in ("abba", "zyx", "\u03b4\u03b5", "?", None)] == ["a", "b", "c", "und", "und"]
+
+
 def plain_posteriors(fires, labels, weight, noise, rounds):
     """The label model in plain loops."""
     n, m = len(fires), len(fires[0])
