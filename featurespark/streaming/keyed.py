@@ -4,12 +4,16 @@ State of a key, none of which grows with the key's history:
 
 * ``rows``: the rows of the longest window in small packed parts, keyed by bucket of time and number of the part; a batch
   adds parts to the buckets that it touches, and reads only those and the ones in which its windows begin;
-* ``index``: for each bucket of the longest window its sum, its count and its number of parts, and the last row's values;
+* ``index``: for each bucket of the longest window its sum, its count and its number of parts, the last row's values, and
+  all rows of a key that has FEW at most, which then needs no ``rows``;
 * ``held``: rows that wait for the watermark, one packed part a batch (``ordered`` only);
 * ``versions``: versions after the watermark, and the newest before it, in order of time.
 
 A window is the end of one bucket, whole buckets, and the beginning of the row's own, each added up from what is inside
 the window: nothing is taken away again, so a large value leaves no rounding behind when it expires.
+
+A row enters Python as one packed value and leaves it in arrays of up to CHUNK rows of its key, as Spark turns rows into
+Python's cell by cell.
 """
 
 from __future__ import annotations
@@ -17,18 +21,21 @@ from __future__ import annotations
 import pickle
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType, TimestampType
 
 from featurespark.ship import ship
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BUCKETS = 512  # of the longest window
 PARTS = 16  # of a bucket, before they are put together
+FEW = 512  # rows of a key that are kept in one value
+CHUNK = 256  # rows of a key in one row of arrays
 _PACKED = StructType([StructField("data", BinaryType())])
 _PLACE = StructType([StructField("bucket", LongType()), StructField("part", LongType())])
 
@@ -43,6 +50,23 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.int64, n), np.frombuffer(data, np.float64, n, 8 * n), np.frombuffer(data, np.uint8, n, 16 * n)
 
 
+def _packed_row():
+    """A function of Spark that packs columns into one binary value a row, as a tuple of Python's values."""
+    import pyarrow as pa
+
+    def values(c: pa.Array) -> list:
+        if c.null_count == 0 and (pa.types.is_integer(c.type) or pa.types.is_floating(c.type)):
+            return c.to_numpy().tolist()
+        return [None] * len(c) if c.null_count == len(c) else c.to_pylist()
+
+    def pack(*columns: pa.Array) -> pa.Array:
+        return pa.array([pickle.dumps(r, 5) for r in zip(*map(values, columns), strict=True)], pa.binary())
+
+    # Spark tells the kind of function by its annotations, which must not be text
+    pack.__annotations__ = {"columns": pa.Array, "return": pa.Array}
+    return F.arrow_udf(pack, BinaryType())
+
+
 class _Bucket:
     """A bucket's rows in order of time, with sums from its beginning and from its end."""
 
@@ -56,7 +80,7 @@ class _Bucket:
 
 
 class Keyed(StatefulProcessor):
-    """Rows are (..., _us, _id, _v, _side, facts ..., versions ...); see keyed_features."""
+    """Rows hold packed (_us, _id, _v, _side, values ...) at ``at``; see keyed_features."""
 
     def __init__(self, at: int, n_facts: int, windows: list[int], lags: list[int], ordered: bool, versions: int | None, names: list[str]):
         self.at, self.n_facts, self.lags, self.ordered, self.n_version, self.names = at, n_facts, lags, ordered, versions, names
@@ -74,9 +98,12 @@ class Keyed(StatefulProcessor):
             self.versions = handle.getValueState("versions", _PACKED)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        yield from self._arrays(self._handle(rows))
+
+    def _handle(self, rows: Iterator[Row]) -> Iterator[list]:
         facts, versions, timeless = [], [], []
         for r in rows:
-            r = tuple(r)[self.at :]
+            r = pickle.loads(bytes(r[self.at]))
             (versions if r[3] == 0 else timeless if r[0] is None else facts).append(r)
         if versions:
             self._add_versions(versions)
@@ -100,18 +127,32 @@ class Keyed(StatefulProcessor):
             self.held.put([(pickle.dumps(rest),)])
         else:
             self.held.clear()
-        yield from self._emit(ready, until)
+        yield from self._arrays(self._emit(ready, until))
+
+    def _arrays(self, rows: Iterator[list]) -> Iterator[Row]:
+        while chunk := list(islice(rows, CHUNK)):
+            yield Row(**dict(zip(self.names, map(list, zip(*chunk, strict=True)), strict=True)))
 
-    def _row(self, r: tuple, sums: list, lags: list, version: tuple | None) -> Row:
+    def _row(self, r: tuple, sums: list, lags: list, version: tuple | None) -> list:
         out = [*r[4 : 4 + self.n_facts], *sums, *lags]
         if self.n_version is not None:
             out += version if version is not None else [None] * self.n_version
-        return Row(**dict(zip(self.names, out, strict=True)))
+        return out
 
-    def _emit(self, facts: list[tuple], until: int | None = None) -> Iterator[Row]:
+    def _emit(self, facts: list[tuple], until: int | None = None) -> Iterator[list]:
         facts.sort(key=lambda r: (r[0], r[1] is not None, r[1]))
-        buckets, last = pickle.loads(bytes(self.index.get()[0])) if self.index.exists() else ({}, None)
-        sums, buckets = self._sums(facts, buckets) if self.windows else ([[]] * len(facts), buckets)
+        state = self.index.get() if self.windows or self.lags else None
+        # a key of few rows has them all in ``few`` and no buckets; one of more has None there
+        buckets, last, few = pickle.loads(bytes(state[0])) if state else ({}, None, b"")
+        if not self.windows:
+            sums = [[]] * len(facts)
+        elif few is not None and len(few) // 17 + len(facts) <= FEW:
+            sums, few = self._sums_of_few(facts, few)
+        else:
+            if few:
+                _, buckets = self._sums([(t, None, x if y else None) for t, x, y in zip(*(c.tolist() for c in _unpack(few)), strict=True)], buckets)
+            few = None
+            sums, buckets = self._sums(facts, buckets)
         versions = self._versions() if self.n_version is not None else []
         times = [v[0] for v in versions]
         for r, s in zip(facts, sums, strict=True):
@@ -119,21 +160,39 @@ class Keyed(StatefulProcessor):
             yield self._row(r, s, last or [None] * len(self.lags), versions[i][2] if i >= 0 else None)
             last = [r[4 + i] for i in self.lags]
         if self.windows or self.lags:
-            self.index.update((pickle.dumps((buckets, last)),))
+            self.index.update((pickle.dumps((buckets, last, few)),))
         if until is not None and versions:
             keep = max(0, bisect_right(times, until - 1) - 1)  # the newest before the watermark is still needed
             if keep:
                 self.versions.update((pickle.dumps(versions[keep:]),))
 
     def _versions(self) -> list[tuple]:
-        return pickle.loads(bytes(self.versions.get()[0])) if self.versions.exists() else []
+        state = self.versions.get()
+        return pickle.loads(bytes(state[0])) if state else []
 
     def _add_versions(self, rows: list[tuple]) -> None:
         """Adds (time, number, values); of the same time and number the last one stays."""
-        new = [(r[0], r[1], r[4 + self.n_facts :]) for r in rows if r[0] is not None]
+        new = [(r[0], r[1], r[4:]) for r in rows if r[0] is not None]
         known = {v[:2]: v for v in [*self._versions(), *new]}
         self.versions.update((pickle.dumps(sorted(known.values(), key=lambda v: (v[0], v[1] is not None, v[1]))),))
 
+    def _sums_of_few(self, facts: list[tuple], few: bytes) -> tuple[list[tuple], bytes]:
+        """Sum and count of each window for facts in order of time, from all rows of the key, and its rows packed anew."""
+        at = np.array([r[0] for r in facts], np.int64)
+        v = np.array([0.0 if r[2] is None else r[2] for r in facts], np.float64)
+        ok = np.array([r[2] is not None for r in facts], np.uint8)
+        us, v, ok = (np.concatenate(x) for x in zip(_unpack(few), (at, v, ok), strict=True))
+        order = np.argsort(us, kind="stable")
+        us, v, ok = us[order], v[order], ok[order]
+        n, ended = np.concatenate([[0], np.cumsum(ok, dtype=np.int64)]), np.append(v, 0.0)
+        end = np.searchsorted(us, at, "right")  # rows of the same time see each other
+        out = []
+        for size in self.windows:
+            begin = np.searchsorted(us, at - size, "left")
+            out += [np.add.reduceat(ended, np.stack([begin, end], 1).ravel())[::2].tolist(), (n[end] - n[begin]).tolist()]
+        cut = np.searchsorted(us, us[-1] - self.longest - self.width, "left")
+        return list(zip(*out, strict=True)), _pack(us[cut:], v[cut:], ok[cut:])
+
     def _sums(self, facts: list[tuple], buckets: dict[int, tuple]) -> tuple[list[list], dict[int, tuple]]:
         """Sum and count of each window for facts in order of time, and the new index (bucket: sum, count, parts)."""
         us = np.array([r[0] for r in facts], np.int64)
@@ -226,26 +285,28 @@ def keyed_features(
     def plain(df: DataFrame, c: str):  # times as numbers: rows in Python know no time zone
         return F.unix_micros(c) if isinstance(df.schema[c].dataType, TimestampType) else F.col(c)
 
-    facts = [plain(stream, c).alias(f"_f{i}") for i, c in enumerate(stream.columns)]
+    def packed(df: DataFrame, at: str, number, amount, side: int, names: list[str]) -> DataFrame:
+        key = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+        data = _packed_row()(F.unix_micros(F.col(at)), number, amount, F.lit(side), *[plain(df, c) for c in names])
+        return df.select(*key, F.col(at).alias("_ts"), data.alias("_data"))
+
+    def kinds(df: DataFrame, names: list[str]) -> list:
+        return [f.dataType for f in df.select(*[plain(df, c).alias(f"_c{i}") for i, c in enumerate(names)]).schema] if names else []
+
     number = F.col(id_col).cast("long") if id_col else null("long")
     amount = F.col(value).cast("double") if value and windows else null("double")
-    head = [*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(ts).alias("_ts"), F.unix_micros(F.col(ts)).alias("_us")]
-    one = stream.select(*head, number.alias("_id"), amount.alias("_v"), F.lit(1).alias("_side"), *facts)
-    fields, types = list(stream.columns), [one.schema[f"_f{i}"].dataType for i in range(len(facts))]
+    fields, types = list(stream.columns), kinds(stream, stream.columns)
+    one = packed(stream, ts, number, amount, 1, fields)
     if versions is not None:
-        head = [*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(version_ts).alias("_ts"), F.unix_micros(F.col(version_ts)).alias("_us")]
-        other = versions.select(
-            *head, (F.col(seq).cast("long") if seq else null("long")).alias("_id"), null("double").alias("_v"), F.lit(0).alias("_side"),
-            *[null(t).alias(f"_f{i}") for i, t in enumerate(types)], *[plain(versions, c).alias(f"_d{i}") for i, c in enumerate(extra)],
-        )
-        kinds = [other.schema[f"_d{i}"].dataType for i in range(len(extra))]
-        one = one.select("*", *[null(t).alias(f"_d{i}") for i, t in enumerate(kinds)]).unionByName(other)
-    made = [StructField(f"{p}_{n}", t) for n in windows for p, t in (("sum", DoubleType()), ("num", LongType()))]
-    made += [StructField(f"prev_{c}", types[fields.index(c)]) for c in lags]
-    made += [StructField(c, kinds[i]) for i, c in enumerate(extra)]
-    schema = StructType([*[StructField(c, t) for c, t in zip(fields, types, strict=True)], *made])
-    processor = Keyed(len(keys) + 1, len(facts), list(windows.values()), [fields.index(c) for c in lags], emit == "ordered", len(extra) if versions is not None else None, schema.names)
+        one = one.unionByName(packed(versions, version_ts, F.col(seq).cast("long") if seq else null("long"), null("double"), 0, extra))
+    made = [(f"{p}_{n}", t) for n in windows for p, t in (("sum", DoubleType()), ("num", LongType()))]
+    made += [(f"prev_{c}", types[fields.index(c)]) for c in lags]
+    made += list(zip(extra, kinds(versions, extra), strict=True)) if versions is not None else []
+    names, kind = zip(*zip(fields, types, strict=True), *made, strict=True)
+    schema = StructType([StructField(f"_o{i}", ArrayType(t)) for i, t in enumerate(kind)])
+    processor = Keyed(len(keys) + 1, len(fields), list(windows.values()), [fields.index(c) for c in lags], emit == "ordered", len(extra) if versions is not None else None, schema.names)
     out = one.groupBy(*[f"_k{i}" for i in range(len(keys))]).transformWithState(processor, schema, "Append", "EventTime" if emit == "ordered" else "None")
+    out = out.select(F.inline(F.arrays_zip(*schema.names)))
     times = {c for c in fields if isinstance(stream.schema[c].dataType, TimestampType)}
     times |= {f"prev_{c}" for c in lags if c in times} | {c for c in extra if isinstance(versions.schema[c].dataType, TimestampType)}
-    return out.select(*[F.timestamp_micros(c).alias(c) if c in times else F.col(c) for c in schema.names])
+    return out.select(*[(F.timestamp_micros(o) if c in times else F.col(o)).alias(c) for o, c in zip(schema.names, names, strict=True)])

@@ -173,6 +173,38 @@ def test_a_batch_costs_the_same_however_long_the_history():
     assert max(p for _, p in k.rows.data) <= 16
 
 
+class Value:
+    """A value of one key's state in memory."""
+
+    def __init__(self):
+        self.data = None
+
+    def get(self):
+        return self.data
+
+    def update(self, value):
+        self.data = value
+
+
+def test_a_key_of_few_rows_has_one_value_of_state():
+    """Sums equal brute force before and after a key has more than FEW rows; only then buckets are used."""
+    rng, us, seen = random.Random(2), 0, []
+    k = Keyed(0, 0, [600, 3600, 7 * 86400], [], False, None, [])
+    k.rows, k.index = Store(), Value()
+    for i in range(60):
+        facts = []
+        for _ in range(20):
+            us += rng.randrange(900 * 10**6) if i % 20 else rng.choice([0, 600 * 10**6])
+            facts.append((us, len(seen) + len(facts), rng.choice([None, 1.0, 2.5, 1e17 if i == 3 else 0.5])))
+        seen += facts
+        got = list(k._emit(facts))
+        for r, s in zip(facts, got, strict=True):
+            for w, window in enumerate(k.windows):
+                inside = [x[2] for x in seen if r[0] - window <= x[0] <= r[0] and x[2] is not None]
+                assert s[2 * w : 2 * w + 2] == [pytest.approx(sum(inside)), len(inside)]
+        assert (k.rows.calls == 0) == (len(seen) <= 512)
+
+
 FACTS, CARDS = "t_id long, cc_num long, amount double, ts timestamp_ntz", "cc_num long, last_modified timestamp_ntz, version long, limit_ double"
 
 
