@@ -29,6 +29,7 @@ def over_time(aggregate: str, keys: list[str], ts: str, seconds: int, closed: st
 
 
 RADIX = 32
+TASK_ROWS = 250_000  # to be sorted in a task, those that are moved on included
 
 
 def _floor(at: str, width: int) -> Column:
@@ -36,7 +37,7 @@ def _floor(at: str, width: int) -> Column:
     return F.expr(f"({at} - pmod({at}, {width}L)) div {width}L")
 
 
-def _range_sums(rows: DataFrame, names: list[str], v: list[str], spans: list[int], width: int, own: bool) -> DataFrame:
+def _range_sums(rows: DataFrame, names: list[str], v: list[str], spans: list[int], width: int, own: bool, tasks: int) -> DataFrame:
     """rows with _s<i><c>: the sum of c over rows of the same names with _at in [_at - spans[i], _at], or before _at.
 
     The line is cut into buckets of ``width``, at most the shortest span. A row's range is the end of a bucket, whole
@@ -44,15 +45,17 @@ def _range_sums(rows: DataFrame, names: list[str], v: list[str], spans: list[int
     the bucket in which they land. What lies before the own bucket after that begins at the same offset in every bucket, so
     it is the same for all rows of a bucket: a part of one bucket and a range of whole ones. Ranges of many buckets are the
     same problem on the table of buckets, RADIX times as wide.
+
+    Rows that are moved on by spans[i] have _i = i, others -1; so all have the same few columns, and sorts stay small.
     """
     keys, payload = [*names, "_b"], [c for c in rows.columns if c not in (*names, "_at", *v)]
-    rows = rows.select(*names, "_at", *v, F.struct(F.lit(1).alias("_is"), *payload).alias("_row")).withColumn("_b", _floor("_at", width))
+    rows = rows.select(*names, "_at", *v, F.lit(-1).alias("_i"), F.struct(F.lit(1).alias("_is"), *payload).alias("_row")).withColumn("_b", _floor("_at", width))
     placed = rows.filter("_b is not null")
     both, whole = rows, [F.sum(c).alias(c) for c in v]
     n = [-(-span // width) - 1 for span in spans]  # buckets between the own one and the one in which the range begins
     cut = [-span % width for span in spans]
     for i, span in enumerate(spans):
-        left = placed.select(*names, (F.col("_at") + span).alias("_at"), *[F.col(c).alias(f"_end{i}{c}") for c in v])
+        left = placed.select(*names, (F.col("_at") + span).alias("_at"), *v, F.lit(i).alias("_i"))
         both = both.unionByName(left.withColumn("_b", _floor("_at", width)), allowMissingColumns=True)
         if n[i] and cut[i]:
             whole += [F.sum(F.when(F.col("_at") - F.col("_b") * width >= cut[i], F.col(c))).alias(f"_cut{i}{c}") for c in v]
@@ -61,27 +64,29 @@ def _range_sums(rows: DataFrame, names: list[str], v: list[str], spans: list[int
         table = placed.groupBy(*keys).agg(*whole).withColumnRenamed("_b", "_at")
         far = [i for i, m in steps.items() if m > RADIX]
         if far:
-            table = _range_sums(table, names, v, [steps[i] for i in far], RADIX, False)
+            table = _range_sums(table, names, v, [steps[i] for i in far], RADIX, False, tasks)
+        table = table.repartition(tasks, *names)
         by = Window.partitionBy(*names).orderBy("_at")
-        middle = {}
+        middle = []
         for i, m in steps.items():
             for c in v:
                 parts = [F.col(f"_s{far.index(i)}{c}")] if i in far else [F.sum(c).over(by.rangeBetween(-m, -1))] if m else []
                 parts += [F.sum(f"_cut{i}{c}").over(by.rangeBetween(-n[i], -n[i]))] if cut[i] else []
-                middle[f"_mid{i}{c}"] = _total(parts, rows.schema[c].dataType)
-        table = table.select(*names, F.col("_at").alias("_b"), *[x.alias(k) for k, x in middle.items()])
+                middle.append(_total(parts, rows.schema[c].dataType).alias(f"{i}{c}"))
+        table = table.select(*names, F.col("_at").alias("_b"), F.struct(*middle).alias("_mid"))
         both = both.unionByName(table, allowMissingColumns=True)
+    both = both.repartition(tasks, *keys)
     cell = Window.partitionBy(*keys)
     upto = cell.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0 if own else -1)
     from_here = cell.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
-    made = {f"_own{c}": F.sum(c).over(upto) for c in v}
-    made |= {f"_to{i}{c}": F.sum(f"_end{i}{c}").over(from_here) for i in range(len(spans)) for c in v}
-    made |= {f"_all{i}{c}": F.max(f"_mid{i}{c}").over(cell) for i in steps for c in v}
+    made = {f"_own{c}": F.sum(F.when(F.col("_i") == -1, F.col(c))).over(upto) for c in v}
+    made |= {f"_to{i}{c}": F.sum(F.when(F.col("_i") == i, F.col(c))).over(from_here) for i in range(len(spans)) for c in v}
+    made |= {"_all": F.max("_mid").over(cell)} if steps else {}  # one row a cell has it
     both = both.withColumns(made).filter("_row is not null")
     out = []
     for i in range(len(spans)):
         for c in v:
-            parts = [F.col(f"_own{c}"), F.col(f"_to{i}{c}")] + ([F.col(f"_all{i}{c}")] if i in steps else [])
+            parts = [F.col(f"_own{c}"), F.col(f"_to{i}{c}")] + ([F.col("_all").getField(f"{i}{c}")] if i in steps else [])
             out.append(_total(parts, rows.schema[c].dataType).alias(f"_s{i}{c}"))
     return both.select(*names, "_at", *v, *[F.col(f"_row.`{c}`").alias(c) for c in payload], *out)
 
@@ -98,12 +103,15 @@ def bucketed_sums(
     See _range_sums: buckets are as long as the shortest window, whatever the other lengths. All sums are sums of what is
     inside the window, and a key of any size is spread over tasks by bucket; only a row a key and bucket comes together for
     a whole key. Rows without a time see each other.
+
+    The rows are counted first: the number of tasks goes with them, so that what a task sorts does not grow with df.
     """
     spans = [seconds * SECOND - (closed == "right") for seconds in windows.values()]
     at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(df.schema[ts].dataType), F.col(ts))
     names, v = [f"_k{i}" for i in range(len(keys))], [f"_v{j}" for j in range(len(values))]
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], at.alias("_at"), F.struct(*df.columns).alias("_df"), *[x.alias(c) for x, c in zip(values.values(), v, strict=True)])
-    out = _range_sums(rows, names, v, spans, min(spans), True)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() * (1 + len(spans)) // TASK_ROWS))
+    out = _range_sums(rows, names, v, spans, min(spans), True, tasks)
     made = [F.col(f"_s{i}{c}").alias(f"{name}_{window}") for i, window in enumerate(windows) for c, name in zip(v, values, strict=True)]
     return out.select("_df.*", *made)
 

@@ -44,6 +44,17 @@ def test_rolling_bounds_ties_and_nulls(spark, strategy):
     assert W.rolling(df.limit(0), ["k"], "ts", "v", {"w": 60}, "both", strategy).count() == 0
 
 
+def test_bucketed_tasks_go_with_the_rows(spark, monkeypatch):
+    """Sums equal those of the frame form, and the rows are dealt to tasks by their number, whatever adaptive execution would put together."""
+    df = spark.range(3000).select("id", F.lit("a").alias("k"), (F.lit(T0) + F.make_dt_interval(secs=F.col("id") * 7)).cast("timestamp_ntz").alias("ts"), (F.col("id") % 5).cast("double").alias("v"))
+    monkeypatch.setattr(W, "TASK_ROWS", 500, raising=False)
+    out = W.rolling(df, ["k"], "ts", "v", {"m": 60, "w": 3000}, strategy="bucketed")
+    want = W.rolling(df, ["k"], "ts", "v", {"m": 60, "w": 3000})
+    cols = ["id", "sum_m", "num_m", "sum_w", "num_w"]
+    assert sorted(values(out, *cols)) == sorted(values(want, *cols))
+    assert out.rdd.getNumPartitions() == 3000 * 3 // 500
+
+
 @pytest.mark.parametrize("strategy", ["union", "bucketed", "range"])
 def test_asof_ties_nulls_tolerance(spark, strategy):
     left = spark.createDataFrame([(1, "a", day(1)), (2, "a", day(0)), (3, "b", day(9)), (4, None, day(3)), (5, "a", None), (6, "a", day(4))], "id long, k string, ts timestamp_ntz")
