@@ -162,8 +162,8 @@ def o41c(spark, sf):
 
 def _rolling(closed="both", strategy="frame", windows=WINDOWS):
     def run(spark, sf):
-        out = W.rolling(transactions(spark, sf), ["cc_num"], "ts", "amount", windows, closed, strategy)
-        return out.drop("card_present", "ip", "ts", "amount")
+        t = transactions(spark, sf).drop("card_present", "ip")
+        return W.rolling(t, ["cc_num"], "ts", "amount", windows, closed, strategy).drop("ts", "amount")
 
     return run
 
@@ -215,7 +215,7 @@ def _rate_sql() -> str:
 
 def rates(spark, sf):
     t = table(spark, sf, "events").withColumns({"s": F.col("event_id") % 20, "flag": F.col("event_type") == "error"})
-    return W.fraud_rate(t, "s", "ts", "flag", DAYS)
+    return W.fraud_rate(t.select("event_id", "s", "ts", "flag"), "s", "ts", "flag", DAYS)
 
 
 @query("o49_fraud_rate", f"select event_id, {', '.join(f'count_{n}, round(rate_{n}, 6) as rate_{n}' for n in DAYS)} from ({_rate_sql()})")
