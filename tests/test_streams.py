@@ -1,6 +1,7 @@
 """Streams equal their batch twins when the input comes in several files, with a restart in between."""
 
 import datetime as dt
+import pickle
 import random
 from pathlib import Path
 
@@ -205,6 +206,18 @@ def test_a_key_of_few_rows_has_one_value_of_state():
         assert (k.rows.calls == 0) == (len(seen) <= 512)
 
 
+def test_rows_pass_python_packed():
+    """A row comes in as one value and rows of a key leave in arrays, whole and in order; versions as of their time."""
+    k = Keyed(1, 1, [], [], False, 1, ["a", "b"])
+    k.versions, k.index = Value(), Value()
+    rows = [("k", pickle.dumps((i, i, None, 1, i * 10))) for i in range(600)] + [("k", pickle.dumps((None, 700, None, 1, -1)))]
+    rows += [("k", pickle.dumps((v, v, None, 0, f"v{v}"))) for v in (300, 100)]
+    got = list(k.handleInputRows(("k",), iter(rows), None))
+    assert [len(r.a) for r in got] == [256, 256, 89]
+    flat = [x for r in got for x in zip(r.a, r.b, strict=True)]
+    assert flat == [(-1, None)] + [(i * 10, None if i < 100 else "v100" if i < 300 else "v300") for i in range(600)]
+
+
 FACTS, CARDS = "t_id long, cc_num long, amount double, ts timestamp_ntz", "cc_num long, last_modified timestamp_ntz, version long, limit_ double"
 
 
