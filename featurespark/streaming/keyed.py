@@ -1,4 +1,7 @@
-"""One stateful processor per key for rolling sums, lags and versions as of a time (O-93 to O-96).
+"""One stateful processor for rolling sums, lags and versions as of a time per key (O-93 to O-96).
+
+Keys are dealt to CELLS groups, as each call to Spark's state and each group of rows costs far more than a row: rows wait
+and timers run for a cell, and a key's own state is read and written once in a batch that touches the key.
 
 State of a key, none of which grows with the key's history:
 
@@ -6,14 +9,18 @@ State of a key, none of which grows with the key's history:
   adds parts to the buckets that it touches, and reads only those and the ones in which its windows begin;
 * ``index``: for each bucket of the longest window its sum, its count and its number of parts, the last row's values, and
   all rows of a key that has FEW at most, which then needs no ``rows``;
-* ``held``: rows that wait for the watermark, one packed part a batch (``ordered`` only);
-* ``versions``: versions after the watermark, and the newest before it, in order of time.
+* ``versions``: the newest version before the watermark (``keys`` holds index and versions by key).
+
+State of a cell (``ordered`` only):
+
+* ``held``: rows and versions that wait for the watermark, one packed part a batch;
+* ``until``: up to where rows have come out; what comes later than that is dropped.
 
 A window is the end of one bucket, whole buckets, and the beginning of the row's own, each added up from what is inside
 the window: nothing is taken away again, so a large value leaves no rounding behind when it expires.
 
-A row enters Python as one packed value and leaves it in arrays of up to CHUNK rows of its key, as Spark turns rows into
-Python's cell by cell.
+Rows enter the processor packed, up to PACK of a cell in one value, and leave it in arrays of up to CHUNK rows, as Spark
+turns rows into Python's cell by cell.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from featurespark.ship import ship
 
@@ -35,9 +42,15 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 BUCKETS = 512  # of the longest window
 PARTS = 16  # of a bucket, before they are put together
 FEW = 512  # rows of a key that are kept in one value
-CHUNK = 256  # rows of a key in one row of arrays
+CHUNK = 256  # rows in one row of arrays
+CELLS = 4096  # groups of keys
+PACK = 64  # rows of a cell in one packed value, which bounds what Spark sends at once
+PACKED_AT_ONCE = 250_000  # rows that are put in order of cells together
 _PACKED = StructType([StructField("data", BinaryType())])
-_PLACE = StructType([StructField("bucket", LongType()), StructField("part", LongType())])
+_KEY = StructType([StructField("key", StringType())])
+_OF_KEY = StructType([StructField("index", BinaryType()), StructField("versions", BinaryType())])
+_PLACE = StructType([StructField("key", StringType()), StructField("bucket", LongType()), StructField("part", LongType())])
+_INPUT = StructType([StructField("_cell", IntegerType()), StructField("_data", BinaryType())])
 
 
 def _pack(us: np.ndarray, v: np.ndarray, ok: np.ndarray) -> bytes:
@@ -50,8 +63,8 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.int64, n), np.frombuffer(data, np.float64, n, 8 * n), np.frombuffer(data, np.uint8, n, 16 * n)
 
 
-def _packed_row():
-    """A function of Spark that packs columns into one binary value a row, as a tuple of Python's values."""
+def _pack_cells(batches: Iterator) -> Iterator:
+    """Arrow batches of (_cell, _key, values of a row ...) as (_cell, packed list of (key, row))."""
     import pyarrow as pa
 
     def values(c: pa.Array) -> list:
@@ -59,12 +72,65 @@ def _packed_row():
             return c.to_numpy().tolist()
         return [None] * len(c) if c.null_count == len(c) else c.to_pylist()
 
-    def pack(*columns: pa.Array) -> pa.Array:
-        return pa.array([pickle.dumps(r, 5) for r in zip(*map(values, columns), strict=True)], pa.binary())
+    def packed(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+        cells = np.concatenate([b.column(0).to_numpy() for b in waiting])
+        rows = [r for b in waiting for r in zip(values(b.column(1)), zip(*map(values, b.columns[2:]), strict=True), strict=True)]
+        order = np.argsort(cells, kind="stable")
+        cells = cells[order]
+        own, data = [], []
+        bounds = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+        order, cells = order.tolist(), cells.tolist()
+        for begin, end in zip(bounds, bounds[1:]):
+            for i in range(begin, end, PACK):
+                own.append(cells[i])
+                data.append(pickle.dumps([rows[j] for j in order[i : min(i + PACK, end)]], 5))
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(data, pa.binary())], names=_INPUT.names)
+
+    waiting, n = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        n += batch.num_rows
+        if n >= PACKED_AT_ONCE:
+            yield packed(waiting)
+            waiting, n = [], 0
+    if n:
+        yield packed(waiting)
+
+
+def _array(values: tuple):
+    """Values of a column for Spark: numbers as an array of NumPy, which stays small, others as they are."""
+    if None in values or not isinstance(values[0], (int, float)):
+        return values
+    return np.array(values)
+
+
+class _Part:
+    """A column of a key's value of state, like a value of its own."""
+
+    def __init__(self, data: bytes | None):
+        self.data, self.changed = data, False
+
+    def get(self) -> tuple | None:
+        return None if self.data is None else (self.data,)
+
+    def update(self, value: tuple) -> None:
+        (self.data,), self.changed = value, True
 
-    # Spark tells the kind of function by its annotations, which must not be text
-    pack.__annotations__ = {"columns": pa.Array, "return": pa.Array}
-    return F.arrow_udf(pack, BinaryType())
+
+class _Rows:
+    """The entries of one key in a map of all keys of a cell."""
+
+    def __init__(self, entries, key: str):
+        self.entries, self.key = entries, key
+
+    def getValue(self, place: tuple):  # noqa: N802
+        return self.entries.getValue((self.key, *place))
+
+    def updateValue(self, place: tuple, value: tuple) -> None:  # noqa: N802
+        self.entries.updateValue((self.key, *place), value)
+
+    def removeKey(self, place: tuple) -> None:  # noqa: N802
+        self.entries.removeKey((self.key, *place))
 
 
 class _Bucket:
@@ -80,7 +146,10 @@ class _Bucket:
 
 
 class Keyed(StatefulProcessor):
-    """Rows hold packed (_us, _id, _v, _side, values ...) at ``at``; see keyed_features."""
+    """Packed lists of (key, row) are at ``at``, rows being (_us, _id, _v, _side, values ...); see keyed_features.
+
+    A packed row without a key is one of the key whose state is at hand.
+    """
 
     def __init__(self, at: int, n_facts: int, windows: list[int], lags: list[int], ordered: bool, versions: int | None, names: list[str]):
         self.at, self.n_facts, self.lags, self.ordered, self.n_version, self.names = at, n_facts, lags, ordered, versions, names
@@ -90,48 +159,71 @@ class Keyed(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getMapState("rows", _PLACE, _PACKED)
-        self.index = handle.getValueState("index", _PACKED)
+        self.entries = handle.getMapState("rows", _PLACE, _PACKED)
+        self.keys = handle.getMapState("keys", _KEY, _OF_KEY)
         if self.ordered:
             self.held = handle.getListState("held", _PACKED)
-        if self.n_version is not None:
-            self.versions = handle.getValueState("versions", _PACKED)
+            self.until = handle.getValueState("until", StructType([StructField("us", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         yield from self._arrays(self._handle(rows))
 
     def _handle(self, rows: Iterator[Row]) -> Iterator[list]:
-        facts, versions, timeless = [], [], []
+        facts, timed = [], []
         for r in rows:
-            r = pickle.loads(bytes(r[self.at]))
-            (versions if r[3] == 0 else timeless if r[0] is None else facts).append(r)
-        if versions:
-            self._add_versions(versions)
-        for r in timeless:  # rows without a time belong to no window
+            data = pickle.loads(bytes(r[self.at]))
+            for pair in data if isinstance(data, list) else [(None, data)]:
+                (facts if pair[1][0] is None else timed).append(pair)
+        for _, r in facts:  # rows without a time belong to no window
             yield self._row(r, [None] * (2 * len(self.windows)), [None] * len(self.lags), None)
-        if facts and self.ordered:
-            self.held.appendValue((pickle.dumps(facts),))
-            self.handle.registerTimer(max(r[0] for r in facts) // 1000 + 1)
-        elif facts:
-            yield from self._emit(facts)
+        if timed and self.ordered:
+            since = self.until.get()
+            if since:
+                timed = [x for x in timed if x[1][0] >= since[0]]
+            if timed:
+                self._hold(timed)
+        elif timed:
+            yield from self._by_key(timed)
+
+    def _hold(self, pairs: list[tuple]) -> None:
+        self.held.appendValue((pickle.dumps(pairs),))
+        self.handle.registerTimer(min(r[0] for _, r in pairs) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
         ready, rest = [], []
         for (data,) in self.held.get():
-            for r in pickle.loads(bytes(data)):
-                (ready if r[0] < until else rest).append(r)
+            for pair in pickle.loads(bytes(data)):
+                (ready if pair[1][0] < until else rest).append(pair)
         if not ready:
             return
+        self.held.clear()
         if rest:
-            self.held.put([(pickle.dumps(rest),)])
-        else:
-            self.held.clear()
-        yield from self._arrays(self._emit(ready, until))
+            self._hold(rest)
+        self.until.update((until,))
+        yield from self._arrays(self._by_key(ready, until))
+
+    def _by_key(self, pairs: list[tuple], until: int | None = None) -> Iterator[list]:
+        by_key: dict[str | None, tuple[list, list]] = {}
+        for key, r in pairs:
+            by_key.setdefault(key, ([], []))[r[3]].append(r)
+        for key, (versions, facts) in by_key.items():
+            if key is not None:
+                state = self.keys.getValue((key,)) or (None, None)
+                self.index, self.versions = (_Part(x if x is None else bytes(x)) for x in state)
+                self.rows = _Rows(self.entries, key)
+            if versions:
+                self._add_versions(versions)
+            if facts:
+                yield from self._emit(facts)
+            if until is not None and self.n_version is not None:
+                self._keep_newest(until)
+            if key is not None and (self.index.changed or self.versions.changed):
+                self.keys.updateValue((key,), (self.index.data, self.versions.data))
 
     def _arrays(self, rows: Iterator[list]) -> Iterator[Row]:
         while chunk := list(islice(rows, CHUNK)):
-            yield Row(**dict(zip(self.names, map(list, zip(*chunk, strict=True)), strict=True)))
+            yield Row(**dict(zip(self.names, map(_array, zip(*chunk, strict=True)), strict=True)))
 
     def _row(self, r: tuple, sums: list, lags: list, version: tuple | None) -> list:
         out = [*r[4 : 4 + self.n_facts], *sums, *lags]
@@ -139,7 +231,7 @@ class Keyed(StatefulProcessor):
             out += version if version is not None else [None] * self.n_version
         return out
 
-    def _emit(self, facts: list[tuple], until: int | None = None) -> Iterator[list]:
+    def _emit(self, facts: list[tuple]) -> Iterator[list]:
         facts.sort(key=lambda r: (r[0], r[1] is not None, r[1]))
         state = self.index.get() if self.windows or self.lags else None
         # a key of few rows has them all in ``few`` and no buckets; one of more has None there
@@ -161,10 +253,12 @@ class Keyed(StatefulProcessor):
             last = [r[4 + i] for i in self.lags]
         if self.windows or self.lags:
             self.index.update((pickle.dumps((buckets, last, few)),))
-        if until is not None and versions:
-            keep = max(0, bisect_right(times, until - 1) - 1)  # the newest before the watermark is still needed
-            if keep:
-                self.versions.update((pickle.dumps(versions[keep:]),))
+
+    def _keep_newest(self, until: int) -> None:
+        versions = self._versions()
+        keep = max(0, bisect_right([v[0] for v in versions], until - 1) - 1)  # the newest before the watermark is still needed
+        if keep:
+            self.versions.update((pickle.dumps(versions[keep:]),))
 
     def _versions(self) -> list[tuple]:
         state = self.versions.get()
@@ -267,7 +361,7 @@ def keyed_features(
 
     ``immediate`` gives rows out in the batch that brings them: right for input in order of time. ``ordered`` holds rows
     until the watermark has passed them, so that rows and versions out of order by less than the watermark's delay come out
-    right; what comes later is dropped, as after any watermark. With versions, a stream of its own with a watermark, the
+    right; what comes after later rows of its cell have come out is dropped. With versions, a stream of its own with a watermark, the
     smaller of both watermarks counts.
 
     Rows without a time come out at once with nulls; a null value counts as 0 and not at all; a null key is a key. Version
@@ -285,10 +379,14 @@ def keyed_features(
     def plain(df: DataFrame, c: str):  # times as numbers: rows in Python know no time zone
         return F.unix_micros(c) if isinstance(df.schema[c].dataType, TimestampType) else F.col(c)
 
+    def name_of(k: str, df: DataFrame):  # equal for what Spark groups together
+        return F.col(k) + F.lit(0).cast(df.schema[k].dataType) if isinstance(df.schema[k].dataType, (DoubleType, FloatType)) else F.col(k)
+
     def packed(df: DataFrame, at: str, number, amount, side: int, names: list[str]) -> DataFrame:
-        key = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-        data = _packed_row()(F.unix_micros(F.col(at)), number, amount, F.lit(side), *[plain(df, c) for c in names])
-        return df.select(*key, F.col(at).alias("_ts"), data.alias("_data"))
+        micros = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+        key = F.to_json(F.struct(*[name_of(k, df).alias(f"_k{i}") for i, k in enumerate(keys)]), micros)
+        values = [c.alias(f"_c{i}") for i, c in enumerate([F.unix_micros(F.col(at)), number, amount, F.lit(side), *[plain(df, c) for c in names]])]
+        return df.select(F.pmod(F.xxhash64(key), F.lit(CELLS)).cast("int").alias("_cell"), key.alias("_key"), *values).mapInArrow(_pack_cells, _INPUT)
 
     def kinds(df: DataFrame, names: list[str]) -> list:
         return [f.dataType for f in df.select(*[plain(df, c).alias(f"_c{i}") for i, c in enumerate(names)]).schema] if names else []
@@ -304,8 +402,8 @@ def keyed_features(
     made += list(zip(extra, kinds(versions, extra), strict=True)) if versions is not None else []
     names, kind = zip(*zip(fields, types, strict=True), *made, strict=True)
     schema = StructType([StructField(f"_o{i}", ArrayType(t)) for i, t in enumerate(kind)])
-    processor = Keyed(len(keys) + 1, len(fields), list(windows.values()), [fields.index(c) for c in lags], emit == "ordered", len(extra) if versions is not None else None, schema.names)
-    out = one.groupBy(*[f"_k{i}" for i in range(len(keys))]).transformWithState(processor, schema, "Append", "EventTime" if emit == "ordered" else "None")
+    processor = Keyed(1, len(fields), list(windows.values()), [fields.index(c) for c in lags], emit == "ordered", len(extra) if versions is not None else None, schema.names)
+    out = one.groupBy("_cell").transformWithState(processor, schema, "Append", "EventTime" if emit == "ordered" else "None")
     out = out.select(F.inline(F.arrays_zip(*schema.names)))
     times = {c for c in fields if isinstance(stream.schema[c].dataType, TimestampType)}
     times |= {f"prev_{c}" for c in lags if c in times} | {c for c in extra if isinstance(versions.schema[c].dataType, TimestampType)}

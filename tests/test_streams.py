@@ -218,6 +218,65 @@ def test_rows_pass_python_packed():
     assert flat == [(-1, None)] + [(i * 10, None if i < 100 else "v100" if i < 300 else "v300") for i in range(600)]
 
 
+class Cell:
+    """State and timers of a cell in memory, as map, list, value and handle."""
+
+    def __init__(self):
+        self.data, self.calls, self.timers = {}, 0, []
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.data.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self.data[key] = value
+
+    def appendValue(self, value):  # noqa: N802
+        self.calls += 1
+        self.data[len(self.data)] = value
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.data.values()))
+
+    def clear(self):
+        self.calls += 1
+        self.data = {}
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.append(ms)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs  # noqa: N815
+
+
+def test_state_is_called_once_a_cell_and_once_a_key():
+    """Rows of many keys wait together; a row far ahead holds no other back, and what comes after later rows is dropped."""
+    k = Keyed(0, 1, [3600], [0], True, 1, ["a", "sum", "num", "prev", "version"])
+    k.handle, k.entries, k.keys, k.held = Cell(), Cell(), Cell(), Cell()
+    k.until = Value()
+    pairs = [(f"k{i % 50}", (i * 10**6, i, 1.0, 1, i)) for i in range(500)] + [(f"k{i}", (i * 10**6 + 1, i, None, 0, f"v{i}")) for i in range(50)]
+    ahead = ("k7", (10**15, 999, 1.0, 1, 999))
+    assert list(k.handleInputRows((1,), iter([(pickle.dumps(pairs[:300]),), (pickle.dumps([*pairs[300:], ahead]),)]), None)) == []
+    assert (k.held.calls, len(k.handle.timers), k.keys.calls) == (1, 1, 0)
+    got = [x for r in k.handleExpiredTimer((1,), Clock(10**6), Clock(1)) for x in zip(r.a, r.sum, r.num, r.prev, r.version, strict=True)]
+    assert sorted(got) == [(i, i // 50 + 1.0, i // 50 + 1, i - 50 if i >= 50 else None, f"v{i % 50}" if i >= 50 else None) for i in range(500)]
+    assert (k.held.calls, k.keys.calls, k.entries.calls) == (4, 100, 0)
+    assert k.handle.timers == [1, 10**12 + 1]  # the row ahead waits for its own time
+    late, next_ = ("k1", (5, 1000, 1.0, 1, 1000)), ("k1", (10**9 + 1, 1001, 1.0, 1, 1001))
+    assert list(k.handleInputRows((1,), iter([(pickle.dumps([late, next_]),)]), None)) == []
+    got = [x for r in k.handleExpiredTimer((1,), Clock(2 * 10**6), Clock(1)) for x in zip(r.a, r.sum, r.num, r.prev, r.version, strict=True)]
+    assert got == [(1001, 11.0, 11, 451, "v1")]
+
+
 FACTS, CARDS = "t_id long, cc_num long, amount double, ts timestamp_ntz", "cc_num long, last_modified timestamp_ntz, version long, limit_ double"
 
 
