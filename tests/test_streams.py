@@ -277,6 +277,18 @@ def test_state_is_called_once_a_cell_and_once_a_key():
     assert got == [(1001, 11.0, 11, 451, "v1")]
 
 
+def test_keys_and_values_of_odd_kinds(spark, tmp_path):
+    """Keys are those of Spark: null, NaN, and one zero; NaN stays NaN."""
+    t, nan = dt.datetime(2024, 1, 1), float("nan")
+    keys = [0.0, -0.0, nan, None, 1.5, nan, None, -0.0]
+    rows = [(i, k, nan if i == 4 else float(i), t + dt.timedelta(minutes=i, microseconds=i)) for i, k in enumerate(keys)]
+    add(spark, f"{tmp_path}/in", 0, rows, "t_id long, cc_num double, amount double, ts timestamp_ntz")
+    stream = S.event_stream(spark, "parquet", "t_id long, cc_num double, amount double, ts timestamp_ntz", f"{tmp_path}/in/b=*", "ts")
+    S.write_stream(S.rolling_stream(stream, "cc_num", "ts", "t_id", "amount", WINDOWS, ["ts"]), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = {r.t_id: (str(r.sum_hour), r.num_day, r.prev_ts and r.prev_ts.minute) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {0: ("0.0", 1, None), 1: ("1.0", 2, 0), 2: ("2.0", 1, None), 3: ("3.0", 1, None), 4: ("nan", 1, None), 5: ("7.0", 2, 2), 6: ("9.0", 2, 3), 7: ("8.0", 3, 1)}
+
+
 FACTS, CARDS = "t_id long, cc_num long, amount double, ts timestamp_ntz", "cc_num long, last_modified timestamp_ntz, version long, limit_ double"
 
 
