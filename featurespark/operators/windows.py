@@ -61,7 +61,8 @@ def _range_sums(rows: DataFrame, names: list[str], v: list[str], spans: list[int
             whole += [F.sum(F.when(F.col("_at") - F.col("_b") * width >= cut[i], F.col(c))).alias(f"_cut{i}{c}") for c in v]
     steps = {i: n[i] - (cut[i] > 0) for i in range(len(spans)) if n[i]}
     if steps:
-        table = placed.groupBy(*keys).agg(*whole).withColumnRenamed("_b", "_at")
+        # dealt to as many tasks as all else: groups of one session-wide number of tasks would grow with the rows
+        table = placed.select(*keys, "_at", *v).repartition(tasks, *keys).groupBy(*keys).agg(*whole).withColumnRenamed("_b", "_at")
         far = [i for i, m in steps.items() if m > RADIX]
         if far:
             table = _range_sums(table, names, v, [steps[i] for i in far], RADIX, False, tasks)

@@ -55,6 +55,18 @@ def test_bucketed_tasks_go_with_the_rows(spark, monkeypatch):
     assert out.rdd.getNumPartitions() == 3000 * 3 // 500
 
 
+def test_bucketed_tables_are_dealt_by_the_rows_too(spark, monkeypatch):
+    """No step of bucketed windows, the tables of buckets included, has the session's number of tasks."""
+    df = spark.range(3000).select("id", (F.col("id") % 3).alias("k"), (F.lit(T0) + F.make_dt_interval(secs=F.col("id") * 7)).cast("timestamp_ntz").alias("ts"), (F.col("id") % 5).cast("double").alias("v"))
+    monkeypatch.setattr(W, "TASK_ROWS", 500, raising=False)
+    windows = {"m": 60, "n": 150, "w": 3000}
+    out = W.rolling(df, ["k"], "ts", "v", windows, strategy="bucketed")
+    plan = out._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    cols = ["id", *[f"{p}_{n}" for n in windows for p in ("sum", "num")]]
+    assert sorted(values(out, *cols)) == sorted(values(W.rolling(df, ["k"], "ts", "v", windows), *cols))
+
+
 @pytest.mark.parametrize("strategy", ["union", "bucketed", "range"])
 def test_asof_ties_nulls_tolerance(spark, strategy):
     left = spark.createDataFrame([(1, "a", day(1)), (2, "a", day(0)), (3, "b", day(9)), (4, None, day(3)), (5, "a", None), (6, "a", day(4))], "id long, k string, ts timestamp_ntz")
