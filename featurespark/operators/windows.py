@@ -30,6 +30,9 @@ def over_time(aggregate: str, keys: list[str], ts: str, seconds: int, closed: st
 
 RADIX = 32
 TASK_ROWS = 250_000  # to be sorted in a task, those that are moved on included
+FEW_TASKS = 200  # up to so many tasks are written to by Spark without holding the rows to be dealt in memory
+CELL_PART = 16  # of TASK_ROWS: rows of a key and bucket, which are in one task
+SLOTS = 1 << 17  # in which keys and buckets are counted
 
 
 def _floor(at: str, width: int) -> Column:
@@ -96,14 +99,38 @@ def _total(parts: list[Column], kind) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0).cast(kind)) for x in parts]).cast(kind)
 
 
+def _tasks(rows: int, least: int) -> int:
+    """One for TASK_ROWS; those beyond FEW_TASKS only when a task would have over four times as many rows."""
+    tasks = -(-rows // TASK_ROWS)
+    return max(least, min(tasks, max(FEW_TASKS, -(-tasks // 4))))
+
+
+def _count_and_width(rows: DataFrame, names: list[str], shortest: int) -> tuple[int, int]:
+    """The number of rows, and a width of buckets: the shortest span, or so much less that no key has a crowded bucket.
+
+    Keys and buckets are counted by hash in SLOTS, so a task holds no more than these; several in a slot only make buckets
+    narrower than they need be. Rows of the same time stay together: where narrower buckets don't help, wider ones are taken.
+    """
+    most = {}
+    width = shortest
+    while True:
+        slot = F.when(F.col("_at").isNotNull(), F.pmod(F.xxhash64(*names, _floor("_at", width)), F.lit(SLOTS)))
+        sizes = rows.groupBy(slot.alias("_slot")).count()
+        n, crowd = sizes.agg(F.sum("count"), F.max(F.when(F.col("_slot").isNotNull(), F.col("count")))).first()
+        most[width] = crowd or 0
+        if most[width] <= max(1, TASK_ROWS // CELL_PART) or width == 1:
+            return n or 0, next(w for w, m in most.items() if m <= 2 * most[width])
+        width = max(1, width // RADIX)
+
+
 def bucketed_sums(
     df: DataFrame, keys: list[str], ts: str, values: dict[str, Column], windows: dict[str, int], closed: str = "both"
 ) -> DataFrame:
     """df with the sum of each value over each trailing window, as <value>_<window>, in time that does not grow with a frame.
 
-    See _range_sums: buckets are as long as the shortest window, whatever the other lengths. All sums are sums of what is
-    inside the window, and a key of any size is spread over tasks by bucket; only a row a key and bucket comes together for
-    a whole key. Rows without a time see each other.
+    See _range_sums: buckets are as long as the shortest window, whatever the other lengths, or shorter where more than a
+    sixteenth of a task's rows would be in one. All sums are sums of what is inside the window, and a key of any size is
+    spread over tasks by bucket; only a row a key and bucket comes together for a whole key. Rows without a time see each other.
 
     The rows are counted first: the number of tasks goes with them, so that what a task sorts does not grow with df.
     """
@@ -111,8 +138,9 @@ def bucketed_sums(
     at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(df.schema[ts].dataType), F.col(ts))
     names, v = [f"_k{i}" for i in range(len(keys))], [f"_v{j}" for j in range(len(values))]
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], at.alias("_at"), F.struct(*df.columns).alias("_df"), *[x.alias(c) for x, c in zip(values.values(), v, strict=True)])
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() * (1 + len(spans)) // TASK_ROWS))
-    out = _range_sums(rows, names, v, spans, min(spans), True, tasks)
+    n, width = _count_and_width(rows.select(*names, "_at"), names, min(spans))
+    tasks = _tasks(n * (1 + len(spans)), df.sparkSession.sparkContext.defaultParallelism)
+    out = _range_sums(rows, names, v, spans, width, True, tasks)
     made = [F.col(f"_s{i}{c}").alias(f"{name}_{window}") for i, window in enumerate(windows) for c, name in zip(v, values, strict=True)]
     return out.select("_df.*", *made)
 

@@ -213,9 +213,9 @@ def _rate_sql() -> str:
     return f"select event_id, event_id % 20 as s, (event_type = 'error')::int as f, ts, {', '.join(out)} from (select *, event_id % 20 as s, (event_type = 'error')::int as f from events)"
 
 
-def rates(spark, sf):
+def rates(spark, sf, days=DAYS):
     t = table(spark, sf, "events").withColumns({"s": F.col("event_id") % 20, "flag": F.col("event_type") == "error"})
-    return W.fraud_rate(t.select("event_id", "s", "ts", "flag"), "s", "ts", "flag", DAYS)
+    return W.fraud_rate(t.select("event_id", "s", "ts", "flag"), "s", "ts", "flag", days)
 
 
 @query("o49_fraud_rate", f"select event_id, {', '.join(f'count_{n}, round(rate_{n}, 6) as rate_{n}' for n in DAYS)} from ({_rate_sql()})")
@@ -225,7 +225,7 @@ def o49(spark, sf):
 
 @query("o50_weighted_rate", f"select ts::date as date, s, sum(count_week)::bigint as count, round(sum(rate_week * count_week) / sum(count_week), 6) as rate from ({_rate_sql()}) group by 1, 2")
 def o50(spark, sf):
-    return W.weighted_daily_rate(rates(spark, sf).withColumn("date", F.to_date("ts")), "date", "s", "rate_week", "count_week")
+    return W.weighted_daily_rate(rates(spark, sf, {"week": DAYS["week"]}).withColumn("date", F.to_date("ts")), "date", "s", "rate_week", "count_week")
 
 
 @query(

@@ -67,6 +67,26 @@ def test_bucketed_tables_are_dealt_by_the_rows_too(spark, monkeypatch):
     assert sorted(values(out, *cols)) == sorted(values(W.rolling(df, ["k"], "ts", "v", windows), *cols))
 
 
+def test_crowded_buckets_are_cut_finer(spark, monkeypatch):
+    """A key with all rows in one bucket of the shortest window, and one with all rows at a few times: same sums, rows spread."""
+    monkeypatch.setattr(W, "TASK_ROWS", 500)
+    df = spark.range(3000).select("id", F.lit("a").alias("k"), (F.lit(T0) + F.make_dt_interval(secs=F.col("id") * 7)).cast("timestamp_ntz").alias("ts"), (F.col("id") % 5).cast("double").alias("v"))
+    tied = df.withColumns({"k": F.lit("b"), "ts": F.date_trunc("hour", "ts").cast("timestamp_ntz")}).unionByName(df.limit(50).withColumn("ts", F.lit(None).cast("timestamp_ntz")))
+    windows = {"d": 86400, "w": 7 * 86400}
+    cols = ["id", *[f"{p}_{n}" for n in windows for p in ("sum", "num")]]
+    for closed in ("both", "right"):
+        out = W.rolling(df, ["k"], "ts", "v", windows, closed, "bucketed")
+        assert sorted(values(out, *cols)) == sorted(values(W.rolling(df, ["k"], "ts", "v", windows, closed), *cols))
+        assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 600
+        got, want = (sorted(values(W.rolling(tied, ["k"], "ts", "v", windows, closed, s), *cols)) for s in ("bucketed", "frame"))
+        assert got == want
+
+
+def test_tasks_of_bucketed_windows():
+    """As many as rows ask for, but no more than Spark deals to without holding rows, until a task would have four times as many."""
+    assert [W._tasks(n * W.TASK_ROWS, 8) for n in (1, 150, 500, 800, 1000, 4000)] == [8, 150, 200, 200, 250, 1000]  # noqa: SLF001
+
+
 @pytest.mark.parametrize("strategy", ["union", "bucketed", "range"])
 def test_asof_ties_nulls_tolerance(spark, strategy):
     left = spark.createDataFrame([(1, "a", day(1)), (2, "a", day(0)), (3, "b", day(9)), (4, None, day(3)), (5, "a", None), (6, "a", day(4))], "id long, k string, ts timestamp_ntz")
