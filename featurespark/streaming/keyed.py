@@ -13,14 +13,15 @@ State of a key, none of which grows with the key's history:
 
 State of a cell (``ordered`` only):
 
-* ``held``: rows and versions that wait for the watermark, one packed part a batch;
+* ``held``: rows and versions that wait for the watermark, one packed part a batch, of packs as they came;
 * ``until``: up to where rows have come out; what comes later than that is dropped.
 
 A window is the end of one bucket, whole buckets, and the beginning of the row's own, each added up from what is inside
 the window: nothing is taken away again, so a large value leaves no rounding behind when it expires.
 
-Rows enter the processor packed, up to PACK of a cell in one value, and leave it in arrays of up to CHUNK rows, as Spark
-turns rows into Python's cell by cell.
+Rows enter the processor packed by column, up to PACK of a cell in one value, and leave it in arrays of up to CHUNK rows, as
+Spark turns rows into Python's cell by cell. Packs wait as they are; where only versions are looked up, all keys of a cell are
+done at once by column, else packs become rows when their time has come.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from __future__ import annotations
 import pickle
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import islice
+from itertools import compress, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Row
@@ -64,31 +65,48 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pack_cells(batches: Iterator) -> Iterator:
-    """Arrow batches of (_cell, _key, values of a row ...) as (_cell, packed list of (key, row))."""
+    """Arrow batches of (_cell, _key, values of a row ...) as (_cell, packed rows of the cell by column).
+
+    The rows of a pack are in order of keys, all with a time or all without, and all facts or all versions. It holds the
+    least and greatest time, the keys and how many rows each has, and the columns: see _column.
+    """
     import pyarrow as pa
 
-    def values(c: pa.Array) -> list:
-        if c.null_count == 0 and (pa.types.is_integer(c.type) or pa.types.is_floating(c.type)):
-            return c.to_numpy().tolist()
-        return [None] * len(c) if c.null_count == len(c) else c.to_pylist()
+    def sorted_column(c: pa.Array, order: np.ndarray) -> np.ndarray | list | None:
+        if c.null_count == len(c):
+            return None
+        if c.null_count == 0 and (pa.types.is_integer(c.type) or pa.types.is_floating(c.type) or pa.types.is_boolean(c.type)):
+            return c.to_numpy(zero_copy_only=False)[order]
+        values = c.to_pylist()
+        return [values[i] for i in order.tolist()]
 
     def packed(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
-        cells = np.concatenate([b.column(0).to_numpy() for b in waiting])
-        rows = [r for b in waiting for r in zip(values(b.column(1)), zip(*map(values, b.columns[2:]), strict=True), strict=True)]
-        order = np.argsort(cells, kind="stable")
-        cells = cells[order]
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        cells, keys, us, _, _, side, *_ = (pa.concat_arrays(c.chunks) for c in table.columns)
+        keys = keys.dictionary_encode()
+        names = keys.dictionary.to_pylist()
+        group = cells.to_numpy().astype(np.int64) * 2 + us.is_null().to_numpy(zero_copy_only=False)
+        codes = keys.indices.to_numpy().astype(np.int64)
+        order = np.argsort((group << 32) | codes, kind="stable")
+        group, codes, side = group[order], codes[order], side[0].as_py()
+        columns = [sorted_column(pa.concat_arrays(c.chunks), order) for c in table.columns[2:]]
+        columns[3] = None  # the side
         own, data = [], []
-        bounds = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
-        order, cells = order.tolist(), cells.tolist()
+        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
         for begin, end in zip(bounds, bounds[1:]):
             for i in range(begin, end, PACK):
-                own.append(cells[i])
-                data.append(pickle.dumps([rows[j] for j in order[i : min(i + PACK, end)]], 5))
+                j = min(i + PACK, end)
+                first = np.concatenate([[0], np.flatnonzero(np.diff(codes[i:j])) + 1])
+                cols = [(c.dtype.str, c[i:j].tobytes()) if isinstance(c, np.ndarray) else c and c[i:j] for c in columns]
+                at = None if group[i] % 2 else (int(columns[0][i:j].min()), int(columns[0][i:j].max())) if isinstance(columns[0], np.ndarray) else (min(cols[0]), max(cols[0]))
+                own.append(int(group[i]) // 2)
+                data.append(pickle.dumps({"us": at, "side": side, "keys": [names[c] for c in codes[i:j][first].tolist()], "n": np.diff(first, append=j - i).tolist(), "cols": cols}, 5))
         return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(data, pa.binary())], names=_INPUT.names)
 
     waiting, n = [], 0
     for batch in batches:
-        waiting.append(batch)
+        if batch.num_rows:
+            waiting.append(batch)
         n += batch.num_rows
         if n >= PACKED_AT_ONCE:
             yield packed(waiting)
@@ -97,6 +115,41 @@ def _pack_cells(batches: Iterator) -> Iterator:
         yield packed(waiting)
 
 
+def _column(packs: list[dict], i: int) -> np.ndarray | list:
+    """A column of several packs: an array of NumPy if each has numbers of the same kind and no nulls, or else a list."""
+    cols = [p["cols"][i] for p in packs]
+    if all(isinstance(c, tuple) for c in cols) and len({c[0] for c in cols}) == 1:
+        return np.frombuffer(b"".join(c[1] for c in cols), cols[0][0])
+    out = []
+    for p, c in zip(packs, cols, strict=True):
+        out += [None] * sum(p["n"]) if c is None else np.frombuffer(c[1], c[0]).tolist() if isinstance(c, tuple) else c
+    return out
+
+
+def _split(pack: dict, us: int) -> tuple[dict | None, dict | None]:
+    """The rows of a pack before a time, and the others; None for no rows."""
+    if pack["us"][1] < us:
+        return pack, None
+    if pack["us"][0] >= us:
+        return None, pack
+    at = np.asarray(_column([pack], 0), np.int64)
+    own = np.repeat(np.arange(len(pack["n"])), pack["n"])
+    out = []
+    for keep in (at < us, at >= us):
+        n = np.bincount(own[keep], minlength=len(pack["n"])).tolist()
+        cols = [(c[0], np.frombuffer(c[1], c[0])[keep].tobytes()) if isinstance(c, tuple) else c and list(compress(c, keep.tolist())) for c in pack["cols"]]
+        keys = [k for k, m in zip(pack["keys"], n, strict=True) if m]
+        out.append({"us": (int(at[keep].min()), int(at[keep].max())), "side": pack["side"], "keys": keys, "n": [m for m in n if m], "cols": cols})
+    return tuple(out)
+
+
+def _pairs(pack: dict) -> list[tuple]:
+    """The rows of a pack as (key, row)."""
+    cols = [_column([pack], i) if i != 3 else [pack["side"]] * sum(pack["n"]) for i in range(len(pack["cols"]))]
+    keys = [k for k, n in zip(pack["keys"], pack["n"], strict=True) for _ in range(n)]
+    return list(zip(keys, zip(*[c.tolist() if isinstance(c, np.ndarray) else c for c in cols], strict=True), strict=True))
+
+
 def _array(values: tuple):
     """Values of a column for Spark: numbers as an array of NumPy, which stays small, others as they are."""
     if None in values or not isinstance(values[0], (int, float)):
@@ -146,7 +199,7 @@ class _Bucket:
 
 
 class Keyed(StatefulProcessor):
-    """Packed lists of (key, row) are at ``at``, rows being (_us, _id, _v, _side, values ...); see keyed_features.
+    """Packs, or packed lists of (key, row), are at ``at``, rows being (_us, _id, _v, _side, values ...); see keyed_features.
 
     A packed row without a key is one of the key whose state is at hand.
     """
@@ -170,38 +223,101 @@ class Keyed(StatefulProcessor):
 
     def _handle(self, rows: Iterator[Row]) -> Iterator[list]:
         facts, timed = [], []
+        since = self.until.get() if self.ordered else None
         for r in rows:
             data = pickle.loads(bytes(r[self.at]))
+            if isinstance(data, dict):
+                if data["us"] and self.ordered:
+                    data = _split(data, since[0])[1] if since else data
+                    timed += [data] if data else []
+                    continue
+                data = _pairs(data)
             for pair in data if isinstance(data, list) else [(None, data)]:
                 (facts if pair[1][0] is None else timed).append(pair)
         for _, r in facts:  # rows without a time belong to no window
             yield self._row(r, [None] * (2 * len(self.windows)), [None] * len(self.lags), None)
         if timed and self.ordered:
-            since = self.until.get()
             if since:
-                timed = [x for x in timed if x[1][0] >= since[0]]
+                timed = [x for x in timed if isinstance(x, dict) or x[1][0] >= since[0]]  # packs are cut already
             if timed:
                 self._hold(timed)
         elif timed:
             yield from self._by_key(timed)
 
-    def _hold(self, pairs: list[tuple]) -> None:
-        self.held.appendValue((pickle.dumps(pairs),))
-        self.handle.registerTimer(min(r[0] for _, r in pairs) // 1000 + 1)
+    def _hold(self, items: list[tuple | dict]) -> None:
+        self.held.appendValue((pickle.dumps(items),))
+        self.handle.registerTimer(min(x["us"][0] if isinstance(x, dict) else x[1][0] for x in items) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
         ready, rest = [], []
         for (data,) in self.held.get():
-            for pair in pickle.loads(bytes(data)):
-                (ready if pair[1][0] < until else rest).append(pair)
+            for item in pickle.loads(bytes(data)):
+                before, after = _split(item, until) if isinstance(item, dict) else (item, None) if item[1][0] < until else (None, item)
+                ready += [before] if before else []
+                rest += [after] if after else []
         if not ready:
             return
         self.held.clear()
         if rest:
             self._hold(rest)
         self.until.update((until,))
-        yield from self._arrays(self._by_key(ready, until))
+        if not self.windows and not self.lags and self.n_version is not None and all(isinstance(x, dict) for x in ready):
+            ids = _column([p for p in ready if p["side"]], 1)
+            if isinstance(ids, np.ndarray) or ids.count(None) == len(ids):
+                yield from self._asof(ready, ids, until)
+                return
+        pairs = []
+        for x in ready:
+            pairs += _pairs(x) if isinstance(x, dict) else [x]
+        yield from self._arrays(self._by_key(pairs, until))
+
+    def _asof(self, packs: list[dict], ids: np.ndarray | list, until: int) -> Iterator[Row]:
+        """What _by_key and _arrays give where there are only versions to look up, by column for all keys of a cell."""
+        facts, new = [p for p in packs if p["side"]], {}
+        for p in packs:
+            if not p["side"]:
+                for key, r in _pairs(p):
+                    new.setdefault(key, []).append(r)
+        codes = {k: i for i, k in enumerate(dict.fromkeys([*new, *(k for p in facts for k in p["keys"])]))}
+        there = self.keys.exists()
+        times, owners, values = [], [], []
+        for key, code in codes.items():
+            index, known = (there and self.keys.getValue((key,))) or (None, None)
+            known = pickle.loads(bytes(known)) if known is not None else []
+            if key in new:
+                known = self._merged(known, new[key])
+            times += [v[0] for v in known]
+            owners += [code] * len(known)
+            values += [v[2] for v in known]
+            newest = self._newest(known, until)
+            if key in new or newest:
+                self.keys.updateValue((key,), (index, pickle.dumps(known[newest:])))
+        if not facts:
+            return
+        n = len(times)
+        at = np.concatenate([np.array(times, np.int64), _column(facts, 0)])
+        own = np.repeat([codes[k] for p in facts for k in p["keys"]], [m for p in facts for m in p["n"]])
+        owners = np.concatenate([np.array(owners, np.int64), own])
+        is_fact = np.arange(len(at)) >= n
+        by_id = [np.concatenate([np.zeros(n, ids.dtype), ids])] if isinstance(ids, np.ndarray) else []
+        order = np.lexsort((*by_id, is_fact, at, owners))
+        last = np.maximum.accumulate(np.where(is_fact[order], -1, np.arange(len(at))))  # place of the version before
+        place = last[is_fact[order]]
+        row = order[is_fact[order]]
+        version = np.where(place >= 0, order[place], -1)
+        version = np.where((version >= 0) & (owners[version] == owners[row]), version, -1).tolist()
+        row = row - n
+        out = []
+        for i in range(4, 4 + self.n_facts):
+            c = _column(facts, i)
+            out.append(c[row] if isinstance(c, np.ndarray) else [c[j] for j in row.tolist()])
+        for i in range(self.n_version):
+            c = [v[i] for v in values] + [None]  # no version is at the end
+            out.append([c[j] for j in version])
+        for i in range(0, len(row), CHUNK):
+            chunk = [c[i : i + CHUNK] for c in out]
+            yield Row(**dict(zip(self.names, [c if isinstance(c, np.ndarray) else _array(tuple(c)) for c in chunk], strict=True)))
 
     def _by_key(self, pairs: list[tuple], until: int | None = None) -> Iterator[list]:
         by_key: dict[str | None, tuple[list, list]] = {}
@@ -256,19 +372,27 @@ class Keyed(StatefulProcessor):
 
     def _keep_newest(self, until: int) -> None:
         versions = self._versions()
-        keep = max(0, bisect_right([v[0] for v in versions], until - 1) - 1)  # the newest before the watermark is still needed
+        keep = self._newest(versions, until)
         if keep:
             self.versions.update((pickle.dumps(versions[keep:]),))
 
+    @staticmethod
+    def _newest(versions: list[tuple], until: int) -> int:
+        """Place of the newest version before the watermark, which is still needed."""
+        return max(0, bisect_right([v[0] for v in versions], until - 1) - 1)
+
     def _versions(self) -> list[tuple]:
         state = self.versions.get()
         return pickle.loads(bytes(state[0])) if state else []
 
     def _add_versions(self, rows: list[tuple]) -> None:
-        """Adds (time, number, values); of the same time and number the last one stays."""
-        new = [(r[0], r[1], r[4:]) for r in rows if r[0] is not None]
-        known = {v[:2]: v for v in [*self._versions(), *new]}
-        self.versions.update((pickle.dumps(sorted(known.values(), key=lambda v: (v[0], v[1] is not None, v[1]))),))
+        self.versions.update((pickle.dumps(self._merged(self._versions(), rows)),))
+
+    @staticmethod
+    def _merged(versions: list[tuple], rows: list[tuple]) -> list[tuple]:
+        """Versions (time, number, values) with those of rows; of the same time and number the last one stays."""
+        known = {v[:2]: v for v in [*versions, *((r[0], r[1], r[4:]) for r in rows if r[0] is not None)]}
+        return sorted(known.values(), key=lambda v: (v[0], v[1] is not None, v[1]))
 
     def _sums_of_few(self, facts: list[tuple], few: bytes) -> tuple[list[tuple], bytes]:
         """Sum and count of each window for facts in order of time, from all rows of the key, and its rows packed anew."""

@@ -1,6 +1,7 @@
 """Streams equal their batch twins when the input comes in several files, with a restart in between."""
 
 import datetime as dt
+import decimal
 import pickle
 import random
 from pathlib import Path
@@ -12,6 +13,7 @@ from featurespark.operators.joins import asof_join
 from featurespark.operators.quality import validate
 from featurespark.operators.windows import lag_features, rolling
 from featurespark.streaming import features as S
+from featurespark.streaming import keyed
 from featurespark.streaming.expectations import expect, read_expectations
 from featurespark.streaming.keyed import Keyed
 from featurespark.streaming.sinks import KeyedTable
@@ -289,6 +291,68 @@ def test_keys_and_values_of_odd_kinds(spark, tmp_path):
     assert got == {0: ("0.0", 1, None), 1: ("1.0", 2, 0), 2: ("2.0", 1, None), 3: ("3.0", 1, None), 4: ("nan", 1, None), 5: ("7.0", 2, 2), 6: ("9.0", 2, 3), 7: ("8.0", 3, 1)}
 
 
+def test_versions_are_looked_up_by_column():
+    """Packs wait as they came and are looked up for all keys of a cell at once: one call a new key; a pack may be ready in part."""
+    pa = pytest.importorskip("pyarrow")
+    rng = random.Random(5)
+
+    def packs(side, rows):  # of (key, us, number, values ...)
+        kinds = [pa.int64(), pa.string(), pa.bool_()] if side else [pa.int64(), pa.string()]
+        key, us, number, *values = zip(*rows, strict=True)
+        arrays = [pa.array([7] * len(rows), pa.int32()), pa.array(key), pa.array(us, pa.int64()), pa.array(number, pa.int64()), pa.nulls(len(rows), pa.float64()), pa.array([side] * len(rows), pa.int32())]
+        arrays += [pa.array(v, t) for v, t in zip(values, kinds, strict=True)]
+        out = list(keyed._pack_cells([pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(arrays))])]))  # noqa: SLF001
+        assert all(c == 7 for b in out for c in b.column(0).to_pylist())
+        return [(d,) for b in out for d in b.column(1).to_pylist()]
+
+    k = Keyed(0, 3, [], [], True, 2, ["a", "b", "c", "version", "name"])
+    k.handle, k.entries, k.keys, k.held, k.until = Cell(), Cell(), Cell(), Cell(), Value()
+    k.keys.exists = lambda: bool(k.keys.data)
+    facts = [(f"k{rng.randrange(30)}", rng.randrange(2000), None, i, rng.choice([None, f"s{i}"]), i % 3 == 0) for i in range(900)]
+    cards = [(f"k{rng.randrange(20)}", rng.randrange(2000), rng.choice([None, i]), i, f"v{i}") for i in range(300)]
+    none = [(f"k{i}", None, None, -i, None, True) for i in range(3)]
+    got = [x for r in k.handleInputRows((7,), iter(packs(1, facts + none) + packs(0, cards)), None) for x in zip(*r, strict=True)]
+    assert sorted(got) == sorted((-i, None, True, None, None) for i in range(3))
+    flat = []
+    for until in (1, 2, 10):  # milliseconds
+        calls = k.keys.calls
+        flat.append([x for r in k.handleExpiredTimer((7,), Clock(until), Clock(0)) for x in zip(*(c.tolist() if hasattr(c, "tolist") else c for c in r), strict=True)])
+        calls = k.keys.calls - calls
+        assert calls == len({r[0] for r in cards if r[1] < 1000}) if until == 1 else calls <= 60
+    want = {}
+    for key, us, _, i, name, odd in facts:
+        before = [(v[1], v[2] is not None, v[2], j) for j, v in enumerate(cards) if v[0] == key and v[1] <= us]
+        newest = cards[max(before, key=lambda v: (v[0], v[1], v[2] or 0, v[3]))[3]][3:] if before else (None, None)
+        want[i] = (i, name, odd, *newest)
+    assert [len(x) for x in flat] == [sum(r[1] < 1000 for r in facts), sum(r[1] >= 1000 for r in facts), 0]
+    assert sorted(x for part in flat for x in part) == [want[i] for i in sorted(want)] and list(k.held.get()) == []
+
+
+def test_asof_of_streams_keeps_all_kinds(spark, tmp_path):
+    """Columns of many kinds, with and without nulls, in several batches, equal the batch form."""
+    kinds = "id int, k string, ts timestamp_ntz, a tinyint, b smallint, c float, d date, e decimal(9,2), f array<int>, g boolean, h timestamp, n int"
+    more = "k string, at timestamp_ntz, v int, x float, y date, z array<string>"
+    rng, t = random.Random(6), dt.datetime(2024, 1, 1)
+    end = t + dt.timedelta(days=365)
+    for b in range(3):
+        facts = [(b * 100 + i, rng.choice("abc") if i % 7 else None, t + dt.timedelta(days=b, seconds=rng.randrange(86400)), i, -i, i / 2, dt.date(2024, 1, 1 + i % 20), decimal.Decimal(i) / 4, [i, None], i % 2 == 0, t, rng.choice([None, i])) for i in range(60)]
+        cards = [(rng.choice("ab"), t + dt.timedelta(days=b, seconds=rng.randrange(86400)), b * 100 + i, i / 4, None if i % 5 == 0 else dt.date(2024, 2, 1), ["x", None]) for i in range(20)]
+        if b == 2:
+            facts.append((-1, "z", end, *[None] * 9))
+            cards.append(("z", end, -1, None, None, None))
+        add(spark, f"{tmp_path}/facts", b, facts, kinds)
+        add(spark, f"{tmp_path}/cards", b, cards, more)
+        left = S.event_stream(spark, "parquet", kinds, f"{tmp_path}/facts/b=*", "ts", "1 hour")
+        right = S.event_stream(spark, "parquet", more, f"{tmp_path}/cards/b=*", "at", "1 hour")
+        S.write_stream(S.asof_streams(left, right, ["k"], "ts", "at", "v"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    one, two = (spark.read.schema(s).parquet(f"{tmp_path}/{n}/b=*") for n, s in (("facts", kinds), ("cards", more)))
+    want = asof_join(one.filter("id >= 0"), two, ["k"], "ts", "at", seq="v").select([f"{c}" for c in got.columns])
+    want = want.withColumns({c: F.col(c).cast("timestamp") for c in ("ts", "at")})
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 180
+
+
 FACTS, CARDS = "t_id long, cc_num long, amount double, ts timestamp_ntz", "cc_num long, last_modified timestamp_ntz, version long, limit_ double"
 
 
